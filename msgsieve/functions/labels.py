@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, functions as F
 
 from msgsieve import fixed_values as fixed
+from msgsieve.functions.evaluation import bind
 
 
 def by_label_id(label_id: Column, values: Sequence[str]) -> Column:
@@ -46,15 +47,26 @@ def label_id(name: Column) -> Column:
 
 def argmax(probabilities: Column) -> Column:
     """Index of the largest entry, the lowest index on ties."""
-    return (F.array_position(probabilities, F.array_max(probabilities)) - 1).cast("int")
+    return bind(probabilities, lambda p: (F.array_position(p, F.array_max(p)) - 1).cast("int"))
 
 
 def softmax(logits: Sequence[Column]) -> Column:
-    """Class probabilities as an array, stable for large logits."""
-    top = F.greatest(*logits)
-    powers = [F.exp(logit - top) for logit in logits]
-    total = sum(powers[1:], powers[0])
-    return F.array(*[power / total for power in powers])
+    """Class probabilities as an array, stable for large logits.
+
+    Each logit is evaluated once, however often the formula mentions it.
+    """
+
+    def normalise(powers: Column) -> Column:
+        total = F.aggregate(powers, F.lit(0.0), lambda acc, x: acc + x)
+        return bind(total, lambda t: F.transform(powers, lambda x: x / t))
+
+    return bind(
+        F.array(*logits),
+        lambda values: bind(
+            F.array_max(values),
+            lambda top: bind(F.transform(values, lambda x: F.exp(x - top)), normalise),
+        ),
+    )
 
 
 def soft_vote(probabilities: Sequence[Column], weights: Sequence[float]) -> Column:

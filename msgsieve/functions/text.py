@@ -12,6 +12,8 @@ from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
+from msgsieve.functions.evaluation import bind
+
 # --- fixed values: character classes and patterns ----------------------------
 # Classes are made of properties and single characters: ranges beyond Latin-1
 # cost the JVM matcher several times as much.
@@ -181,11 +183,6 @@ def replace_keywords(text: Column, replacements: Mapping[str, str]) -> Column:
 # --- vectoriser terms ---------------------------------------------------------
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it any number of times in ``body``."""
-    return F.transform(F.array(value), body)[0]
-
-
 def word_tokens(text: Column, token_mode: str = "compat") -> Column:
     """Lower-cased word tokens, single characters included."""
     return F.regexp_extract_all(F.lower(text), F.lit(WORD_CHARS[token_mode]), F.lit(0))

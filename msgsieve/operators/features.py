@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from msgsieve import fixed_values as fixed
 from msgsieve.functions import text as tx
+from msgsieve.functions.evaluation import bind, computed_once
 from msgsieve.operators.prepare import signal_columns, text_column
 
 
@@ -120,7 +121,9 @@ def scaled_signals(
     lookup = statistics.agg(
         F.map_from_entries(F.collect_list(F.struct("signal", F.struct("mean", "std")))).alias("s")
     ).scalar()
-    raw = docs.select(*[c for c in docs.columns if c not in names], *signal_columns(docs, names), lookup.alias("_s"))
+    raw = computed_once(
+        docs, {**{n: c for n, c in zip(names, signal_columns(docs, names))}, "_s": lookup}
+    )
     return raw.withColumns(
         {n: scale(F.col(n), F.col("_s")[n]["mean"], F.col("_s")[n]["std"]) for n in names}
     ).drop("_s")
@@ -131,7 +134,7 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     totals = counts.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("classes"))
     both = totals.select(F.struct("total", "classes")).scalar()
-    return counts.withColumn("_t", both).select(
+    return computed_once(counts, {"_t": both}).select(
         label, "n", (F.col("_t.total") / (F.col("_t.classes") * F.col("n"))).alias("weight")
     )
 
@@ -249,9 +252,9 @@ class MessageFeaturesModel(Model, _FeatureParams, MLReadable, MLWritable):
             raw = F.zip_with(
                 entry["indices"], entry["values"], lambda i, tf: weigh(tf) * F.get(idf, i)
             )
-            return tx.bind(
+            return bind(
                 raw,
-                lambda w: tx.bind(
+                lambda w: bind(
                     F.sqrt(F.aggregate(w, F.lit(0.0), lambda total, x: total + x * x)),
                     lambda norm: F.struct(
                         entry["indices"].alias("indices"),
@@ -260,7 +263,7 @@ class MessageFeaturesModel(Model, _FeatureParams, MLReadable, MLWritable):
                 ),
             )
 
-        return counted.withColumn("_w", tx.bind(F.unwrap_udt("_tf"), normalise)).drop("_terms", "_tf")
+        return counted.withColumn("_w", bind(F.unwrap_udt("_tf"), normalise)).drop("_terms", "_tf")
 
     def weights(self, dataset: DataFrame, *keys: str) -> DataFrame:
         """Long form: one row per (message, known term) with its weight."""

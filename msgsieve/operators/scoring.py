@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from msgsieve import fixed_values as fixed
 from msgsieve.functions import explain as ex
 from msgsieve.functions import labels as lb
+from msgsieve.functions.evaluation import computed_once
 from msgsieve.functions.responses import parse_response, request_prompt
 from msgsieve.functions.text import is_blank
 
@@ -35,14 +36,10 @@ def linear_probabilities(
 
 def classify(scored: DataFrame) -> DataFrame:
     """Add the model's label and confidence; blank messages are certain ham."""
-    blank = is_blank(F.col("text"))
     certain = F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0))
-    return (
-        scored.withColumn("blank", blank)
-        .withColumn("proba", F.when(F.col("blank"), certain).otherwise(F.col("proba")))
-        .withColumn("ml_label_id", lb.argmax(F.col("proba")))
-        .withColumn("ml_confidence", F.array_max("proba"))
-    )
+    proba = F.when(is_blank(F.col("text")), certain).otherwise(F.col("proba"))
+    scored = computed_once(scored, {"blank": is_blank(F.col("text")), "proba": proba})
+    return scored.withColumns({"ml_label_id": lb.argmax(F.col("proba")), "ml_confidence": F.array_max("proba")})
 
 
 def needs_second_opinion(threshold: float = DEFAULT_THRESHOLD) -> Column:
@@ -76,7 +73,7 @@ def _record(decided: DataFrame, spam_keywords: Sequence[str], phishing_keywords:
     label = F.col("final_label_id")
     keywords = ex.keyword_hits(F.col("text"), label, spam_keywords, phishing_keywords)
     reasons = ex.signal_reasons(F.col("url_count"), F.col("phone_count"), F.col("exclamation_count"))
-    with_words = decided.withColumns({"_keywords": keywords, "_reasons": reasons})
+    with_words = computed_once(decided, {"_keywords": keywords, "_reasons": reasons})
     no_words = F.array().cast("array<string>")
     proba = [lb.round4(F.get("proba", F.lit(k))) for k in range(len(fixed.LABELS))]
     record = {

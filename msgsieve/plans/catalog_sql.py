@@ -525,5 +525,5 @@ SELECT message_id, CASE WHEN told IS NOT NULL THEN 'llm' WHEN faq IS NOT NULL TH
     "webhook_events": "SELECT 1 AS position, t AS reply_token, u AS user_id, text, substr(sha256(t || chr(31) || u || chr(31) || text), 1, 32) AS message_id FROM (SELECT 't-' || conv_id || '-' || turn AS t, 'u' || conv_id AS u, text FROM conversations WHERE role = 'user')",
     "webhook_replies": webhook_reply_sql(),
     "generated_messages": generated(),
-    "stream_scoring": f"WITH {records(False)} SELECT substr(sha256(message_id || chr(31) || chr(31) || text), 1, 32) AS id, label, label_id, confidence, risk_level, md5(substr(text, 1, 500)) AS text_md5 FROM rec",
+    "stream_scoring": f"WITH {records(False)} SELECT substr(sha256(message_id || chr(31) || chr(31) || text), 1, 32) AS id, label, label_id, confidence, risk_level, md5(substr(text, 1, 500)) AS text_md5 FROM rec WHERE length(text) <= 2000",
 }

@@ -71,12 +71,13 @@ def _stored_vectors(model: MessageFeaturesModel, prepared: DataFrame, observatio
     """Vectors as a table in the shared folder.
 
     The learners pass over them hundreds of times; a table survives the loss of
-    executors without featurising again.
+    executors without featurising again.  Rebalancing gives it files of even
+    size, so each pass has as many tasks as the data needs.
     """
     spark = prepared.sparkSession
     path = new_table_path(spark, "features")
     vectors = model.transform(prepared).select("label", "features")
-    vectors.observe(observation, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    vectors.hint("rebalance").observe(observation, F.count(F.lit(1)).alias("n")).write.parquet(path)
     return spark.read.parquet(path)
 
 
