@@ -8,14 +8,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from msgsieve import fixed_values as fixed
 from msgsieve.functions import text as tx
-from msgsieve.functions.evaluation import computed_once
 from msgsieve.sources.schemas import SIGNAL_TYPES
 
 
 def add_signals(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add the seven signals of the raw text, each computed once."""
-    values = {name: value.cast(SIGNAL_TYPES[name]) for name, value in tx.signals(F.col(text)).items()}
-    return computed_once(df, values)
+    """Add the seven signals of the raw text; those not used later are pruned."""
+    return df.withColumns(signal_values(text))
+
+
+def signal_values(text: str = "text") -> dict[str, Column]:
+    """The signals as typed columns by name."""
+    return {name: value.cast(SIGNAL_TYPES[name]) for name, value in tx.signals(F.col(text)).items()}
 
 
 def prepare(

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from msgsieve.functions import text as tx
 from msgsieve.functions import validation
+from msgsieve.functions.evaluation import computed_once
 from msgsieve.functions.replies import format_reply
 from msgsieve.functions.text import strip
 from msgsieve.operators import scoring
-from msgsieve.operators.prepare import add_signals
-from msgsieve.functions import text as tx
+from msgsieve.operators.prepare import signal_values
 from msgsieve.plans.train import RiskModel
 
 # Adds ``proba`` to messages that have text_clean and signals.
@@ -34,8 +35,11 @@ def rejected(checked: DataFrame) -> DataFrame:
 
 
 def with_signals(messages: DataFrame) -> DataFrame:
-    """Cleaned text and signals of every message; blank ones stay in."""
-    return add_signals(messages.withColumn("text_clean", tx.process(F.col("text"))))
+    """Cleaned text and signals of every message; blank ones stay in.
+
+    Decisions filter on scores made from these, so they are computed once.
+    """
+    return computed_once(messages, {"text_clean": tx.process(F.col("text")), **signal_values()})
 
 
 def classify_messages(messages: DataFrame, scorer: Scorer | RiskModel) -> DataFrame:

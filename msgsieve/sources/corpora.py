@@ -35,7 +35,19 @@ def scan_tsv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFra
         options |= {"multiLine": "true", "quote": '"', "escape": '"'}
     else:
         options |= {"quote": ""}
-    return spark.read.schema(schemas.TSV_CORPUS).options(**options).csv(path)
+    rows = spark.read.schema(schemas.TSV_CORPUS).options(**options).csv(path)
+    return rows.withColumn("text", _join_quoted_part(F.col("text"))) if multi_line else rows
+
+
+def _join_quoted_part(text: Column) -> Column:
+    """``"a ""b""" c`` is the text ``a "b" c``.
+
+    Spark leaves a field as it is when more text follows its closing quote; the
+    quoted part and the rest belong together without those two quotes.
+    """
+    pattern = r'(?s)^"((?:[^"]|"")*)"([^"].*)$'
+    quoted = F.replace(F.regexp_extract(text, pattern, 1), F.lit('""'), F.lit('"'))
+    return F.when(text.rlike(pattern), F.concat(quoted, F.regexp_extract(text, pattern, 2))).otherwise(text)
 
 
 def scan_csv(spark: SparkSession, path: str, schema=schemas.CSV_MESSAGES) -> DataFrame:
