@@ -40,12 +40,12 @@ def scan_tsv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFra
 
 
 def _join_quoted_part(text: Column) -> Column:
-    """``"a ""b""" c`` is the text ``a "b" c``.
+    """Join a quoted part and the text that follows its closing quote.
 
-    Spark leaves a field as it is when more text follows its closing quote; the
-    quoted part and the rest belong together without those two quotes.
+    Spark leaves such a field as it is.  The two enclosing quotes go, doubled
+    ones inside become single, and the rest is plain text.
     """
-    pattern = r'(?s)^"((?:[^"]|"")*)"([^"].*)$'
+    pattern = r'(?s)^"((?:[^"]++|"")*+)"([^"].*)$'
     quoted = F.replace(F.regexp_extract(text, pattern, 1), F.lit('""'), F.lit('"'))
     return F.when(text.rlike(pattern), F.concat(quoted, F.regexp_extract(text, pattern, 2))).otherwise(text)
 
