@@ -74,7 +74,7 @@ def class_metrics(df: DataFrame, label: str = "label", prediction: str = "predic
     return confusion_row(df, label, prediction).select(F.inline(F.array(*rows)))
 
 
-def _overall(confusion: DataFrame) -> DataFrame:
+def _overall_columns() -> dict[str, Column]:
     """Accuracy, weighted and macro averages from the one-row confusion."""
     per_class = [_class_columns(k) for k in K]
     total = sum((c["support"] for c in per_class), F.lit(0))
@@ -87,17 +87,10 @@ def _overall(confusion: DataFrame) -> DataFrame:
     def macro(name: str) -> Column:
         return _ratio(sum((c[name] * s for c, s in zip(per_class, seen)), F.lit(0.0)), n_seen)
 
-    hits = sum((F.col(_cell(k, k)) for k in K), F.lit(0))
-    return confusion.select(
-        _ratio(hits, total).alias("accuracy"),
-        weighted("precision").alias("precision_weighted"),
-        weighted("recall").alias("recall_weighted"),
-        weighted("f1").alias("f1_weighted"),
-        macro("precision").alias("precision_macro"),
-        macro("recall").alias("recall_macro"),
-        macro("f1").alias("f1_macro"),
-        total.alias("support"),
-    )
+    columns = {"accuracy": _ratio(sum((F.col(_cell(k, k)) for k in K), F.lit(0)), total)}
+    for average, function in (("weighted", weighted), ("macro", macro)):
+        columns |= {f"{name}_{average}": function(name) for name in ("precision", "recall", "f1")}
+    return {**columns, "support": total}
 
 
 def overall_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -105,7 +98,8 @@ def overall_metrics(df: DataFrame, label: str = "label", prediction: str = "pred
 
     Macro averages run over the classes seen in truth or prediction.
     """
-    return _overall(confusion_row(df, label, prediction))
+    columns = _overall_columns()
+    return confusion_row(df, label, prediction).select(*[v.alias(n) for n, v in columns.items()])
 
 
 def auc_by_class(df: DataFrame, label: str = "label", probabilities: str = "proba") -> DataFrame:
@@ -170,24 +164,20 @@ def metrics_table(
     Per-class rows appear only for classes with support, AUC rows only when
     they can be computed.
     """
-    row = confusion_row(df, label, prediction)
-    overall = _overall(row)
-    names = [c for c in overall.columns if c not in ("support", "precision_macro", "recall_macro")]
     none = F.lit(None).cast("string")
-    entries = [F.struct(F.lit(n).alias("metric"), none.alias("class"), F.col(n).alias("value")) for n in names]
-    table = overall.select(F.inline(F.array(*entries)))
-
-    per_class = []
+    overall = _overall_columns()
+    entries = [
+        F.struct(F.lit(n).alias("metric"), none.alias("class"), overall[n].cast("double").alias("value"))
+        for n in ("accuracy", "precision_weighted", "recall_weighted", "f1_weighted", "f1_macro")
+    ]
     for k in K:
         columns = _class_columns(k)
         for name in ("precision", "recall", "f1"):
-            per_class.append(
-                F.when(
-                    columns["support"] > 0,
-                    F.struct(F.lit(name).alias("metric"), F.lit(fixed.LABELS[k]).alias("class"), columns[name].alias("value")),
-                )
-            )
-    table = table.unionByName(row.select(F.inline(F.array_compact(F.array(*per_class)))))
+            value = columns[name].cast("double").alias("value")
+            entry = F.struct(F.lit(name).alias("metric"), F.lit(fixed.LABELS[k]).alias("class"), value)
+            entries.append(F.when(columns["support"] > 0, entry))
+    row = confusion_row(df, label, prediction)
+    table = row.select(F.inline(F.array_compact(F.array(*entries))))
     if probabilities is not None:
         summary = auc_summary(auc_by_class(df, label, probabilities))
         auc = [

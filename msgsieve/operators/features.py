@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
@@ -46,8 +46,13 @@ class TfidfSettings:
     sublinear_tf: bool = True
     token_mode: str = "compat"
 
-    def terms(self, text: Column) -> Column:
-        return tx.ngrams(tx.word_tokens(text, self.token_mode), self.ngram_range)
+    def terms(self, text: Column, words: Sequence[str] | None = None) -> Column:
+        """Terms of a text; with ``words`` only those made of these words."""
+        tokens = tx.word_tokens(text, self.token_mode)
+        if words is None:
+            return tx.ngrams(tokens, self.ngram_range)
+        known = F.transform(tokens, lambda t: F.when(t.isin(list(words)), t))
+        return F.array_compact(tx.ngrams(known, self.ngram_range))
 
     def limit(self, bound: int | float, n_docs: Column) -> Column:
         """A document-frequency bound; fractions are shares of the corpus."""
@@ -59,9 +64,17 @@ def inverse_document_frequency(df: Column, n_docs: Column) -> Column:
     return F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + df)) + F.lit(1.0)
 
 
-def term_statistics(docs: DataFrame, settings: TfidfSettings = TfidfSettings(), text: str = "text_clean") -> DataFrame:
-    """Document frequency ``df`` and corpus frequency ``ctf`` of every term."""
-    counts = tx.term_counts(settings.terms(text_column(docs, text)))
+def term_statistics(
+    docs: DataFrame,
+    settings: TfidfSettings = TfidfSettings(),
+    text: str = "text_clean",
+    words: Sequence[str] | None = None,
+) -> DataFrame:
+    """Document frequency ``df`` and corpus frequency ``ctf`` of every term.
+
+    With ``words`` only terms made of these words are counted.
+    """
+    counts = tx.term_counts(settings.terms(text_column(docs, text), words))
     return (
         docs.select(F.explode(counts).alias("entry"))
         .groupBy(F.col("entry.term").alias("term"))
@@ -69,20 +82,66 @@ def term_statistics(docs: DataFrame, settings: TfidfSettings = TfidfSettings(),
     )
 
 
+# From this estimated input size on, words are counted before word sequences.
+TWO_PASS_BYTES = 1 << 33
+
+
+def _frequent_words(
+    docs: DataFrame, settings: TfidfSettings, text: str, n_docs: Column
+) -> list[str] | None:
+    """Words that a kept term may consist of, or None when all may.
+
+    A sequence occurs at most as often as its rarest word.  If ``max_features``
+    kept words occur at least ``c`` times, no term below ``c`` is kept, so words
+    below ``c`` can be ignored.  At most four times ``max_features`` words are
+    read; when ties make the list longer the answer is None.
+    """
+    if settings.ngram_range[0] != 1 or settings.ngram_range[1] == 1:
+        return None
+    bound = 4 * settings.max_features
+    single = replace(settings, ngram_range=(1, 1))
+    low, high = settings.limit(settings.min_df, n_docs), settings.limit(settings.max_df, n_docs)
+    rows = (
+        term_statistics(docs, single, text)
+        .withColumn("kept", F.col("df").between(low, high))
+        .orderBy(F.desc("ctf"))
+        .select("term", "ctf", "kept")
+        .limit(bound + 1)
+        .collect()
+    )
+    kept = [r["ctf"] for r in rows if r["kept"]]
+    if len(kept) < settings.max_features:
+        return None
+    cut = kept[settings.max_features - 1]
+    words = [r["term"] for r in rows if r["ctf"] >= cut]
+    return words if len(words) <= bound else None
+
+
 def vocabulary(
     docs: DataFrame,
     settings: TfidfSettings = TfidfSettings(),
     text: str = "text_clean",
     n_docs: Column | None = None,
+    two_pass: bool | None = None,
 ) -> DataFrame:
     """Kept terms with ``df``, ``ctf``, ``idf`` and column index.
 
     Document-frequency bounds first, then the ``max_features`` terms of highest
     corpus frequency, ties by term.  Columns are numbered in term order; that
     window runs over the kept terms only, at most ``max_features`` rows.
+
+    Counting every word sequence of a large corpus shuffles more than the
+    corpus itself.  With ``two_pass`` (by default decided by input size) words
+    are counted first and sequences with a rare word are left out; the result
+    is the same.
     """
-    n_docs = docs.agg(F.count(F.lit(1))).scalar() if n_docs is None else n_docs
-    kept = term_statistics(docs, settings, text).where(
+    if n_docs is None:
+        n_docs = docs.agg(F.count(F.lit(1))).scalar()
+    if two_pass is None:
+        size = docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        two_pass = int(str(size)) >= TWO_PASS_BYTES
+    words = _frequent_words(docs, settings, text, n_docs) if two_pass else None
+    kept = term_statistics(docs, settings, text, words).where(
         (F.col("df") >= settings.limit(settings.min_df, n_docs))
         & (F.col("df") <= settings.limit(settings.max_df, n_docs))
     )

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from msgsieve import fixed_values as fixed
 from msgsieve.functions import explain as ex
 from msgsieve.functions import labels as lb
-from msgsieve.functions.evaluation import computed_once
+from msgsieve.functions.evaluation import bind, computed_once
 from msgsieve.functions.responses import parse_response, request_prompt
 from msgsieve.functions.text import is_blank
 
@@ -73,8 +73,17 @@ def _record(decided: DataFrame, spam_keywords: Sequence[str], phishing_keywords:
     label = F.col("final_label_id")
     keywords = ex.keyword_hits(F.col("text"), label, spam_keywords, phishing_keywords)
     reasons = ex.signal_reasons(F.col("url_count"), F.col("phone_count"), F.col("exclamation_count"))
-    with_words = computed_once(decided, {"_keywords": keywords, "_reasons": reasons})
-    no_words = F.array().cast("array<string>")
+    words = bind(
+        keywords,
+        lambda hits: bind(
+            reasons,
+            lambda why: F.struct(
+                ex.explanation(label, hits, why).alias("explanation"), ex.risk_words(hits, why).alias("keywords")
+            ),
+        ),
+    )
+    blank_words = F.struct(F.lit(fixed.EXPLAIN_BLANK).alias("explanation"), F.array().cast("array<string>").alias("keywords"))
+    with_words = decided.withColumn("_words", F.when(F.col("blank"), blank_words).otherwise(words))
     proba = [lb.round4(F.get("proba", F.lit(k))) for k in range(len(fixed.LABELS))]
     record = {
         "label": lb.label_name(label),
@@ -83,12 +92,8 @@ def _record(decided: DataFrame, spam_keywords: Sequence[str], phishing_keywords:
         "confidence": lb.round4(F.col("final_confidence")),
         "risk_level": lb.risk_level(label),
         "risk_level_th": lb.risk_level_th(label),
-        "explanation": F.when(F.col("blank"), F.lit(fixed.EXPLAIN_BLANK)).otherwise(
-            ex.explanation(label, F.col("_keywords"), F.col("_reasons"))
-        ),
-        "keywords": F.when(F.col("blank"), no_words).otherwise(
-            ex.risk_words(F.col("_keywords"), F.col("_reasons"))
-        ),
+        "explanation": F.col("_words.explanation"),
+        "keywords": F.col("_words.keywords"),
         "processing_time_ms": F.lit(None).cast("double"),
         "probabilities": F.struct(*[p.alias(n) for p, n in zip(proba, fixed.LABELS)]),
         "confidence_source": F.when(F.col("hybrid"), F.lit("hybrid")).otherwise(F.lit("ml")),

@@ -16,12 +16,13 @@ from msgsieve.functions import labels as lb
 from msgsieve.functions import responses as rs
 from msgsieve.functions import text as tx
 from msgsieve.functions import validation
+from msgsieve.functions.evaluation import computed_once
 from msgsieve.functions.replies import faq_topic
 from msgsieve.operators import augment, chat, dedup, evaluate, features, ordered, profile, quality, scoring, split, stats
 from msgsieve.operators.learners import LearnerSettings
-from msgsieve.operators.prepare import prepare
+from msgsieve.operators.prepare import add_signals, prepare, signal_values
 from msgsieve.plans import ingest, score, train
-from msgsieve.session import new_table_path, spread
+from msgsieve.session import cut_lineage, new_table_path, spread
 from msgsieve.sources import corpora, logs, schemas
 from msgsieve.sources.webhooks import text_events
 from msgsieve.streaming import jobs
@@ -119,9 +120,13 @@ def messages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def linearly_scored(df: DataFrame) -> DataFrame:
+    """Signals and linear probabilities; the signals are computed once per row."""
+    return linear_scorer(add_signals(df))(computed_once(df, signal_values()))
+
+
 def classified(spark: SparkSession, folder: str) -> DataFrame:
-    prepared = score.with_signals(messages(spark, folder))
-    return scoring.classify(linear_scorer(prepared)(prepared))
+    return scoring.classify(linearly_scored(messages(spark, folder)))
 
 
 def records(spark: SparkSession, folder: str, answers: DataFrame | None = None) -> DataFrame:
@@ -158,8 +163,7 @@ def second_opinions(spark: SparkSession, folder: str) -> DataFrame:
 def judged(spark: SparkSession, folder: str) -> DataFrame:
     """Labelled documents with the linear model's prediction."""
     docs = documents(spark, folder, "doc_id", "text")
-    prepared = score.with_signals(docs)
-    scored = scoring.classify(linear_scorer(prepared)(prepared))
+    scored = scoring.classify(linearly_scored(docs))
     classes = table(spark, folder, "labels", "doc_id", "quality", "toxic").select("doc_id", class_of().alias("label"))
     return scored.select("doc_id", "proba", F.col("ml_label_id").alias("prediction")).join(classes, "doc_id")
 
@@ -413,7 +417,8 @@ def linear_scores(spark, folder):
 @query
 def soft_vote(spark, folder):
     prepared = prepare(documents(spark, folder, "doc_id", "text"))
-    first = linear_scorer(prepared)(prepared).withColumnRenamed("proba", "a")
+    once = computed_once(prepared, {n: F.col(n) for n in fixed.SIGNALS})
+    first = linear_scorer(prepared)(once).withColumnRenamed("proba", "a")
     both = linear_scorer(prepared, SECOND_COEFFICIENTS, SECOND_INTERCEPTS)(first)
     third = F.array(F.lit(0.5), F.lit(0.3), F.lit(0.2))
     voted = both.select("doc_id", lb.soft_vote([F.col("a"), F.col("proba"), third], (2, 1, 2)).alias("p"))
@@ -512,7 +517,8 @@ def auc_by_class(spark, folder):
 @query
 def metrics_table(spark, folder):
     rounded = judged(spark, folder).withColumn("proba", F.transform("proba", lambda p: F.round(p, 4)))
-    return evaluate.metrics_table(rounded).select("metric", "class", r6("value").alias("value"))
+    # three aggregations read the scores, so they are written once
+    return evaluate.metrics_table(cut_lineage(rounded)).select("metric", "class", r6("value").alias("value"))
 
 
 @query
@@ -735,7 +741,7 @@ def stream_scoring(spark, folder):
     stream = jobs.file_stream(spark, folder, schema, pathGlobFilter="documents.parquet").select(
         F.col("doc_id").cast("string").alias("message_id"), "text"
     )
-    scorer = linear_scorer(score.with_signals(documents(spark, folder, "doc_id", "text")))
+    scorer = linear_scorer(add_signals(documents(spark, folder, "doc_id", "text")))
     jobs.run_available(jobs.score_stream(stream, scorer, out, f"{out}/checkpoint"))
     return logs.scan_predictions(spark, f"{out}/predictions").select(
         "id", "label", "label_id", "confidence", "risk_level", F.md5("text").alias("text_md5")

@@ -7,13 +7,13 @@ import time
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 import msgsieve
 from msgsieve.operators import evaluate, learners
 from msgsieve.operators.features import MessageFeatures, MessageFeaturesModel, TfidfSettings
 from msgsieve.operators.prepare import prepare
-from msgsieve.session import new_table_path
+from msgsieve.session import cut_lineage, new_table_path
 from msgsieve.sources import logs
 
 
@@ -49,7 +49,11 @@ def ensure_prepared(df: DataFrame) -> DataFrame:
 
 
 def _metric_map(scored: DataFrame) -> dict[str, float]:
-    """The metrics table as a dict (some 16 rows)."""
+    """The metrics table as a dict (some 16 rows).
+
+    Several aggregations read the predictions, so they are written once.
+    """
+    scored = cut_lineage(scored.select("label", "prediction", "proba"))
     rows = evaluate.metrics_table(scored).collect()
     return {r["metric"] if r["class"] is None else f"{r['metric']}_{r['class']}": r["value"] for r in rows}
 
@@ -67,7 +71,7 @@ def _val_metrics(metrics: dict[str, float], seconds: float) -> dict[str, float]:
     return named
 
 
-def _stored_vectors(model: MessageFeaturesModel, prepared: DataFrame, observation: Observation) -> DataFrame:
+def _stored_vectors(model: MessageFeaturesModel, prepared: DataFrame) -> DataFrame:
     """Vectors as a table in the shared folder.
 
     The learners pass over them hundreds of times; a table survives the loss of
@@ -77,7 +81,7 @@ def _stored_vectors(model: MessageFeaturesModel, prepared: DataFrame, observatio
     spark = prepared.sparkSession
     path = new_table_path(spark, "features")
     vectors = model.transform(prepared).select("label", "features")
-    vectors.hint("rebalance").observe(observation, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    vectors.hint("rebalance").write.parquet(path)
     return spark.read.parquet(path)
 
 
@@ -98,10 +102,9 @@ def train(
     """
     prepared_train, prepared_val = ensure_prepared(train_set), ensure_prepared(val_set)
     features = MessageFeatures(settings=tfidf).fit(prepared_train)
-    seen = {"train": Observation("train_rows"), "val": Observation("val_rows")}
-    vectors = _stored_vectors(features, prepared_train, seen["train"])
-    val_vectors = _stored_vectors(features, prepared_val, seen["val"])
-    n_train, n_val = seen["train"].get["n"], seen["val"].get["n"]
+    vectors = _stored_vectors(features, prepared_train)
+    val_vectors = _stored_vectors(features, prepared_val)
+    n_train, n_val = vectors.count(), val_vectors.count()  # read from file footers
 
     weighted = learners.with_class_weights(vectors).persist()
     val_vectors = val_vectors.persist()

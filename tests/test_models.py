@@ -88,6 +88,17 @@ def test_features_do_not_depend_on_partitions(spark, docs):
     assert sorted(one) == sorted(many)
 
 
+@pytest.mark.parametrize("top,min_df", [(5, 1), (40, 2), (200, 2), (5000, 2)])
+def test_counting_words_first_changes_nothing(spark, top, min_df):
+    corpus = prepare(generate_corpus(spark, 60, 40, 30))
+    settings = features.TfidfSettings(max_features=top, min_df=min_df, max_df=0.3)
+    one = features.vocabulary(corpus, settings, two_pass=False).collect()
+    two = features.vocabulary(corpus, settings, two_pass=True).collect()
+    assert sorted(one) == sorted(two) and len(one) <= top
+    words = features._frequent_words(corpus, settings, "text_clean", F.lit(130))
+    assert (words is None) == (top == 5000)
+
+
 def test_class_weights(spark):
     df = spark.createDataFrame([(0,)] * 6 + [(1,)] * 3 + [(None,)], "label int")
     got = {r["label"]: r["weight"] for r in features.class_weights(df).collect()}
