@@ -125,15 +125,16 @@ def auc_by_class(df: DataFrame, label: str = "label", probabilities: str = "prob
         df.where(F.col(label).isin(list(K)))
         .select(pairs.alias("_p"))
         .groupBy("_p.label_id", "_p.score")
-        .agg(F.sum("_p.hit").alias("pos"), F.sum(F.lit(1) - F.col("_p.hit")).alias("neg"))
+        .agg(F.sum("_p.hit").alias("pos"), F.count(F.lit(1)).alias("n"))
     )
-    ranked = running_before(counted, ["label_id"], "score", ["pos", "neg"])
+    ranked = running_before(counted, ["label_id"], "score", ["pos", "n"])
+    negatives, below = F.col("n") - F.col("pos"), F.col("n_before") - F.col("pos_before")
     # decimal sums: the products may pass the exact range of doubles
-    below = (F.col("pos").cast("decimal(20,0)") * (2 * F.col("neg_before") + F.col("neg")).cast("decimal(20,0)"))
+    wins = F.col("pos").cast("decimal(20,0)") * (2 * below + negatives).cast("decimal(20,0)")
     return ranked.groupBy("label_id").agg(
         F.max("pos_total").alias("positives"),
-        F.max("neg_total").alias("negatives"),
-        F.sum(below).cast("double").alias("_twice"),
+        F.max(F.col("n_total") - F.col("pos_total")).alias("negatives"),
+        F.sum(wins).cast("double").alias("_twice"),
     ).select(
         "label_id",
         "positives",

@@ -155,9 +155,16 @@ def vocabulary(
     )
 
 
+def _signal_values(docs: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Only the signals, each computed once for all aggregates over it."""
+    return computed_once(docs, {f"_{n}": c for n, c in zip(names, signal_columns(docs, names))}).select(
+        *[F.col(f"_{n}").alias(n) for n in names]
+    )
+
+
 def signal_statistics(docs: DataFrame, names: Sequence[str] = tuple(fixed.SIGNALS)) -> DataFrame:
     """Mean and population deviation of each signal, one row per signal."""
-    values = docs.select(*signal_columns(docs, names))
+    values = _signal_values(docs, names)
     one_row = values.agg(
         *[F.avg(n).alias(f"mean_{n}") for n in names], *[F.stddev_pop(n).alias(f"std_{n}") for n in names]
     )
@@ -241,7 +248,7 @@ class MessageFeatures(Estimator, _FeatureParams, DefaultParamsReadable, DefaultP
 
     def _fit(self, dataset: DataFrame) -> "MessageFeaturesModel":
         names = fixed.SIGNALS
-        values = dataset.select(*signal_columns(dataset, names))
+        values = _signal_values(dataset, names)
         first = values.agg(
             F.count(F.lit(1)).alias("n"),
             *[F.avg(n).alias(f"mean_{n}") for n in names],

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from msgsieve.operators import evaluate
 from msgsieve.plans.train import RiskModel, ensure_prepared
-from msgsieve.session import new_table_path
+from msgsieve.session import cut_lineage
 
 
 def assess(model: RiskModel, test_set: DataFrame, output: str | None = None) -> dict[str, DataFrame]:
@@ -16,11 +16,8 @@ def assess(model: RiskModel, test_set: DataFrame, output: str | None = None) ->
     a table.  With ``output`` the metrics go there as Parquet and the confusion
     matrix and report as JSON.
     """
-    spark = test_set.sparkSession
-    path = new_table_path(spark, "scored")
     scored = model.score(ensure_prepared(test_set))
-    scored.select("label", "prediction", "proba").write.parquet(path)
-    scored = spark.read.parquet(path)
+    scored = cut_lineage(scored.select("label", "prediction", "proba"), "scored")
     result = {
         "metrics": evaluate.metrics_table(scored),
         "confusion": evaluate.confusion_matrix(scored),

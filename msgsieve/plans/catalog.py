@@ -130,9 +130,10 @@ def classified(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def records(spark: SparkSession, folder: str, answers: DataFrame | None = None) -> DataFrame:
-    return scoring.decide(
-        classified(spark, folder), answers, spam_keywords=SPAM_WORDS, phishing_keywords=PHISHING_WORDS
-    )
+    scored = classified(spark, folder)
+    if answers is not None:
+        scored = cut_lineage(scored, "classified")
+    return scoring.decide(scored, answers, spam_keywords=SPAM_WORDS, phishing_keywords=PHISHING_WORDS)
 
 
 def second_opinions(spark: SparkSession, folder: str) -> DataFrame:
@@ -558,16 +559,17 @@ def telemetry(spark, folder):
     )
 
 
+def _corrections(judgements: DataFrame) -> DataFrame:
+    """The model's label against the label table, some unusable."""
+    actual = F.when(F.col("doc_id") % 11 == 0, F.lit("unknown")).otherwise(lb.label_name(F.col("label")))
+    return judgements.withColumns(
+        {"predicted_label": lb.label_name(F.col("prediction")), "actual_label": actual}
+    )
+
+
 def _feedback(spark: SparkSession, folder: str) -> DataFrame:
-    """Corrections: the model's label against the label table, some unusable."""
     docs = documents(spark, folder, "doc_id", "text")
-    known = judged(spark, folder).select("doc_id", "prediction", "label").join(docs, "doc_id")
-    return known.select(
-        "doc_id",
-        "text",
-        lb.label_name(F.col("prediction")).alias("predicted_label"),
-        F.when(F.col("doc_id") % 11 == 0, F.lit("unknown")).otherwise(lb.label_name(F.col("label"))).alias("actual_label"),
-    )
+    return _corrections(judged(spark, folder)).select("doc_id", "predicted_label", "actual_label").join(docs, "doc_id")
 
 
 @query
@@ -602,9 +604,15 @@ def chat_quarantine(spark, folder):
 
 @query
 def prediction_stats(spark, folder):
-    decided = records(spark, folder).select("label")
-    good = F.col("predicted_label") != F.col("actual_label")
-    return stats.prediction_stats(decided, _feedback(spark, folder).where(good))
+    scored = cut_lineage(
+        linearly_scored(documents(spark, folder, "doc_id", "text")).select(
+            "doc_id", lb.argmax(F.col("proba")).alias("prediction")
+        )
+    )
+    classes = table(spark, folder, "labels", "doc_id", "quality", "toxic").select("doc_id", class_of().alias("label"))
+    feedback = _corrections(scored.join(classes, "doc_id")).where(F.col("predicted_label") != F.col("actual_label"))
+    predictions = scored.select(lb.label_name(F.col("prediction")).alias("label"))
+    return stats.prediction_stats(predictions, feedback)
 
 
 @query

@@ -14,6 +14,7 @@ from msgsieve.functions.text import strip
 from msgsieve.operators import scoring
 from msgsieve.operators.prepare import signal_values
 from msgsieve.plans.train import RiskModel
+from msgsieve.session import cut_lineage
 
 # Adds ``proba`` to messages that have text_clean and signals.
 Scorer = Callable[[DataFrame], DataFrame]
@@ -54,8 +55,15 @@ def score_messages(
     responses: DataFrame | None = None,
     threshold: float = scoring.DEFAULT_THRESHOLD,
 ) -> DataFrame:
-    """Decision records of messages, with second opinions where there are any."""
-    return scoring.decide(classify_messages(messages, scorer), responses, threshold)
+    """Decision records of messages, with second opinions where there are any.
+
+    With responses the scores are read twice, by the unsure and by the sure
+    messages, so they are written once and the model runs once.
+    """
+    classified = classify_messages(messages, scorer)
+    if responses is not None:
+        classified = cut_lineage(classified, "classified")
+    return scoring.decide(classified, responses, threshold)
 
 
 def replies(records: DataFrame, *keep: str) -> DataFrame:

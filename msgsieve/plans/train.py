@@ -13,7 +13,7 @@ import msgsieve
 from msgsieve.operators import evaluate, learners
 from msgsieve.operators.features import MessageFeatures, MessageFeaturesModel, TfidfSettings
 from msgsieve.operators.prepare import prepare
-from msgsieve.session import cut_lineage, new_table_path
+from msgsieve.session import cut_lineage
 from msgsieve.sources import logs
 
 
@@ -78,11 +78,8 @@ def _stored_vectors(model: MessageFeaturesModel, prepared: DataFrame) -> DataFra
     executors without featurising again.  Rebalancing gives it files of even
     size, so each pass has as many tasks as the data needs.
     """
-    spark = prepared.sparkSession
-    path = new_table_path(spark, "features")
     vectors = model.transform(prepared).select("label", "features")
-    vectors.hint("rebalance").write.parquet(path)
-    return spark.read.parquet(path)
+    return cut_lineage(vectors.hint("rebalance"), "features")
 
 
 def train(
