@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from msgsieve import fixed_values as fixed
+from msgsieve.functions.evaluation import bind
 from msgsieve.functions.labels import clamp01
 from msgsieve.functions.text import strip
 
@@ -30,11 +31,17 @@ def parse_response(raw: Column) -> Column:
     """
     found = F.nullif(F.regexp_extract(F.coalesce(raw, F.lit("")), JSON_OBJECT, 1), F.lit(""))
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken", "allowSingleQuotes": "false"}
-    fields = F.from_json(found, JSON_FIELDS, options)
+    return bind(
+        found,
+        lambda json: bind(F.from_json(json, JSON_FIELDS, options), lambda fields: _checked(json, fields)),
+    )
+
 
+def _checked(json: Column, fields: Column) -> Column:
+    """Fields of a JSON object under the rules of ``parse_response``."""
     label = F.lower(strip(fields["label"]))
-    keys = F.json_object_keys(found)
-    boolean = F.nullif(F.regexp_extract(found, JSON_BOOLEAN_CONFIDENCE, 1), F.lit(""))
+    keys = F.json_object_keys(json)
+    boolean = F.nullif(F.regexp_extract(json, JSON_BOOLEAN_CONFIDENCE, 1), F.lit(""))
     number = strip(fields["confidence"])
     confidence = (
         F.when(~F.array_contains(keys, "confidence"), F.lit(0.5))
@@ -45,16 +52,13 @@ def parse_response(raw: Column) -> Column:
     reason = F.when(
         F.array_contains(keys, "reason"), strip(F.coalesce(fields["reason"], F.lit("None")))
     ).otherwise(F.lit(""))
-    ok = F.coalesce(
-        found.isNotNull()
-        & fields["_broken"].isNull()
-        & label.isin(fixed.LABELS)
-        & confidence.isNotNull(),
-        F.lit(False),
-    )
-    return F.struct(
-        ok.alias("parse_ok"),
-        F.when(ok, label).alias("label"),
-        F.when(ok, clamp01(confidence)).alias("confidence"),
-        F.when(ok, reason).alias("reason"),
+    valid = json.isNotNull() & fields["_broken"].isNull() & label.isin(fixed.LABELS) & confidence.isNotNull()
+    return bind(
+        F.coalesce(valid, F.lit(False)),
+        lambda ok: F.struct(
+            ok.alias("parse_ok"),
+            F.when(ok, label).alias("label"),
+            F.when(ok, clamp01(confidence)).alias("confidence"),
+            F.when(ok, reason).alias("reason"),
+        ),
     )

@@ -120,7 +120,8 @@ def callable_tokenizer(build: Callable[[], Callable[[str], Iterable[str]]]) -> T
         for texts in batches:
             yield texts.map(lambda value: list(cut(value or "")))
 
-    return segment
+    # so declared, a filter on the tokens does not run the segmenter again
+    return segment.asNondeterministic()
 
 
 TOKENIZERS: dict[str, Tokenizer] = {"whitespace": whitespace_tokenizer}

@@ -63,7 +63,7 @@ def second_opinion_requests(
 
 def parsed_responses(responses: DataFrame, raw: str = "response") -> DataFrame:
     """Valid answers, one per message; of several the first in text order."""
-    parsed = responses.select("message_id", parse_response(F.col(raw)).alias("p")).where("p.parse_ok")
+    parsed = computed_once(responses.select("message_id", raw), {"p": parse_response(F.col(raw))}).where("p.parse_ok")
     best = parsed.groupBy("message_id").agg(F.min(F.struct("p.label", "p.confidence", "p.reason")).alias("second"))
     return best
 

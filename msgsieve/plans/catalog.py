@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from msgsieve import fixed_values as fixed
 from msgsieve.functions import explain as ex
@@ -329,7 +329,8 @@ def split_table(spark, folder):
     path = new_table_path(spark, "splits")
     rows = split.split_by_hash(raw_messages(spark, folder))
     corpora.write_splits(rows, path)
-    written = spark.read.schema(schemas.RAW.add("split", "string")).parquet(path)
+    with_split = T.StructType([*schemas.RAW.fields, T.StructField("split", T.StringType())])
+    written = spark.read.schema(with_split).parquet(path)
     held_out = written.where(F.col("split") != "train")
     return held_out.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
 
