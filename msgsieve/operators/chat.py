@@ -113,6 +113,7 @@ def answers(
                 "source": F.when(F.col("_reply").isNotNull(), "llm")
                 .when(F.col("_faq").isNotNull(), "faq")
                 .otherwise("fallback"),
+                "timestamp": F.current_timestamp(),
             }
         )
         .drop("_reply", "_faq")

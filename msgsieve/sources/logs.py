@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from msgsieve import fixed_values as fixed
 from msgsieve.functions.hashing import stable_id
 from msgsieve.sources import schemas
 
@@ -47,6 +48,15 @@ def feedback_log(feedback: DataFrame, created_at: Column | None = None) -> DataF
     )
 
 
+def feedback_receipts(logged: DataFrame) -> DataFrame:
+    """What the sender of each logged feedback gets back."""
+    return logged.select(
+        F.col("id").alias("feedback_id"),
+        F.lit(fixed.FEEDBACK_THANKS).alias("message"),
+        F.col("created_at").alias("saved_at"),
+    )
+
+
 def telemetry(scored: DataFrame) -> DataFrame:
     """Tags, metrics and params of each prediction."""
     user = F.col("user_id") if "user_id" in scored.columns else F.lit(None).cast("string")

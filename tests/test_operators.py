@@ -14,7 +14,7 @@ from msgsieve.functions.responses import parse_response
 from msgsieve import fixed_values as fixed
 from msgsieve.operators import augment, chat, dedup, evaluate, ordered, profile, quality, scoring, split, stats
 from msgsieve.operators.prepare import prepare
-from msgsieve.sources import schemas
+from msgsieve.sources import logs, schemas
 
 
 def test_keep_first_with_a_text_in_half_the_rows(spark):
@@ -372,3 +372,12 @@ def test_stats(spark):
     assert (empty["total_predictions"], empty["spam_rate"], empty["feedback_count"]) == (0, 0.0, 0)
     none = stats.model_info(spark.createDataFrame([], schemas.MODEL_RUNS)).first()
     assert (none["model_loaded"], none["trained_at"], none["val_accuracy"]) == (False, "unknown", 0.0)
+    health = stats.health(spark.createDataFrame([], schemas.MODEL_RUNS), "2.0").first()
+    assert (health["status"], health["model_loaded"], health["model_version"]) == ("ok", False, "2.0")
+
+
+def test_feedback_receipts(spark):
+    given = spark.createDataFrame([("t", "ham", "spam")], "text string, predicted_label string, actual_label string")
+    logged = logs.feedback_log(given)
+    receipt = logs.feedback_receipts(logged).first()
+    assert len(receipt["feedback_id"]) == 32 and receipt["message"] == fixed.FEEDBACK_THANKS
