@@ -9,7 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+# Most classes (labels, languages, sources) a table may be grouped into when one
+# row per class goes to every task.
+MAX_CLASSES = 10_000
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -25,3 +29,15 @@ def computed_once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
     kept = [c for c in df.columns if c not in columns]
     row = F.struct(*[value.alias(name) for name, value in columns.items()])
     return df.select(*kept, F.inline(F.array(row)))
+
+
+def checked_broadcast(df: DataFrame, rows: int = MAX_CLASSES) -> DataFrame:
+    """Mark ``df`` for broadcasting, failing if it has more than ``rows`` rows.
+
+    The check reads at most one row more than allowed, so a table that is too
+    large stops the job instead of flooding the executors.
+    """
+    count = F.count(F.lit(1)).over(Window.partitionBy())
+    too_many = F.raise_error(F.lit(f"more than {rows} rows to broadcast: group by a column with fewer values"))
+    fits = F.when(F.col("_rows") <= rows, F.lit(True)).otherwise(too_many.cast("boolean"))
+    return F.broadcast(df.limit(rows + 1).withColumn("_rows", count).where(fits).drop("_rows"))

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from msgsieve.functions.evaluation import MAX_CLASSES, checked_broadcast
 from msgsieve.functions.hashing import hash32
 
 
@@ -37,7 +38,7 @@ def histogram(df: DataFrame, group: str, column: str, bins: int = 30) -> DataFra
     )
     at = F.floor((F.col("value") - F.col("lo")) * bins / (F.col("hi") - F.col("lo")))
     return (
-        counts.join(F.broadcast(limits), group)
+        counts.join(checked_broadcast(limits), group)
         .withColumn("bin", F.least(at, F.lit(bins - 1)).cast("int"))
         .groupBy(group, "bin")
         .agg(F.sum("n").alias("n"))
@@ -66,7 +67,7 @@ def sample_per_class(
         .select(key, "rank")
     )
     # n rows per class
-    return df.join(F.broadcast(picked), key).select(
+    return df.join(checked_broadcast(picked, n * MAX_CLASSES), key).select(
         group, "rank", key, F.substring(text, 1, preview).alias(text)
     )
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from msgsieve.functions import labels as lb
+from msgsieve.functions.evaluation import checked_broadcast
 from msgsieve.functions import validation
 from msgsieve.functions.replies import faq_answer, format_reply
 from msgsieve.functions.responses import parse_response
@@ -102,6 +103,12 @@ def test_histogram(spark):
         assert [got.get((g, b), 0) for b in range(20)] == list(counts)
 
 
+def test_broadcast_check(spark):
+    assert checked_broadcast(spark.range(5), 5).count() == 5
+    with pytest.raises(Exception, match="more than 4 rows"):
+        checked_broadcast(spark.range(5), 4).collect()
+
+
 def test_samples_and_shuffle(spark):
     df = spark.range(300).select("id", (F.col("id") % 2).alias("g"), F.repeat(F.lit("x"), 300).alias("text"))
     one = profile.sample_per_class(df, "g", "id").orderBy("g", "rank").collect()
