@@ -25,13 +25,16 @@ def histogram(df: DataFrame, group: str, column: str, bins: int = 30) -> DataFra
     to each side.
     """
     counts = (
-        df.where(F.col(column).isNotNull())
+        df.where(F.col(column).isNotNull() & F.col(group).isNotNull())
         .groupBy(group, F.col(column).cast("double").alias("value"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    limits = counts.groupBy(group).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    limits = counts.groupBy(group).agg(
+        F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("n").alias("total")
+    )
     single = F.col("lo") == F.col("hi")
-    limits = limits.select(
+    # reading n here too lets Spark use one aggregation for limits and bins
+    limits = limits.where(F.col("total") > 0).select(
         group,
         F.when(single, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
         F.when(single, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
