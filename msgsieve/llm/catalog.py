@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from msgsieve.llm.packing import op5_minimum_slack
 from msgsieve.llm.quality_rules import op6_weak_supervision
 from msgsieve.llm.sharding import op4_byte_shards
 
-QUERIES = {f.__name__: f for f in (op4_byte_shards, op6_weak_supervision)}
+QUERIES = {f.__name__: f for f in (op4_byte_shards, op5_minimum_slack, op6_weak_supervision)}
 SQL: dict[str, str] = {}
