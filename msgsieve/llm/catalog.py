@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from msgsieve.llm.preferences import SQL as PREFERENCE_SQL, op7_preference_pairs
 from msgsieve.llm.packing import op5_minimum_slack
+from msgsieve.llm.pseudonyms import op1_feistel_pseudonyms
 from msgsieve.llm.quality_rules import op6_weak_supervision
 from msgsieve.llm.sharding import op4_byte_shards
 
-QUERIES = {f.__name__: f for f in (op4_byte_shards, op5_minimum_slack, op6_weak_supervision)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (
+    op1_feistel_pseudonyms, op4_byte_shards, op5_minimum_slack, op6_weak_supervision, op7_preference_pairs)}
+SQL: dict[str, str] = {"op7_preference_pairs": PREFERENCE_SQL}
