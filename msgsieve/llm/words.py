@@ -53,6 +53,8 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     column = column.cast(pa.large_string())
     if column.null_count:
         column = column.fill_null("")
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
     return (np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
