@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
+from msgsieve.llm import preferences, substrings
 from msgsieve.llm.decontamination import op3_simhash_windows
-from msgsieve.llm.preferences import SQL as PREFERENCE_SQL, op7_preference_pairs
 from msgsieve.llm.packing import op5_minimum_slack
+from msgsieve.llm.preferences import op7_preference_pairs
 from msgsieve.llm.pseudonyms import op1_feistel_pseudonyms
 from msgsieve.llm.quality_rules import op6_weak_supervision
 from msgsieve.llm.sharding import op4_byte_shards
+from msgsieve.llm.substrings import op2_count_min_passages
 
-QUERIES = {f.__name__: f for f in (
-    op1_feistel_pseudonyms, op3_simhash_windows, op4_byte_shards, op5_minimum_slack, op6_weak_supervision,
-SQL: dict[str, str] = {"op7_preference_pairs": PREFERENCE_SQL}
+QUERIES = {
+    query.__name__: query
+    for query in (
+        op1_feistel_pseudonyms,
+        op2_count_min_passages,
+        op3_simhash_windows,
+        op4_byte_shards,
+        op5_minimum_slack,
+        op6_weak_supervision,
+        op7_preference_pairs,
+    )
+}
+SQL = {
+    "op2_count_min_passages": substrings.SQL,
+    "op7_preference_pairs": preferences.SQL,
+}

@@ -160,3 +160,37 @@ def valid_starts(first: np.ndarray, size: int, total: int) -> np.ndarray:
 
 def as_signed(hashes: np.ndarray) -> np.ndarray:
     return hashes.view(np.int64)
+
+
+def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
+    """The minimum of every ``width`` neighbours, in a few passes over doubling widths."""
+    reach = 1
+    while 2 * reach <= width:
+        values = np.minimum(values[:-reach], values[reach:])
+        reach *= 2
+    rest = width - reach
+    return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
+
+
+class Joined:
+    """The chosen words of every row of a block, joined by single spaces."""
+
+    def __init__(self, words: Words, keep: np.ndarray | None = None):
+        low, high = words.start, words.end
+        owner = words.rows()
+        if keep is not None:
+            low, high, owner = low[keep], high[keep], owner[keep]
+        length = high - low + 1  # with the space after it
+        total = np.cumsum(length)
+        begin = total - length
+        size = int(total[-1]) if len(total) else 0
+        place = np.arange(size) + np.repeat(low - begin, length)
+        data = words.data[np.minimum(place, len(words.data) - 1)] if size else np.zeros(0, np.uint8)
+        data[total - 1] = 0x20
+        self._raw = data.tobytes()
+        first = np.searchsorted(owner, np.arange(len(words.first)))
+        self._bounds = np.concatenate([[0], total])[first].tolist()
+
+    def row(self, r: int) -> bytes:
+        low, high = self._bounds[r], self._bounds[r + 1]
+        return self._raw[low : high - 1] if high > low else b""
