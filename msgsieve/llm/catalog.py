@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from msgsieve.llm import preferences, substrings
+from msgsieve.llm import near_duplicates, preferences, substrings
 from msgsieve.llm.decontamination import op3_simhash_windows
+from msgsieve.llm.near_duplicates import op10_odd_sketches
 from msgsieve.llm.packing import op5_minimum_slack
 from msgsieve.llm.preferences import op7_preference_pairs
 from msgsieve.llm.pseudonyms import op1_feistel_pseudonyms
@@ -21,9 +22,11 @@ QUERIES = {
         op5_minimum_slack,
         op6_weak_supervision,
         op7_preference_pairs,
+        op10_odd_sketches,
     )
 }
 SQL = {
     "op2_count_min_passages": substrings.SQL,
     "op7_preference_pairs": preferences.SQL,
+    "op10_odd_sketches": near_duplicates.SQL,
 }
