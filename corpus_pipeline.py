@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from msgsieve.llm.decontamination import drop_contaminated
+from msgsieve.llm.near_duplicates import keep_one
+from msgsieve.llm.packing import pack_stage
+from msgsieve.llm.pseudonyms import pseudonym_stage
 from msgsieve.llm.quality_rules import keep_good
 from msgsieve.llm.tables import read
 from msgsieve.session import cut_lineage
@@ -11,6 +15,10 @@ from msgsieve.session import cut_lineage
 # (name, function of (spark, docs, sf_dir)); each reads all that its predecessor kept.
 STAGES = [
     ("quality rules", keep_good),
+    ("near-duplicates", keep_one),
+    ("benchmark decontamination", drop_contaminated),
+    ("personal data", pseudonym_stage),
+    ("packing", pack_stage),
 ]
 
 # Expectation-maximisation, sketches and subset-sum packing have no SQL form; tests/llm checks run() by brute force.

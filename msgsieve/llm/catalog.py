@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from msgsieve.llm import near_duplicates, preferences, substrings
 from msgsieve.llm.decontamination import op3_simhash_windows
+from msgsieve.llm.factorization import op9_factorization_machine
 from msgsieve.llm.near_duplicates import op10_odd_sketches
 from msgsieve.llm.packing import op5_minimum_slack
 from msgsieve.llm.preferences import op7_preference_pairs
@@ -11,6 +12,7 @@ from msgsieve.llm.pseudonyms import op1_feistel_pseudonyms
 from msgsieve.llm.quality_rules import op6_weak_supervision
 from msgsieve.llm.sharding import op4_byte_shards
 from msgsieve.llm.substrings import op2_count_min_passages
+from msgsieve.llm.toxicity import op8_levenshtein_lexicon
 
 QUERIES = {
     query.__name__: query
@@ -22,6 +24,8 @@ QUERIES = {
         op5_minimum_slack,
         op6_weak_supervision,
         op7_preference_pairs,
+        op8_levenshtein_lexicon,
+        op9_factorization_machine,
         op10_odd_sketches,
     )
 }
