@@ -216,8 +216,9 @@ def telling(counts: DataFrame, share: float, least: float) -> DataFrame:
 
     gain = term(F.col("toxic"), share) + term(F.col("harmless"), 1 - share)
     weight = F.log((F.col("toxic") + 0.5) / (F.col("harmless") + 0.5)) + math.log((1 - share) / share)
-    support = F.least("toxic", F.bit_count("bits"))
-    return counts.where((F.col("toxic") >= MIN_PURITY * n) & (support >= MIN_SUPPORT)).select(
+    surroundings = F.bit_count("bits")  # of 64; copies of a text share theirs
+    varied = (surroundings >= MIN_SUPPORT) & (2 * surroundings >= F.least("toxic", F.lit(40)))
+    return counts.where((F.col("toxic") >= MIN_PURITY * n) & varied).select(
         "*", gain.alias("gain"), F.least(weight, F.lit(8.0)).alias("weight")).where(F.col("gain") >= least)
 
 
