@@ -82,9 +82,9 @@ FAQ_KEYWORDS = [
     ("แจ้งความ", "ถูกหลอกแล้วทำอย่างไร"),
 ]
 CHAT_FALLBACK = (
-    "ตอนนี้นุ้งเชื่อมต่อระบบ AI ไม่ได้ค่ะ ขออภัยด้วยนะ\n\n"
-    "ถ้าต้องการความช่วยเหลือด่วน โทร 1599 สายด่วนไซเบอร์ได้เลยค่ะ ฟรี 24 ชม.\n\n"
-    "หรือลองถามนุ้งใหม่อีกทีในภายหลังนะคะ"
+    "ตอนนี้เชื่อมต่อระบบ AI ไม่ได้ ขออภัยด้วย\n\n"
+    "หากต้องการความช่วยเหลือด่วน โทรสายด่วน 1599 ได้ตลอด 24 ชั่วโมง\n\n"
+    "หรือลองถามใหม่อีกครั้งภายหลัง"
 )
 
 # --- fixed values: prefixes and suffixes added as noise -----------------------

@@ -7,16 +7,22 @@ from pyspark.sql import DataFrame, functions as F
 from msgsieve.functions.hashing import text_key
 
 
-def keep_first(df: DataFrame, text: str = "text", order: tuple[str, ...] = ("priority", "ordinal")) -> DataFrame:
-    """One row per text, the first in ``order``.
+# Of the 63 bits of a row's place, those below the priority.
+ORDINAL_BITS = 55
 
-    Each task reduces its own rows first, so a text that makes up a third of
-    the input leaves every task as a single row.  The text is the grouping key
-    and therefore moves once, not a second time inside the kept row.
+
+def keep_first(df: DataFrame, text: str = "text", priority: str = "priority", ordinal: str = "ordinal") -> DataFrame:
+    """One row per text, the first by ``priority`` (below 256) and ``ordinal`` (0 to 2 ** 55 - 1).
+
+    A row's place is one number, so finding the first place of each text is a hash
+    aggregation of fixed-width values that shrinks a frequent text inside each
+    task.  The winning rows are then fetched by place and text key, which spreads
+    the rows of a frequent text too.  Equal rows with equal places count once.
     """
-    rest = [c for c in df.columns if c != text and c not in order]
-    first = df.groupBy(text).agg(F.min(F.struct(*order, *rest)).alias("_first"))
-    return first.select(*[F.col(c) if c == text else F.col(f"_first.{c}").alias(c) for c in df.columns])
+    place = F.shiftleft(F.col(priority).cast("bigint"), ORDINAL_BITS) + F.col(ordinal).cast("bigint")
+    keyed = df.withColumns({"_key": text_key(F.col(text)), "_place": place})
+    first = keyed.groupBy("_key").agg(F.min("_place").alias("_place"))
+    return keyed.join(first, ["_place", "_key"]).drop("_place", "_key").distinct().select(*df.columns)
 
 
 def duplicate_count(df: DataFrame, text: str = "text") -> DataFrame:

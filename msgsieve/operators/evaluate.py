@@ -41,6 +41,13 @@ def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "pre
     return confusion_row(df, label, prediction).select(F.inline(F.array(*cells)))
 
 
+def overall_metrics_by(df: DataFrame, group: str, label: str = "label", prediction: str = "prediction") -> DataFrame:
+    """``overall_metrics`` of each group."""
+    cells = [F.count_if((F.col(label) == a) & (F.col(prediction) == p)).alias(_cell(a, p)) for a in K for p in K]
+    columns = _overall_columns()
+    return df.groupBy(group).agg(*cells).select(group, *[v.alias(n) for n, v in columns.items()])
+
+
 def _ratio(part: Column, whole: Column) -> Column:
     """0 when there is nothing to divide by."""
     return F.when(whole == 0, F.lit(0.0)).otherwise(part / whole)

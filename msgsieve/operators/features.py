@@ -33,6 +33,7 @@ from msgsieve import fixed_values as fixed
 from msgsieve.functions import text as tx
 from msgsieve.functions.evaluation import bind, computed_once
 from msgsieve.operators.prepare import signal_columns, text_column
+from msgsieve.session import cut_lineage, new_table_path
 
 
 @dataclass(frozen=True)
@@ -46,13 +47,8 @@ class TfidfSettings:
     sublinear_tf: bool = True
     token_mode: str = "compat"
 
-    def terms(self, text: Column, words: Sequence[str] | None = None) -> Column:
-        """Terms of a text; with ``words`` only those made of these words."""
-        tokens = tx.word_tokens(text, self.token_mode)
-        if words is None:
-            return tx.ngrams(tokens, self.ngram_range)
-        known = F.transform(tokens, lambda t: F.when(t.isin(list(words)), t))
-        return F.array_compact(tx.ngrams(known, self.ngram_range))
+    def terms(self, text: Column) -> Column:
+        return tx.ngrams(tx.word_tokens(text, self.token_mode), self.ngram_range)
 
     def limit(self, bound: int | float, n_docs: Column) -> Column:
         """A document-frequency bound; fractions are shares of the corpus."""
@@ -68,61 +64,30 @@ def term_statistics(
     docs: DataFrame,
     settings: TfidfSettings = TfidfSettings(),
     text: str = "text_clean",
-    words: Sequence[str] | None = None,
+    words: DataFrame | None = None,
 ) -> DataFrame:
     """Document frequency ``df`` and corpus frequency ``ctf`` of every term.
 
-    With ``words`` only terms made of these words are counted.
+    With ``words`` (a table of one column ``word``) only terms that begin and end
+    with one of these words are counted.
     """
-    counts = tx.term_counts(settings.terms(text_column(docs, text), words))
-    return (
-        docs.select(F.explode(counts).alias("entry"))
-        .groupBy(F.col("entry.term").alias("term"))
-        .agg(F.count(F.lit(1)).alias("df"), F.sum("entry.tf").alias("ctf"))
+    counts = tx.term_counts(settings.terms(text_column(docs, text)))
+    entries = docs.select(F.explode(counts).alias("entry"))
+    if words is not None:
+        ends = {"_first": F.substring_index("entry.term", " ", 1), "_last": F.substring_index("entry.term", " ", -1)}
+        entries = entries.withColumns(ends)
+        for end in ends:
+            entries = entries.join(words.withColumnRenamed("word", end), end, "left_semi")
+    return entries.groupBy(F.col("entry.term").alias("term")).agg(
+        F.count(F.lit(1)).alias("df"), F.sum("entry.tf").alias("ctf")
     )
 
 
-# From this estimated input size on, words are counted before word sequences.
-TWO_PASS_BYTES = 1 << 33
-
-
-def _frequent_words(
-    docs: DataFrame, settings: TfidfSettings, text: str, n_docs: Column
-) -> list[str] | None:
-    """Words that a kept term may consist of, or None when all may.
-
-    A sequence occurs at most as often as its rarest word.  If ``max_features``
-    kept words occur at least ``c`` times, no term below ``c`` is kept, so words
-    below ``c`` can be ignored.  At most four times ``max_features`` words are
-    read; when ties make the list longer the answer is None.
-    """
-    if settings.ngram_range[0] != 1 or settings.ngram_range[1] == 1:
-        return None
-    bound = 4 * settings.max_features
-    single = replace(settings, ngram_range=(1, 1))
-    low, high = settings.limit(settings.min_df, n_docs), settings.limit(settings.max_df, n_docs)
-    rows = (
-        term_statistics(docs, single, text)
-        .withColumn("kept", F.col("df").between(low, high))
-        .orderBy(F.desc("ctf"))
-        .select("term", "ctf", "kept")
-        .limit(bound + 1)
-        .collect()
-    )
-    kept = [r["ctf"] for r in rows if r["kept"]]
-    if len(kept) < settings.max_features:
-        return None
-    cut = kept[settings.max_features - 1]
-    words = [r["term"] for r in rows if r["ctf"] >= cut]
-    return words if len(words) <= bound else None
-
-
 def vocabulary(
     docs: DataFrame,
     settings: TfidfSettings = TfidfSettings(),
     text: str = "text_clean",
     n_docs: Column | None = None,
-    two_pass: bool | None = None,
 ) -> DataFrame:
     """Kept terms with ``df``, ``ctf``, ``idf`` and column index.
 
@@ -130,21 +95,31 @@ def vocabulary(
     corpus frequency, ties by term.  Columns are numbered in term order; that
     window runs over the kept terms only, at most ``max_features`` rows.
 
-    Counting every word sequence of a large corpus shuffles more than the
-    corpus itself.  With ``two_pass`` (by default decided by input size) words
-    are counted first and sequences with a rare word are left out; the result
-    is the same.
+    Counting every word sequence of a corpus shuffles more than the corpus itself,
+    so words are counted first.  A sequence occurs at most as often as its rarest
+    word: if ``max_features`` kept words occur at least ``c`` times, no term below
+    ``c`` is kept, and sequences with a word below ``c`` leave no task.  The words
+    from ``c`` on are a table; where it is small the join needs no shuffle.
     """
     if n_docs is None:
         n_docs = docs.agg(F.count(F.lit(1))).scalar()
-    if two_pass is None:
-        size = docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        two_pass = int(str(size)) >= TWO_PASS_BYTES
-    words = _frequent_words(docs, settings, text, n_docs) if two_pass else None
-    kept = term_statistics(docs, settings, text, words).where(
-        (F.col("df") >= settings.limit(settings.min_df, n_docs))
-        & (F.col("df") <= settings.limit(settings.max_df, n_docs))
-    )
+
+    def within_bounds(terms: DataFrame) -> DataFrame:
+        low, high = settings.limit(settings.min_df, n_docs), settings.limit(settings.max_df, n_docs)
+        return terms.where((F.col("df") >= low) & (F.col("df") <= high))
+
+    low, high = settings.ngram_range
+    if low > 1:
+        kept = within_bounds(term_statistics(docs, settings, text))
+    else:
+        words = cut_lineage(term_statistics(docs, replace(settings, ngram_range=(1, 1)), text), "words")
+        kept = within_bounds(words)
+        if high > 1:
+            best = kept.orderBy(F.desc("ctf")).limit(settings.max_features).agg(
+                F.when(F.count("*") == settings.max_features, F.min("ctf")).otherwise(0))
+            frequent = cut_lineage(words.where(F.col("ctf") >= best.scalar()).select(F.col("term").alias("word")), "frequent")
+            longer = term_statistics(docs, replace(settings, ngram_range=(2, high)), text, frequent)
+            kept = kept.unionByName(within_bounds(longer))
     top = kept.orderBy(F.desc("ctf"), "term").limit(settings.max_features)
     return top.select(
         "term",
@@ -211,10 +186,27 @@ def _constant_array(values: Sequence[float]) -> Column:
     return F.split(F.lit(joined), ",").cast("array<double>")
 
 
+VECTOR = T.StructType([T.StructField("v", VectorUDT())])
+
+
 def as_vector(struct: Column) -> Column:
-    """``struct<type, size, indices, values>`` as a vector column, inside the JVM."""
-    schema = T.StructType([T.StructField("v", VectorUDT())])
-    return F.from_json(F.to_json(F.struct(struct.alias("v"))), schema)["v"]
+    """``struct<type, size, indices, values>`` as a vector column of a lazy plan.
+
+    Spark has no expression from a struct to a vector, so this goes through text;
+    training uses ``stored_vectors``, which does not.
+    """
+    return F.from_json(F.to_json(F.struct(struct.alias("v"))), VECTOR)["v"]
+
+
+def stored_vectors(structs: DataFrame, column: str, name: str = "vectors") -> DataFrame:
+    """Write rows with a vector as a struct in ``column`` and read it back as a vector.
+
+    Both have the same Parquet form, so nothing is converted.
+    """
+    path = new_table_path(structs.sparkSession, name)
+    structs.write.parquet(path)
+    fields = [T.StructField(f.name, VectorUDT() if f.name == column else f.dataType) for f in structs.schema]
+    return structs.sparkSession.read.schema(T.StructType(fields)).parquet(path)
 
 
 class _FeatureParams(Params):
@@ -340,7 +332,8 @@ class MessageFeaturesModel(Model, _FeatureParams, MLReadable, MLWritable):
             *keys, F.col("e.idx").alias("idx"), F.get(names, F.col("e.idx")).alias("term"), F.col("e.weight").alias("weight")
         )
 
-    def _transform(self, dataset: DataFrame) -> DataFrame:
+    def structs(self, dataset: DataFrame) -> DataFrame:
+        """``dataset`` with the vector's parts as a struct in the output column."""
         width, extra = len(self.fitted.terms), len(fixed.SIGNALS)
         scaled = F.array(
             *[
@@ -349,15 +342,17 @@ class MessageFeaturesModel(Model, _FeatureParams, MLReadable, MLWritable):
             ]
         )
         positions = F.array(*[F.lit(width + k) for k in range(extra)])
-        vector = as_vector(
-            F.struct(
-                F.lit(0).cast("tinyint").alias("type"),
-                F.lit(width + extra).alias("size"),
-                F.concat("_w.indices", positions).alias("indices"),
-                F.concat("_w.weights", scaled).alias("values"),
-            )
+        struct = F.struct(
+            F.lit(0).cast("tinyint").alias("type"),
+            F.lit(width + extra).alias("size"),
+            F.concat("_w.indices", positions).alias("indices"),
+            F.concat("_w.weights", scaled).alias("values"),
         )
-        return self._weights(dataset).withColumn(self.getOrDefault(self.outputCol), vector).drop("_w")
+        return self._weights(dataset).withColumn(self.getOrDefault(self.outputCol), struct).drop("_w")
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        output = self.getOrDefault(self.outputCol)
+        return self.structs(dataset).withColumn(output, as_vector(F.col(output)))
 
     def write(self) -> MLWriter:
         return _FeaturesWriter(self)

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from msgsieve.functions.evaluation import MAX_CLASSES, checked_broadcast
 from msgsieve.functions.hashing import hash32
 
 
@@ -19,8 +18,7 @@ def histogram(df: DataFrame, group: str, column: str, bins: int = 30) -> DataFra
     """Equal-width bins between the smallest and largest value of each class.
 
     The column is reduced to one row per distinct value before anything else,
-    so the limits and the bins read counts, not messages; the limits, one row per
-    class, go to every task.  The last bin includes
+    so the limits and the bins read counts, not messages.  The last bin includes
     the largest value; a class with one single value gets a bin half a unit wide
     to each side.
     """
@@ -41,7 +39,7 @@ def histogram(df: DataFrame, group: str, column: str, bins: int = 30) -> DataFra
     )
     at = F.floor((F.col("value") - F.col("lo")) * bins / (F.col("hi") - F.col("lo")))
     return (
-        counts.join(checked_broadcast(limits), group)
+        counts.join(limits, group)
         .withColumn("bin", F.least(at, F.lit(bins - 1)).cast("int"))
         .groupBy(group, "bin")
         .agg(F.sum("n").alias("n"))
@@ -69,8 +67,7 @@ def sample_per_class(
         .where(F.col("rank") <= n)
         .select(key, "rank")
     )
-    # n rows per class
-    return df.join(checked_broadcast(picked, n * MAX_CLASSES), key).select(
+    return df.join(picked, key).select(
         group, "rank", key, F.substring(text, 1, preview).alias(text)
     )
 

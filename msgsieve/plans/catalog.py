@@ -6,6 +6,7 @@ point results are rounded to six digits so that engines can be compared.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -19,10 +20,9 @@ from msgsieve.functions import validation
 from msgsieve.functions.evaluation import computed_once
 from msgsieve.functions.replies import faq_topic
 from msgsieve.operators import augment, chat, dedup, evaluate, features, ordered, profile, quality, scoring, split, stats
-from msgsieve.operators.learners import LearnerSettings
 from msgsieve.operators.prepare import add_signals, prepare, signal_values
-from msgsieve.plans import ingest, score, train
-from msgsieve.session import cut_lineage, new_table_path, spread
+from msgsieve.plans import assess, ingest, score, train
+from msgsieve.session import cut_lineage, new_table_path
 from msgsieve.sources import corpora, logs, schemas
 from msgsieve.sources.webhooks import text_events
 from msgsieve.streaming import jobs
@@ -43,6 +43,7 @@ COEFFICIENTS = [
     {"phone_count": 0.9, "number_ratio": 0.7, "url_count": 0.3},
 ]
 INTERCEPTS = [0.9, 0.2, -0.1]
+WEBHOOK_INTERCEPTS = [0.2, 0.3, 0.1]  # turns are shorter than documents; this makes many risky
 SECOND_COEFFICIENTS = [
     {"number_ratio": -0.5, "caps_ratio": 0.2},
     {"text_length": 0.3, "url_count": 0.5},
@@ -69,7 +70,7 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
 
 
 def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    return spread(table(spark, folder, "documents", *(columns or ("doc_id", "text", "lang", "source"))))
+    return table(spark, folder, "documents", *(columns or ("doc_id", "text", "lang", "source")))
 
 
 def class_of(quality_column: str = "quality", toxic: str = "toxic") -> Column:
@@ -94,12 +95,13 @@ def raw_messages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def linear_scorer(prepared: DataFrame, coefficients=COEFFICIENTS, intercepts=INTERCEPTS) -> Callable[[DataFrame], DataFrame]:
-    """Scorer with fixed coefficients on signals scaled by the corpus statistics.
+def moments_of(prepared: DataFrame) -> dict:
+    """Mean and deviation of each signal, one row per signal."""
+    return {r["signal"]: r for r in features.signal_statistics(prepared).collect()}
 
-    Fitting reads the two moments of each signal, one row per signal.
-    """
-    moments = {r["signal"]: r for r in features.signal_statistics(prepared).collect()}
+
+def linear_scorer(moments: dict, coefficients=COEFFICIENTS, intercepts=INTERCEPTS) -> Callable[[DataFrame], DataFrame]:
+    """Scorer with fixed coefficients on signals scaled by the corpus statistics."""
 
     def apply(df: DataFrame) -> DataFrame:
         scaled = {
@@ -122,7 +124,7 @@ def messages(spark: SparkSession, folder: str) -> DataFrame:
 
 def linearly_scored(df: DataFrame) -> DataFrame:
     """Signals and linear probabilities; the signals are computed once per row."""
-    return linear_scorer(add_signals(df))(computed_once(df, signal_values()))
+    return linear_scorer(moments_of(add_signals(df)))(computed_once(df, signal_values()))
 
 
 def classified(spark: SparkSession, folder: str) -> DataFrame:
@@ -162,11 +164,11 @@ def second_opinions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def judged(spark: SparkSession, folder: str) -> DataFrame:
-    """Labelled documents with the linear model's prediction."""
-    docs = documents(spark, folder, "doc_id", "text")
-    scored = scoring.classify(linearly_scored(docs))
-    classes = table(spark, folder, "labels", "doc_id", "quality", "toxic").select("doc_id", class_of().alias("label"))
-    return scored.select("doc_id", "proba", F.col("ml_label_id").alias("prediction")).join(classes, "doc_id")
+    """Labelled documents with the linear model's prediction; all documents give the moments."""
+    scorer = linear_scorer(moments_of(add_signals(documents(spark, folder, "doc_id", "text"))))
+    known = labelled(spark, folder, "doc_id", "text")
+    scored = scoring.classify(scorer(computed_once(known, signal_values())))
+    return scored.select("doc_id", "proba", F.col("ml_label_id").alias("prediction"), "label")
 
 
 def event_predictions(spark: SparkSession, folder: str) -> DataFrame:
@@ -210,16 +212,17 @@ def processed_text(spark, folder):
 
 @query
 def prepared_messages(spark, folder):
-    """Turns, pages' addresses and documents prepared together; blank ones drop out."""
+    """Turns, pages, pages' addresses and documents prepared together; blank ones drop out."""
     parts = [
         documents(spark, folder, "doc_id", "text").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text"),
         table(spark, folder, "pages", "page_id", "url").select(F.concat(F.lit("p"), "page_id").alias("id"), F.col("url").alias("text")),
-        table(spark, folder, "conversations", "conv_id", "turn", "role").select(
-            F.concat_ws("-", F.lit("c"), "conv_id", "turn").alias("id"),
-            F.when(F.col("role") == "user", " -*- ").alias("text"),
-        ),
+        table(spark, folder, "pages", "page_id", "html").select(F.concat(F.lit("h"), "page_id").alias("id"), F.col("html").alias("text")),
+        table(spark, folder, "conversations", "conv_id", "turn", "text").select(F.concat_ws("-", F.lit("c"), "conv_id", "turn").alias("id"), "text"),
+        # a blank and a missing text for every turn of a system
+        table(spark, folder, "conversations", "conv_id", "turn", "role").where(F.col("role") == "system").select(
+            F.concat_ws("-", F.lit("s"), "conv_id", "turn").alias("id"), F.when(F.col("conv_id") % 2 == 0, " -*- ").alias("text")),
     ]
-    merged = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    merged = functools.reduce(DataFrame.unionByName, parts)
     return prepare(merged).select(
         "id", "text_clean", "text_length", "word_count", "url_count", "phone_count", "exclamation_count",
         r6("number_ratio").alias("number_ratio"), r6("caps_ratio").alias("caps_ratio"),
@@ -234,9 +237,9 @@ def keyword_replacement(spark, folder):
 
 @query
 def url_signals_of_pages(spark, folder):
-    pages = spread(table(spark, folder, "pages", "page_id", "html"))
+    pages = table(spark, folder, "pages", "page_id", "html")
     values = tx.signals(F.col("html"))
-    return pages.select("page_id", *[values[n].alias(n) for n in ("word_count", "url_count", "phone_count")])
+    return pages.select("page_id", *[(r6(v) if n.endswith("_ratio") else v).alias(n) for n, v in values.items()])
 
 
 @query
@@ -331,8 +334,7 @@ def split_table(spark, folder):
     corpora.write_splits(rows, path)
     with_split = T.StructType([*schemas.RAW.fields, T.StructField("split", T.StringType())])
     written = spark.read.schema(with_split).parquet(path)
-    held_out = written.where(F.col("split") != "train")
-    return held_out.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
+    return written.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- exploration --------------------------------------------------------------
@@ -420,8 +422,9 @@ def linear_scores(spark, folder):
 def soft_vote(spark, folder):
     prepared = prepare(documents(spark, folder, "doc_id", "text"))
     once = computed_once(prepared, {n: F.col(n) for n in fixed.SIGNALS})
-    first = linear_scorer(prepared)(once).withColumnRenamed("proba", "a")
-    both = linear_scorer(prepared, SECOND_COEFFICIENTS, SECOND_INTERCEPTS)(first)
+    moments = moments_of(prepared)
+    first = linear_scorer(moments)(once).withColumnRenamed("proba", "a")
+    both = linear_scorer(moments, SECOND_COEFFICIENTS, SECOND_INTERCEPTS)(first)
     third = F.array(F.lit(0.5), F.lit(0.3), F.lit(0.2))
     voted = both.select("doc_id", lb.soft_vote([F.col("a"), F.col("proba"), third], (2, 1, 2)).alias("p"))
     return voted.select(
@@ -511,16 +514,14 @@ def class_metrics(spark, folder):
 
 @query
 def auc_by_class(spark, folder):
-    rounded = judged(spark, folder).withColumn("proba", F.transform("proba", lambda p: F.round(p, 4)))
-    found = evaluate.auc_by_class(rounded)
+    found = evaluate.auc_by_class(judged(spark, folder))
     return found.select("label_id", "positives", "negatives", r6("auc").alias("auc"))
 
 
 @query
 def metrics_table(spark, folder):
-    rounded = judged(spark, folder).withColumn("proba", F.transform("proba", lambda p: F.round(p, 4)))
-    # three aggregations read the scores, so they are written once
-    return evaluate.metrics_table(cut_lineage(rounded)).select("metric", "class", r6("value").alias("value"))
+    # several aggregations read the scores, so they are written once
+    return evaluate.metrics_table(cut_lineage(judged(spark, folder))).select("metric", "class", r6("value").alias("value"))
 
 
 @query
@@ -539,8 +540,8 @@ def prediction_log(spark, folder):
     """The log as written and read again."""
     path = new_table_path(spark, "predictions")
     rows = logs.prediction_log(records(spark, folder), F.lit(LOGGED_AT).cast("timestamp"))
-    logs.append_batch(rows, path, 0)
-    logs.append_batch(rows, path, 0)  # a repeated batch replaces itself
+    logs.append_batch(rows, path, "batch-job")
+    logs.append_batch(rows, path, "batch-job")  # a repeated batch replaces itself
     return logs.scan_predictions(spark, path).select(
         "id", "text", "label", "label_id", "confidence", "risk_level", "user_id",
         F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"),
@@ -587,6 +588,18 @@ def feedback_log(spark, folder):
     return rows.select("text", "predicted_label", "actual_label")
 
 
+@query
+def feedback_log_scan(spark, folder):
+    """The feedback log as two jobs wrote it, one of them twice, and read again."""
+    rules = validation.feedback_rules(F.col("text"), F.col("predicted_label"), F.col("actual_label"))
+    good = cut_lineage(_feedback(spark, folder).where(F.size(rules) == 0))
+    path = new_table_path(spark, "feedback")
+    for run, part in (("a", 0), ("b", 1), ("b", 1)):
+        own = good.where(F.col("doc_id") % 2 == part)
+        logs.append_batch(logs.feedback_log(own, F.lit(LOGGED_AT).cast("timestamp")), path, run)
+    return logs.scan_feedback(spark, path).select("run", "text", "predicted_label", "actual_label")
+
+
 @query
 def request_quarantine(spark, folder):
     docs = documents(spark, folder, "doc_id", "text", "source").withColumn("user_id", F.repeat("source", 25))
@@ -634,19 +647,16 @@ def windowed_stats(spark, folder):
 def _language_runs(spark: SparkSession, folder: str) -> DataFrame:
     """One model run per language, with the accuracy on its documents."""
     langs = table(spark, folder, "documents", "doc_id", "lang")
-    hit = (F.col("label") == F.col("prediction")).cast("double")
-    per_lang = judged(spark, folder).join(langs, "doc_id").groupBy("lang").agg(
-        F.avg(hit).alias("accuracy"), F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last")
-    )
+    judgements = cut_lineage(judged(spark, folder).join(langs, "doc_id"))
+    last = judgements.groupBy("lang").agg(F.max("doc_id").alias("last"))
+    per_lang = evaluate.overall_metrics_by(judgements, "lang").join(last, "lang")
     return per_lang.select(
         F.col("lang").alias("run"),
         F.lit("1.0.0").alias("version"),
         F.timestamp_seconds(F.lit(1_700_000_000) + F.col("last")).alias("trained_at"),
-        F.col("n").alias("train_samples"),
+        F.col("support").alias("train_samples"),
         F.create_map(
-            F.lit("val_accuracy"), F.col("accuracy"),
-            F.lit("val_f1_weighted"), F.col("accuracy") / 2,
-            F.lit("train_time_seconds"), F.col("n").cast("double"),
+            F.lit("val_accuracy"), F.col("accuracy"), F.lit("val_f1_weighted"), F.col("f1_weighted")
         ).alias("metrics"),
     )
 
@@ -697,7 +707,7 @@ def chat_answers(spark, folder):
     turns = table(spark, folder, "conversations", "conv_id", "turn", "role", "text")
     key = F.concat_ws("-", "conv_id", "turn")
     asked = turns.where(F.col("role") == "user").select(key.alias("message_id"), "text")
-    told = turns.where((F.col("role") == "assistant") & (F.col("turn") % 4 == 1)).select(
+    told = turns.where(F.col("role") == "assistant").select(
         F.concat_ws("-", "conv_id", F.col("turn") - 1).alias("message_id"), F.col("text").alias("reply")
     )
     return chat.answers(asked, told).select("message_id", "source", F.md5("reply").alias("reply_md5"))
@@ -724,9 +734,9 @@ def webhook_events(spark, folder):
 @query
 def webhook_replies(spark, folder):
     """Replies to risky events, scored with coefficients fitted to documents."""
-    prepared = prepare(documents(spark, folder, "doc_id", "text"))
-    replies = jobs.webhook_replies(text_events(_bodies(spark, folder)), linear_scorer(prepared))
-    return replies.select("reply_token", "user_id", F.split("reply", "\n")[0].alias("header"))
+    moments = moments_of(prepare(documents(spark, folder, "doc_id", "text")))
+    scorer = linear_scorer(moments, COEFFICIENTS, WEBHOOK_INTERCEPTS)
+    return jobs.webhook_replies(text_events(_bodies(spark, folder)), scorer)
 
 
 # --- generated messages -------------------------------------------------------
@@ -736,7 +746,7 @@ def webhook_replies(spark, folder):
 def generated_messages(spark, folder):
     """One generated message of the same class per labelled document."""
     classes = table(spark, folder, "labels", "doc_id", "quality", "toxic").select("doc_id", class_of().alias("label"))
-    return augment.messages_for(spread(classes), "doc_id")
+    return augment.messages_for(classes, "doc_id")
 
 
 # --- streams ------------------------------------------------------------------
@@ -750,7 +760,7 @@ def stream_scoring(spark, folder):
     stream = jobs.file_stream(spark, folder, schema, pathGlobFilter="documents.parquet").select(
         F.col("doc_id").cast("string").alias("message_id"), "text"
     )
-    scorer = linear_scorer(add_signals(documents(spark, folder, "doc_id", "text")))
+    scorer = linear_scorer(moments_of(add_signals(documents(spark, folder, "doc_id", "text"))))
     jobs.run_available(jobs.score_stream(stream, scorer, out, f"{out}/checkpoint"))
     return logs.scan_predictions(spark, f"{out}/predictions").select(
         "id", "label", "label_id", "confidence", "risk_level", F.md5("text").alias("text_md5")
@@ -769,25 +779,65 @@ def stream_windowed_stats(spark, folder):
     return _text_windows(spark.read.parquet(f"{out}/rows"))
 
 
-# --- learning (checked by row counts and tests) -------------------------------
+# --- learning -----------------------------------------------------------------
+
+
+@query
+def feature_vectors(spark, folder):
+    """The stored vectors that learners read, one row per non-zero position."""
+    docs = cut_lineage(prepare(documents(spark, folder, "doc_id", "text")))
+    model = features.MessageFeatures(settings=TFIDF).fit(docs)
+    stored = features.stored_vectors(model.structs(docs).select("doc_id", "features"), "features")
+    parts = F.unwrap_udt("features")
+    entries = F.arrays_zip(parts["indices"].alias("idx"), parts["values"].alias("value"))
+    exploded = stored.select("doc_id", F.explode(entries).alias("e"))
+    return exploded.select("doc_id", F.col("e.idx").alias("idx"), r6("e.value").alias("value"))
+
+
+# Learners are fitted on this many labelled documents at most, those with the smallest
+# hashes of their ids; everything else runs over whole tables.
+MOST_TRAINING_ROWS = 20_000
+
+
+def _learning_sets(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Train (bounded), validation and test messages, prepared once."""
+    rows = split.split_by_hash(labelled(spark, folder, "doc_id", "text"))
+    rows = cut_lineage(prepare(rows), "labelled")
+    fit_on = rows.where(F.col("split") == "train").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_TRAINING_ROWS)
+    return fit_on, rows.where(F.col("split") == "val"), rows.where(F.col("split") == "test")
 
 
 @query
 def logistic_regression_scores(spark, folder):
     """Text features and a regression fitted on the train split, scores of all."""
-    rows = split.split_by_hash(prepare(labelled(spark, folder, "doc_id", "text")))
-    fit_on = rows.where(F.col("split") == "train")
-    model, _ = train.train(spark, fit_on, rows.where(F.col("split") == "val"), settings=LearnerSettings(lr_iterations=100), names=("lr",))
+    fit_on, val, test = _learning_sets(spark, folder)
+    model, _ = train.train(spark, fit_on, val, names=("lr",))
+    rows = fit_on.unionByName(val).unionByName(test)
     return model.score(rows).select("doc_id", "split", "label", "prediction", F.transform("proba", r6).alias("proba"))
 
 
 @query
 def vote_training_runs(spark, folder):
-    """The three learners and their vote with few, shallow trees."""
-    rows = split.split_by_hash(prepare(labelled(spark, folder, "doc_id", "text")))
-    small = LearnerSettings(lr_iterations=50, rf_trees=10, rf_depth=5, gb_rounds=3, gb_depth=3)
-    small_terms = features.TfidfSettings(max_features=500)
-    _, runs = train.train(
-        spark, rows.where(F.col("split") == "train"), rows.where(F.col("split") == "val"), tfidf=small_terms, settings=small
-    )
+    """Run rows of the three learners and their vote, with the settings of the training job."""
+    fit_on, val, _ = _learning_sets(spark, folder)
+    _, runs = train.train(spark, fit_on, val)
     return stats.model_comparison(runs)
+
+
+@query
+def test_set_metrics(spark, folder):
+    """A regression is trained, saved, loaded and assessed on the test split."""
+    fit_on, val, test = _learning_sets(spark, folder)
+    path = new_table_path(spark, "model")
+    train.train(spark, fit_on, val, model_path=path, names=("lr",))
+    found = assess.assess(train.RiskModel.load(path), test)
+    return found["metrics"].select("metric", "class", r6("value").alias("value"))
+
+
+@query
+def decision_records_of_model(spark, folder):
+    """Decision records of all documents from a trained model that was saved and loaded."""
+    fit_on, val, _ = _learning_sets(spark, folder)
+    path = new_table_path(spark, "model")
+    train.train(spark, fit_on, val, model_path=path, names=("lr",))
+    return _flat_records(score.score_messages(messages(spark, folder), train.RiskModel.load(path)))

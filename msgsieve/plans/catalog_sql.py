@@ -246,7 +246,7 @@ pc AS (SELECT label_id, {name_of('label_id')} AS class, CAST(support AS BIGINT)
 ov AS (SELECT sum(hit) / sum(support) AS accuracy,
   {', '.join(f'sum({m} * support) / sum(support) AS {m}_weighted, avg({m}) FILTER (WHERE support + predicted > 0) AS {m}_macro, avg({m}) AS {m}_all' for m in ('precision', 'recall', 'f1'))},
   CAST(sum(support) AS BIGINT) AS support FROM pc)"""
-AUC = """pairs AS (SELECT k AS label_id, round([p0, p1, p2][k + 1], 4) AS score, label = k AS hit
+AUC = """pairs AS (SELECT k AS label_id, [p0, p1, p2][k + 1] AS score, label = k AS hit
   FROM judged, (SELECT unnest([0, 1, 2]) AS k)),
 g AS (SELECT label_id, score, count(*) FILTER (WHERE hit) AS pos, count(*) FILTER (WHERE NOT hit) AS neg FROM pairs GROUP BY ALL),
 r AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY label_id ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g),
@@ -269,8 +269,13 @@ JOINED = "md5(array_to_string(list_transform({h}, lambda x: x.role || ':' || x.c
 
 FEEDBACK = f"""{JUDGED}, fb AS (SELECT doc_id, text, {name_of('prediction')} AS predicted_label,
   CASE WHEN doc_id % 11 = 0 THEN 'unknown' ELSE {name_of('label')} END AS actual_label FROM judged)"""
-LANG_RUNS = f"""{JUDGED}, runs AS (SELECT lang, avg(CAST(label = prediction AS DOUBLE)) AS accuracy, count(*) AS n, max(doc_id) AS last
-  FROM judged JOIN documents USING (doc_id) GROUP BY lang)"""
+LANG_RUNS = f"""{JUDGED}, byclass AS (SELECT lang, k, count(*) FILTER (WHERE label = k) AS support,
+    count(*) FILTER (WHERE label = k AND prediction = k) AS hit, count(*) FILTER (WHERE prediction = k) AS predicted
+  FROM judged JOIN documents USING (doc_id), (SELECT unnest([0, 1, 2]) AS k) GROUP BY lang, k),
+f1s AS (SELECT lang, sum(CASE WHEN support + predicted = 0 THEN 0 ELSE 2 * hit * support / (support + predicted) END) / sum(support) AS f1
+  FROM byclass GROUP BY lang),
+runs AS (SELECT lang, avg(CAST(label = prediction AS DOUBLE)) AS accuracy, any_value(f1) AS f1, count(*) AS n, max(doc_id) AS last
+  FROM judged JOIN documents USING (doc_id) JOIN f1s USING (lang) GROUP BY lang)"""
 
 
 def rules(pairs) -> str:
@@ -400,14 +405,17 @@ def reply_sql() -> str:
 
 def webhook_reply_sql() -> str:
     moments = ", ".join(f"avg({n}) AS m_{n}, stddev_pop({n}) AS s_{n}" for n in SIGNALS)
-    turns = f"turns AS (SELECT 't-' || conv_id || '-' || turn AS reply_token, 'u' || conv_id AS user_id, {signal_list()} FROM conversations WHERE role = 'user')"
-    body = scored("turns").split(",\n", 1)[1].replace("turns, moments", "turns, moments")
-    headers = " ".join(
-        f"WHEN {k} THEN {q(fixed.REPLY_TEXTS[n]['header'].split('{pct}')[0])} || CAST(CAST(round_even(round(greatest(p0, p1, p2), 4) * 100, 0) AS BIGINT) AS VARCHAR) || {q(fixed.REPLY_TEXTS[n]['header'].split('{pct}')[1])}"
-        for k, n in ((1, "spam"), (2, "phishing"))
+    turns = f"turns AS (SELECT 't-' || conv_id || '-' || turn AS reply_token, 'u' || conv_id AS user_id, text, {signal_list()} FROM conversations WHERE role = 'user')"
+    body = scored("turns", c.COEFFICIENTS, c.WEBHOOK_INTERCEPTS).split(",\n", 1)[1]
+    found = (
+        f"CASE label_id WHEN 1 THEN {hits(fixed.SPAM_KEYWORDS)} WHEN 2 THEN {hits(fixed.PHISHING_KEYWORDS)} "
+        "ELSE CAST([] AS VARCHAR[]) END"
     )
-    return f"""WITH {PREPARED}, moments AS (SELECT {moments} FROM prep), {turns}, {body}
-SELECT reply_token, user_id, CASE {ARGMAX} {headers} END AS header FROM proba WHERE {ARGMAX} > 0"""
+    return f"""WITH {PREPARED}, moments AS (SELECT {moments} FROM prep), {turns}, {body},
+worded AS (SELECT *, {found} AS hits, {REASONS} AS reasons FROM (SELECT *, {ARGMAX} AS label_id FROM proba)),
+rec AS (SELECT reply_token, user_id, {name_of('label_id')} AS label, round(greatest(p0, p1, p2), 4) AS confidence,
+  {explanation('label_id')} AS explanation, {RISK_WORDS} AS words, CAST(NULL AS VARCHAR) AS llm_explanation FROM worded)
+SELECT reply_token, user_id, {reply_sql()} AS reply FROM rec WHERE label <> 'ham'"""
 
 
 LOGGED = f"""SELECT substr(sha256(message_id || chr(31) || user_id || chr(31) || text), 1, 32) AS id, substr(text, 1, 500) AS text,
@@ -428,10 +436,11 @@ SQL: dict[str, str] = {
     "clean_text": f"SELECT doc_id, {clean_sql()} AS text_clean, md5({clean_sql(url=' ', phone=' ')}) AS without_marks FROM documents",
     "processed_text": f"SELECT doc_id, array_to_string(list_filter(string_split({clean_sql()}, ' '), lambda t: t <> '' AND NOT list_contains({sql_list(c.STOPWORDS)}, t)), ' ') AS text_processed FROM documents",
     "prepared_messages": f"""WITH u AS (SELECT 'd' || doc_id AS id, text FROM documents UNION ALL SELECT 'p' || page_id, url FROM pages
-  UNION ALL SELECT 'c-' || conv_id || '-' || turn, CASE WHEN role = 'user' THEN ' -*- ' ELSE '' END FROM conversations)
+  UNION ALL SELECT 'h' || page_id, html FROM pages UNION ALL SELECT 'c-' || conv_id || '-' || turn, text FROM conversations
+  UNION ALL SELECT 's-' || conv_id || '-' || turn, CASE WHEN conv_id % 2 = 0 THEN ' -*- ' ELSE '' END FROM conversations WHERE role = 'system')
 SELECT id, {clean_sql()} AS text_clean, {signal_list(digits=6)} FROM u WHERE length({clean_sql()}) > 0""",
     "keyword_replacement": f"SELECT doc_id, {replacement()} AS text FROM documents",
-    "url_signals_of_pages": "SELECT page_id, " + ", ".join(f"{signal_sql('html')[n]} AS {n}" for n in ("word_count", "url_count", "phone_count")) + " FROM pages",
+    "url_signals_of_pages": f"SELECT page_id, {signal_list('html', digits=6)} FROM pages",
     "term_statistics": f"WITH {PREPARED}, {TOKENS} SELECT term, df, ctf FROM tstat",
     "merged_corpus": MERGED,
     "label_distribution": f"WITH {RAW} SELECT CAST(label AS INTEGER) AS label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM raw GROUP BY label",
@@ -451,7 +460,7 @@ SELECT id, {clean_sql()} AS text_clean, {signal_list(digits=6)} FROM u WHERE len
     "split_exact": f"""SELECT doc_id, CASE WHEN r <= round(n * 0.7) THEN 'train' WHEN r <= round(n * (0.7 + 0.15)) THEN 'val' ELSE 'test' END AS split
 FROM (SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY {unit32(chr(39) + '42' + chr(39) + ' || doc_id')}, doc_id) AS r, count(*) OVER (PARTITION BY lang) AS n FROM documents)""",
     "split_table": f"""WITH {RAW} SELECT split, CAST(label AS INTEGER) AS label, count(*) AS n FROM (SELECT label, CASE WHEN u < 0.7 THEN 'train' WHEN u < 0.7 + 0.15 THEN 'val' ELSE 'test' END AS split
-  FROM (SELECT label, {unit32(chr(39) + '42' + chr(39) + ' || text')} / 4294967296.0 AS u FROM raw)) WHERE split <> 'train' GROUP BY ALL""",
+  FROM (SELECT label, {unit32(chr(39) + '42' + chr(39) + ' || text')} / 4294967296.0 AS u FROM raw)) GROUP BY ALL""",
     "describe_lengths": f"WITH {PREPARED}, m AS (SELECT lang, 'text_length' AS metric, CAST(text_length AS DOUBLE) AS v FROM prep UNION ALL SELECT lang, 'word_count', word_count FROM prep) "
     "SELECT lang, metric, count(*) AS count, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, min(v) AS min, "
     "round(quantile_cont(v, 0.25), 6) AS p25, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.75), 6) AS p75, max(v) AS max FROM m GROUP BY lang, metric",
@@ -463,6 +472,10 @@ FROM (SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY {unit32(chr(3
     "vocabulary": f"WITH {VOCABULARY} SELECT term, df, ctf, round(idf, 6) AS idf, idx FROM vocab",
     "tfidf_weights": f"""WITH {VOCABULARY}, w AS (SELECT doc_id, idx, term, (1 + ln(tf.tf)) * idf AS w FROM tf JOIN vocab USING (term))
 SELECT doc_id, idx, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w""",
+    "feature_vectors": f"""WITH {VOCABULARY}, {scored('prep')}, w AS (SELECT doc_id, idx, (1 + ln(tf.tf)) * idf AS w FROM tf JOIN vocab USING (term)),
+size AS (SELECT count(*) AS size FROM vocab)
+SELECT doc_id, CAST(idx AS INTEGER) AS idx, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS value FROM w
+{' '.join(f"UNION ALL SELECT doc_id, CAST(size + {k} AS INTEGER), round(z_{n}, 6) FROM scaled, size" for k, n in enumerate(SIGNALS))}""",
     "scaled_signals": f"WITH {PREPARED}, {scored('prep')} SELECT doc_id, " + ", ".join(f"round(z_{n}, 6) AS {n}" for n in SIGNALS) + " FROM scaled",
     "class_weights": f"WITH {RAW} SELECT CAST(label AS INTEGER) AS label, count(*) AS n, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 6) AS weight FROM raw GROUP BY label",
     "linear_scores": f"WITH {CLASSIFIED} SELECT message_id, round(p0, 6) AS ham, round(p1, 6) AS spam, round(p2, 6) AS phishing, ml_label_id, round(ml_confidence, 6) AS ml_confidence FROM cls",
@@ -500,6 +513,7 @@ SELECT doc_id, array_to_string(hits, ',') AS hits, array_to_string(reasons, ',')
     + rules([("text_empty", "length(text) < 1"), ("text_too_long", "length(text) > 2000"), ("actual_label_invalid", "actual_label = 'unknown'")])
     + " AS reasons FROM fb",
     "feedback_log": f"WITH {FEEDBACK} SELECT substr(text, 1, 500) AS text, predicted_label, actual_label FROM fb WHERE length(text) BETWEEN 1 AND 2000 AND actual_label <> 'unknown'",
+    "feedback_log_scan": f"WITH {FEEDBACK} SELECT CASE WHEN doc_id % 2 = 0 THEN 'a' ELSE 'b' END AS run, substr(text, 1, 500) AS text, predicted_label, actual_label FROM fb WHERE length(text) BETWEEN 1 AND 2000 AND actual_label <> 'unknown'",
     "request_quarantine": f"""WITH r AS (SELECT doc_id, text, {rules([('text_missing', 'text IS NULL'), ('text_empty', 'length(text) < 1'), ('text_too_long', 'length(text) > 2000'), ('text_blank', 'length(text) BETWEEN 1 AND 2000 AND ' + BLANK_TEXT), ('user_id_too_long', 'length(repeat(source, 25)) > 100')])} AS reasons FROM documents)
 SELECT doc_id, reasons, md5(CASE WHEN reasons = '' THEN regexp_replace(text, {q(f'^[{WS_SET}]+|[{WS_SET}]+$')}, '', 'g') ELSE text END) AS text_md5 FROM r""",
     "chat_quarantine": f"WITH {HISTORY.format(n=10)} SELECT conv_id, turn, "
@@ -514,13 +528,13 @@ SELECT n AS total_predictions, s AS spam_count, p AS phishing_count, h AS ham_co
     "model_info": f"""WITH {LANG_RUNS} SELECT true AS model_loaded, lang AS model_name, '1.0.0' AS version,
   strftime(make_timestamp((1700000000 + last) * 1000000), '%Y-%m-%dT%H:%M:%S') AS trained_at, round(accuracy, 6) AS val_accuracy,
   n AS train_samples, 'ham,spam,phishing' AS label_names FROM runs ORDER BY last DESC LIMIT 1""",
-    "model_comparison": f"WITH {LANG_RUNS} SELECT lang AS model, round(accuracy, 6) AS accuracy, round(accuracy / 2, 6) AS f1_weighted, CAST(0 AS DOUBLE) AS auc_roc, CAST(n AS DOUBLE) AS train_seconds FROM runs",
+    "model_comparison": f"WITH {LANG_RUNS} SELECT lang AS model, round(accuracy, 6) AS accuracy, round(f1, 6) AS f1_weighted, CAST(0 AS DOUBLE) AS auc_roc, CAST(NULL AS DOUBLE) AS train_seconds FROM runs",
     "chat_context": f"WITH {HISTORY.format(n=3)} SELECT conv_id, turn, CAST(len(coalesce(h, [])) AS INTEGER) AS n, {JOINED.format(h='coalesce(h, [])')} AS history_md5 FROM hist",
     "chat_messages": f"WITH {HISTORY.format(n=10)}, m AS (SELECT conv_id, turn, list_concat([{{'role': 'system', 'content': 'Be kind.'}}], list_concat(coalesce(h, []), [{{'role': 'user', 'content': text}}])) AS m FROM hist WHERE role = 'user') "
     f"SELECT conv_id, turn, CAST(len(m) AS INTEGER) AS n, {JOINED.format(h='m')} AS messages_md5 FROM m",
     "faq_topics": "SELECT conv_id, turn, CASE " + " ".join(f"WHEN contains(lower(text), {q(w.lower())}) THEN {q(t)}" for w, t in c.FAQ_WORDS) + " END AS topic FROM conversations",
     "chat_answers": f"""WITH a AS (SELECT q.conv_id || '-' || q.turn AS message_id, r.text AS told, CASE {' '.join(f'WHEN contains(lower(q.text), {q(w)}) THEN {q(fixed.FAQ_ANSWERS[t])}' for w, t in fixed.FAQ_KEYWORDS)} END AS faq
-  FROM conversations q LEFT JOIN conversations r ON r.conv_id = q.conv_id AND r.turn = q.turn + 1 AND r.role = 'assistant' AND r.turn % 4 = 1 WHERE q.role = 'user')
+  FROM conversations q LEFT JOIN conversations r ON r.conv_id = q.conv_id AND r.turn = q.turn + 1 AND r.role = 'assistant' WHERE q.role = 'user')
 SELECT message_id, CASE WHEN told IS NOT NULL THEN 'llm' WHEN faq IS NOT NULL THEN 'faq' ELSE 'fallback' END AS source, md5(coalesce(told, faq, {q(fixed.CHAT_FALLBACK)})) AS reply_md5 FROM a""",
     "webhook_events": "SELECT 1 AS position, t AS reply_token, u AS user_id, text, substr(sha256(t || chr(31) || u || chr(31) || text), 1, 32) AS message_id FROM (SELECT 't-' || conv_id || '-' || turn AS t, 'u' || conv_id AS u, text FROM conversations WHERE role = 'user')",
     "webhook_replies": webhook_reply_sql(),

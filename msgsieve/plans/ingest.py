@@ -26,17 +26,18 @@ def ingest(
     seed: int = 42,
     file_format: str = "parquet",
     tsv_multi_line: bool = True,
+    csv_multi_line: bool = True,
 ) -> dict[str, str]:
     """Run the whole job; a CSV corpus that is not there is generated.
 
     The hash split adds no shuffle, so the job shuffles once, for duplicates.
     """
-    generated = corpora.load_csv_corpus(spark, csv_path) if csv_path else None
+    generated = corpora.load_csv_corpus(spark, csv_path, multi_line=csv_multi_line) if csv_path else None
     if generated is None:
         generated = generate_corpus(spark, seed=seed)
         if csv_path:
             corpora.write_corpus(generated, csv_path)
-            generated = corpora.load_csv_corpus(spark, csv_path)
+            generated = corpora.load_csv_corpus(spark, csv_path, multi_line=csv_multi_line)
     labelled = (
         corpora.load_tsv_corpus(spark, tsv_path, multi_line=tsv_multi_line) if tsv_path else None
     )

@@ -10,8 +10,9 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
 import msgsieve
+from msgsieve import fixed_values as fixed
 from msgsieve.operators import evaluate, learners
-from msgsieve.operators.features import MessageFeatures, MessageFeaturesModel, TfidfSettings
+from msgsieve.operators.features import MessageFeatures, MessageFeaturesModel, TfidfSettings, stored_vectors
 from msgsieve.operators.prepare import prepare
 from msgsieve.session import cut_lineage
 from msgsieve.sources import logs
@@ -78,8 +79,8 @@ def _stored_vectors(model: MessageFeaturesModel, prepared: DataFrame) -> DataFra
     executors without featurising again.  Rebalancing gives it files of even
     size, so each pass has as many tasks as the data needs.
     """
-    vectors = model.transform(prepared).select("label", "features")
-    return cut_lineage(vectors.hint("rebalance"), "features")
+    vectors = model.structs(prepared).select("label", "features")
+    return stored_vectors(vectors.hint("rebalance"), "features", "features")
 
 
 def train(
@@ -97,7 +98,9 @@ def train(
     The vote is always the final model.  With ``model_path`` it is saved, with
     ``runs_path`` the runs are appended to the model table.
     """
-    prepared_train, prepared_val = ensure_prepared(train_set), ensure_prepared(val_set)
+    # signals, vocabulary and vectors each pass over the prepared training messages
+    prepared_train = cut_lineage(ensure_prepared(train_set).select("label", "text_clean", *fixed.SIGNALS), "prepared")
+    prepared_val = ensure_prepared(val_set)
     features = MessageFeatures(settings=tfidf).fit(prepared_train)
     vectors = _stored_vectors(features, prepared_train)
     val_vectors = _stored_vectors(features, prepared_val)

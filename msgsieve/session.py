@@ -1,4 +1,4 @@
-"""Session settings, lineage cuts and small-input spreading."""
+"""Session settings, lineage cuts and their clean-up."""
 
 from __future__ import annotations
 
@@ -8,10 +8,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Scans with fewer splits than this are small by construction
-# (splits x spark.sql.files.maxPartitionBytes), so reshuffling them is cheap.
-SMALL_SCAN_SPLITS = 32
-
 
 def local_session(cpus: int | str = "*", app: str = "msgsieve", **conf: str) -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own."""
@@ -19,12 +15,18 @@ def local_session(cpus: int | str = "*", app: str = "msgsieve", **conf: str) ->
         "spark.ui.enabled": "false",
         "spark.sql.shuffle.partitions": "8",
         "spark.sql.session.timeZone": "UTC",
+        # the test tables are small: splits of this size give every core some of a scan
+        "spark.sql.files.maxPartitionBytes": "1m",
+        "spark.sql.files.openCostInBytes": "64k",
         "spark.sql.adaptive.enabled": "true",
         "spark.driver.memory": os.environ.get("MSGSIEVE_DRIVER_MEMORY", "12g"),
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.showConsoleProgress": "false",
         **conf,
     }
+    # Python workers import this package wherever the session was started
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    os.environ["PYTHONPATH"] = os.pathsep.join([root, *filter(None, [os.environ.get("PYTHONPATH")])])
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
     for key, value in settings.items():
         builder = builder.config(key, value)
@@ -49,9 +51,13 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/msgsieve-{spark.sparkContext.applicationId}"
+
+
 def new_table_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing was written to before."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
@@ -65,15 +71,11 @@ def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a small scan one partition per core.
+def clear_intermediate(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application.
 
-    Text expressions are CPU-bound, and one small file is a single split.  A
-    scan that already has many splits is returned as it is, so this never
-    shuffles large data.
+    To be called when the results are written; DataFrames that still read such a
+    table cannot be used afterwards.
     """
-    splits = df.rdd.getNumPartitions()
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if splits >= min(cores, SMALL_SCAN_SPLITS):
-        return df
-    return df.repartition(cores)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

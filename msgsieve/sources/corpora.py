@@ -50,10 +50,14 @@ def _join_quoted_part(text: Column) -> Column:
     return F.when(text.rlike(pattern), F.concat(quoted, F.regexp_extract(text, pattern, 2))).otherwise(text)
 
 
-def scan_csv(spark: SparkSession, path: str, schema=schemas.CSV_MESSAGES) -> DataFrame:
-    """Headered CSV, UTF-8 with or without a byte order mark."""
+def scan_csv(spark: SparkSession, path: str, schema=schemas.CSV_MESSAGES, multi_line: bool = True) -> DataFrame:
+    """Headered CSV, UTF-8 with or without a byte order mark.
+
+    Quoted fields may span lines, which makes each file one split.  Large inputs
+    without line breaks in fields split freely with ``multi_line=False``.
+    """
     return spark.read.schema(schema).csv(
-        path, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8"
+        path, header=True, multiLine=multi_line, quote='"', escape='"', encoding="UTF-8"
     )
 
 
@@ -105,16 +109,17 @@ def load_tsv_corpus(spark: SparkSession, path: str, source: str = "uci_sms_spam"
     return normalise_corpus(rows, source)
 
 
-def load_csv_corpus(spark: SparkSession, path: str) -> DataFrame | None:
+def load_csv_corpus(spark: SparkSession, path: str, **scan) -> DataFrame | None:
     """The CSV corpus in the raw schema, or None when the path does not exist."""
-    return scan_csv(spark, path).select(*RAW_COLUMNS) if path_exists(spark, path) else None
+    return scan_csv(spark, path, **scan).select(*RAW_COLUMNS) if path_exists(spark, path) else None
 
 
 def union_corpora(*corpora: DataFrame | None) -> DataFrame:
     """Union of the corpora that exist, tagged with their order.
 
     ``priority`` is the position in the argument list and ``ordinal`` the
-    position inside a corpus (kept when the corpus already has one).
+    position inside a corpus.  A corpus without one is ordered by label and then by
+    a hash of the whole row, which no layout of files or partitions changes.
     """
     present = [c for c in corpora if c is not None]
     if not present:
@@ -122,7 +127,9 @@ def union_corpora(*corpora: DataFrame | None) -> DataFrame:
     tagged = []
     for priority, corpus in enumerate(present):
         if "ordinal" not in corpus.columns:
-            corpus = corpus.withColumn("ordinal", F.monotonically_increasing_id())
+            mixed = F.pmod(F.xxhash64(*corpus.columns), F.lit(1 << 47))
+            by_label = F.shiftleft(F.coalesce("label", F.lit(255)).cast("bigint"), 47)
+            corpus = corpus.withColumn("ordinal", by_label + mixed)
         tagged.append(corpus.withColumn("priority", F.lit(priority)))
     result = tagged[0]
     for corpus in tagged[1:]:

@@ -1,8 +1,9 @@
 """Prediction, feedback, telemetry and model-run logs.
 
-A log is a folder of Parquet batches.  Each batch has its own sub-folder, so a
-batch that is written again after a failure replaces itself and rows never
-double.  Inside a batch rows are partitioned by day.
+A log is a folder of Parquet batches, ``run=<id>/batch=<n>``.  A run is what writes
+batches with numbers of its own, such as a stream with its checkpoint: a batch that
+is written again after a failure replaces itself and rows never double, and other
+runs are not touched.  Inside a batch rows are partitioned by day.
 """
 
 from __future__ import annotations
@@ -95,9 +96,9 @@ def telemetry(scored: DataFrame) -> DataFrame:
     )
 
 
-def append_batch(df: DataFrame, path: str, batch: int | str, day: str | None = "created_at") -> str:
-    """Write one batch of a log; writing the same batch again replaces it."""
-    target = f"{path.rstrip('/')}/batch={batch}"
+def append_batch(df: DataFrame, path: str, run: str, batch: int = 0, day: str | None = "created_at") -> str:
+    """Write one batch of a run; writing the same batch again replaces it."""
+    target = f"{path.rstrip('/')}/run={run}/batch={batch}"
     writer = df
     if day is not None:
         writer = df.withColumn("day", F.to_date(day))
@@ -108,8 +109,14 @@ def append_batch(df: DataFrame, path: str, batch: int | str, day: str | None = "
 
 
 def scan_log(spark: SparkSession, path: str, schema=schemas.PREDICTION_LOG) -> DataFrame:
-    """Read a log; batch and day are partition columns, so filters on them prune."""
-    return spark.read.option("basePath", path).schema(schema).parquet(f"{path.rstrip('/')}/batch=*")
+    """Read a log; run, batch and day are partition columns, so filters on them prune."""
+    return spark.read.option("basePath", path).schema(schema).parquet(f"{path.rstrip('/')}/run=*/batch=*")
+
+
+def compact_run(spark: SparkSession, path: str, run: str, target: str, schema=schemas.PREDICTION_LOG) -> str:
+    """Copy the many small batches of a finished run into one batch of another log folder."""
+    rows = scan_log(spark, path, schema).where(F.col("run") == run).drop("run", "batch")
+    return append_batch(rows.hint("rebalance", "day"), target, run)
 
 
 def scan_predictions(spark: SparkSession, path: str) -> DataFrame:
@@ -128,7 +135,7 @@ def model_run(spark: SparkSession, **values) -> DataFrame:
 
 def append_model_run(run: DataFrame, path: str, name: str, json_copy: str | None = None) -> None:
     """Append a run; optionally keep a JSON copy next to the model."""
-    append_batch(run, path, name, day=None)
+    append_batch(run, path, name, day=None)  # a name of its own, so runs add up
     if json_copy is not None:
         run.write.mode("overwrite").json(json_copy)
 

@@ -1,8 +1,9 @@
 """Streaming forms of scoring, webhook replies, feedback and statistics.
 
 Each job uses the batch operators inside ``foreachBatch`` or directly on the
-stream.  Batches are written under their batch id, so a batch that is repeated
-after a failure replaces itself.
+stream.  Batches are written under the id that the checkpoint gives the query and
+their batch number, so a batch that is repeated after a failure replaces itself
+and another query's batches stay.
 """
 
 from __future__ import annotations
@@ -49,8 +50,28 @@ def drop_redelivered(events: DataFrame, time_column: str, late: str = "1 hour",
     return events.withWatermark(time_column, late).dropDuplicatesWithinWatermark([key])
 
 
-def _each_batch(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None]) -> DataStreamWriter:
-    return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+def first_deliveries(requests: DataFrame, time_column: str | None, late: str, key: str = "message_id") -> DataFrame:
+    """Drop redelivered rows by ``time_column``, or by arrival when there is none.
+
+    Rows without a key are told apart by their text.
+    """
+    keyed = requests.withColumn("_delivery", F.coalesce(F.col(key), F.concat(F.lit("text:"), F.md5("text")), F.lit("")))
+    if time_column is not None:
+        return drop_redelivered(keyed, time_column, late, "_delivery").drop("_delivery")
+    arrived = keyed.withColumn("_arrived", F.current_timestamp())
+    return drop_redelivered(arrived, "_arrived", late, "_delivery").drop("_delivery", "_arrived")
+
+
+def _each_batch(
+    stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, str, int], None]
+) -> DataStreamWriter:
+    """Hand every batch on with the query's id, which the checkpoint keeps over restarts."""
+
+    def named(batch: DataFrame, batch_id: int) -> None:
+        metadata = batch.sparkSession.read.schema("id string").json(f"{checkpoint.rstrip('/')}/metadata")
+        handle(batch, metadata.first()["id"], batch_id)
+
+    return stream.writeStream.foreachBatch(named).option("checkpointLocation", checkpoint)
 
 
 def score_stream(
@@ -60,14 +81,15 @@ def score_stream(
     checkpoint: str,
     threshold: float = 0.80,
     created_at: str | None = None,
+    late: str = "1 hour",
 ) -> DataStreamWriter:
-    """Check, score and log requests.
+    """Check, score and log requests; those delivered again within ``late`` are dropped.
 
     Writes ``predictions``, ``telemetry`` and ``rejected`` under ``output``.
     Scores of a batch are kept while the three are written.
     """
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
+    def handle(batch: DataFrame, run: str, batch_id: int) -> None:
         rows = batch if created_at is None else batch.withColumn("created_at", F.col(created_at))
         checked = scoring_job.check_requests(rows).persist()
         started = time.monotonic()
@@ -80,55 +102,53 @@ def score_stream(
             elapsed = (time.monotonic() - started) * 1000
             timed = records.withColumn("processing_time_ms", F.round(F.lit(elapsed / max(n, 1)), 1))
             when = F.col("created_at") if created_at is not None else None
-            logs.append_batch(logs.prediction_log(timed, when), f"{output}/predictions", batch_id)
-            logs.append_batch(scoring_job.rejected(checked), f"{output}/rejected", batch_id, day=None)
+            logs.append_batch(logs.prediction_log(timed, when), f"{output}/predictions", run, batch_id)
+            logs.append_batch(scoring_job.rejected(checked), f"{output}/rejected", run, batch_id, day=None)
             try:
-                logs.append_batch(logs.telemetry(timed), f"{output}/telemetry", batch_id, day=None)
+                logs.append_batch(logs.telemetry(timed), f"{output}/telemetry", run, batch_id, day=None)
             except Exception as error:  # telemetry never breaks scoring
                 logger.warning("telemetry of batch %s not written: %s", batch_id, error)
         finally:
             records.unpersist()
             checked.unpersist()
 
-    return _each_batch(requests, checkpoint, handle)
+    return _each_batch(first_deliveries(requests, created_at, late), checkpoint, handle)
 
 
-def webhook_stream(bodies: DataFrame, scorer, output: str, checkpoint: str, body: str = "body") -> DataStreamWriter:
+def webhook_stream(
+    bodies: DataFrame, scorer, output: str, checkpoint: str, body: str = "body", late: str = "1 hour"
+) -> DataStreamWriter:
     """Score text events of webhook bodies and write replies to risky ones.
 
-    If scoring a batch fails, every event of it is answered with an apology.
+    Events delivered again within ``late`` are dropped.  A batch that cannot be scored
+    or written fails, and Spark repeats it.
     """
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        events = text_events(batch, body).persist()
-        try:
-            logs.append_batch(webhook_replies(events, scorer), f"{output}/replies", batch_id, day=None)
-        except Exception:
-            apology = fixed.REPLY_NOT_READY if scorer is None else fixed.REPLY_FAILED
-            sorry = events.select("reply_token", "user_id", F.lit(apology).alias("reply"))
-            logs.append_batch(sorry, f"{output}/replies", batch_id, day=None)
-        finally:
-            events.unpersist()
+    def handle(batch: DataFrame, run: str, batch_id: int) -> None:
+        logs.append_batch(webhook_replies(batch, scorer), f"{output}/replies", run, batch_id, day=None)
 
-    return _each_batch(bodies, checkpoint, handle)
+    return _each_batch(first_deliveries(text_events(bodies, body), None, late), checkpoint, handle)
 
 
 def webhook_replies(events: DataFrame, scorer) -> DataFrame:
-    """Replies to the risky events: ``reply_token, user_id, reply``.
+    """Replies to risky events and apologies to those without a score: ``reply_token, user_id, reply``.
 
-    The reply token rides along as the message id, which the records keep.
+    Without a model every event is told so.  The reply token rides along as the
+    message id, which the records keep.
     """
     if scorer is None:
-        raise ValueError("no model loaded")
+        return events.select("reply_token", "user_id", F.lit(fixed.REPLY_NOT_READY).alias("reply"))
     keyed = events.select(F.col("reply_token").alias("message_id"), "user_id", "text")
     records = scoring_job.score_messages(keyed, scorer)
-    return scoring_job.replies(records, F.col("message_id").alias("reply_token"), "user_id")
+    reply = F.when(F.col("label").isNull(), F.lit(fixed.REPLY_FAILED)).otherwise(scoring_job.reply_column())
+    answered = records.where(F.col("label").isNull() | F.col("label").isin("spam", "phishing"))
+    return answered.select(F.col("message_id").alias("reply_token"), "user_id", reply.alias("reply"))
 
 
 def feedback_stream(feedback: DataFrame, output: str, checkpoint: str) -> DataStreamWriter:
     """Check feedback and write it to the log; bad rows go to ``rejected``."""
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
+    def handle(batch: DataFrame, run: str, batch_id: int) -> None:
         user = F.col("user_id") if "user_id" in batch.columns else None
         rules = validation.feedback_rules(
             F.col("text"), F.col("predicted_label"), F.col("actual_label"), user
@@ -137,8 +157,8 @@ def feedback_stream(feedback: DataFrame, output: str, checkpoint: str) -> DataSt
         try:
             good = checked.where(F.size("reasons") == 0).drop("reasons")
             when = F.col("created_at") if "created_at" in batch.columns else None
-            logs.append_batch(logs.feedback_log(good, when), f"{output}/feedback", batch_id)
-            logs.append_batch(checked.where(F.size("reasons") > 0), f"{output}/rejected", batch_id, day=None)
+            logs.append_batch(logs.feedback_log(good, when), f"{output}/feedback", run, batch_id)
+            logs.append_batch(checked.where(F.size("reasons") > 0), f"{output}/rejected", run, batch_id, day=None)
         finally:
             checked.unpersist()
 

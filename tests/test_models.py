@@ -92,11 +92,29 @@ def test_features_do_not_depend_on_partitions(spark, docs):
 def test_counting_words_first_changes_nothing(spark, top, min_df):
     corpus = prepare(generate_corpus(spark, 60, 40, 30))
     settings = features.TfidfSettings(max_features=top, min_df=min_df, max_df=0.3)
-    one = features.vocabulary(corpus, settings, two_pass=False).collect()
-    two = features.vocabulary(corpus, settings, two_pass=True).collect()
-    assert sorted(one) == sorted(two) and len(one) <= top
-    words = features._frequent_words(corpus, settings, "text_clean", F.lit(130))
-    assert (words is None) == (top == 5000)
+    n = corpus.count()
+    every = features.term_statistics(corpus, settings).where((F.col("df") >= min_df) & (F.col("df") <= 0.3 * n))
+    want = sorted(((r["term"], r["df"], r["ctf"]) for r in every.collect()), key=lambda r: (-r[2], r[0]))[:top]
+    got = features.vocabulary(corpus, settings).select("term", "df", "ctf").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_stored_vectors_equal_lazy_ones(spark, docs):
+    model = features.MessageFeatures(settings=features.TfidfSettings(min_df=1, max_df=1.0)).fit(docs)
+    lazy = sorted(str(r["features"]) for r in model.transform(docs).collect())
+    stored = features.stored_vectors(model.structs(docs).select("features"), "features")
+    assert sorted(str(r["features"]) for r in stored.collect()) == lazy
+
+
+@pytest.mark.parametrize("names", [("lr",), ("gb",), ("rf", "gb"), ("lr", "gb")])
+def test_any_choice_of_learners_is_saved_and_loaded(spark, tmp_path, names):
+    corpus = split_exact(generate_corpus(spark, 12, 10, 8), train=0.8, val=0.2)
+    small = learners.LearnerSettings(lr_iterations=5, rf_trees=2, rf_depth=2, gb_rounds=1, gb_depth=1)
+    fit_on, held = corpus.where("split = 'train'"), corpus.where("split = 'val'")
+    model, _ = train(spark, fit_on, held, str(tmp_path / "m"), settings=small, names=names)
+    loaded = RiskModel.load(str(tmp_path / "m"))
+    key = lambda df: sorted((r["message_id"], tuple(r["proba"])) for r in df.collect())
+    assert key(loaded.score(prepare(held))) == key(model.score(prepare(held)))
 
 
 def test_class_weights(spark):

@@ -8,13 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from msgsieve.functions import labels as lb
-from msgsieve.functions.evaluation import checked_broadcast
 from msgsieve.functions import validation
 from msgsieve.functions.replies import faq_answer, format_reply
 from msgsieve.functions.responses import parse_response
 from msgsieve import fixed_values as fixed
 from msgsieve.operators import augment, chat, dedup, evaluate, ordered, profile, quality, scoring, split, stats
 from msgsieve.operators.prepare import prepare
+from msgsieve.plans import ingest
 from msgsieve.sources import logs, schemas
 
 
@@ -66,11 +66,12 @@ def test_hash_split_is_stable_and_keeps_copies_together(spark):
 
 
 @pytest.mark.parametrize("ranges", [2, 7, 64])
-def test_running_before(spark, ranges):
+def test_running_before(spark, ranges, monkeypatch):
+    monkeypatch.setattr(type(spark.range(0)), "repartitionByRange", _into(ranges, type(spark.range(0)).repartitionByRange))
     rng = random.Random(3)
     rows = [(g, float(v), rng.randint(0, 5)) for g in "ab" for v in rng.sample(range(10_000), 500)]
     df = spark.createDataFrame(rows, "g string, v double, n int")
-    got = ordered.running_before(df, ["g"], "v", ["n"], ranges).collect()
+    got = ordered.running_before(df, ["g"], "v", ["n"]).collect()
     assert len(got) == len(rows)
     for r in got:
         assert r["n_before"] == sum(n for g, v, n in rows if g == r["g"] and v < r["v"])
@@ -103,10 +104,28 @@ def test_histogram(spark):
         assert [got.get((g, b), 0) for b in range(20)] == list(counts)
 
 
-def test_broadcast_check(spark):
-    assert checked_broadcast(spark.range(5), 5).count() == 5
-    with pytest.raises(Exception, match="more than 4 rows"):
-        checked_broadcast(spark.range(5), 4).collect()
+def _into(ranges, plain):
+    return lambda df, *columns: plain(df, ranges, *columns)
+
+
+def test_many_groups(spark):
+    """No operator limits the number of groups."""
+    n = 12_000
+    df = spark.range(2 * n).select(
+        (F.col("id") % n).alias("g"), F.col("id").cast("string").alias("k"), F.col("id").cast("double").alias("x"), F.lit("t").alias("text"))
+    assert ordered.describe(df, "g", ["x"]).where("count = 2 AND p50 = (min + max) / 2").count() == n
+    assert profile.histogram(df, "g", "x", 4).agg(F.sum("n")).first()[0] == 2 * n
+    assert split.split_exact(df, "g", "k").groupBy("split").count().count() >= 1
+    assert profile.sample_per_class(df, "g", "k").count() == 2 * n
+
+
+def test_first_of_equal_texts_does_not_depend_on_partitions(spark):
+    rows = [("same", label, f"n{label}", f"m{label}-{i}") for i in range(30) for label in (2, 1, 0)] + [("other", 1, "n1", "x")]
+    kept = []
+    for parts in (1, 16):
+        corpus = spark.createDataFrame(rows, "text string, label int, label_name string, message_id string").repartition(parts)
+        kept.append(sorted(map(tuple, ingest.merge(corpus).collect())))
+    assert kept[0] == kept[1] and [r[1] for r in kept[0]] == [1, 0]
 
 
 def test_samples_and_shuffle(spark):

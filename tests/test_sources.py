@@ -101,9 +101,9 @@ def _scored(spark, n):
 def test_log_batches_replace_themselves(spark, tmp_path):
     path = str(tmp_path / "log")
     rows = logs.prediction_log(_scored(spark, 3))
-    logs.append_batch(rows, path, 1)
-    logs.append_batch(rows, path, 1)
-    logs.append_batch(logs.prediction_log(_scored(spark, 2)), path, 2)
+    logs.append_batch(rows, path, "a", 1)
+    logs.append_batch(rows, path, "a", 1)
+    logs.append_batch(logs.prediction_log(_scored(spark, 2)), path, "a", 2)
     back = logs.scan_predictions(spark, path)
     assert back.count() == 5
     assert back.select(F.max(F.length("text"))).first()[0] == 500
