@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from msgsieve.llm import near_duplicates, preferences, substrings
+from msgsieve.llm import decontamination, near_duplicates, preferences, sharding, substrings
 from msgsieve.llm.decontamination import op3_simhash_windows
 from msgsieve.llm.factorization import op9_factorization_machine
 from msgsieve.llm.near_duplicates import op10_odd_sketches
@@ -31,6 +31,8 @@ QUERIES = {
 }
 SQL = {
     "op2_count_min_passages": substrings.SQL,
+    "op3_simhash_windows": decontamination.SQL,
+    "op4_byte_shards": sharding.SQL,
     "op7_preference_pairs": preferences.SQL,
     "op10_odd_sketches": near_duplicates.SQL,
 }

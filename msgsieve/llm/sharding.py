@@ -82,3 +82,23 @@ def op4_byte_shards(spark: SparkSession, folder: str) -> DataFrame:
     return assign(read(spark, folder, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
+
+
+# The checksum is the table-driven CRC-32 of the text's bytes, as this engine has none.
+SQL = r"""
+WITH RECURSIVE poly(b, k, c) AS (
+  SELECT b, 0, b::BIGINT FROM range(256) t(b)
+  UNION ALL SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM poly WHERE k < 8
+), crc_table AS (SELECT list(c ORDER BY b) AS t FROM poly WHERE k = 8),
+sized AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 16 AS size, xor(list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)),
+      lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) AS text_crc32
+  FROM documents, crc_table
+), placed AS (
+  SELECT *, least((2 * (sum(size) OVER before - size) + size) * 40 // (2 * sum(size) OVER ()), 39)::INTEGER AS shard
+  FROM sized WINDOW before AS (ORDER BY doc_id, text_crc32, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1 AS slot,
+  CAST(NULL AS INTEGER) AS grown_shard FROM placed
+"""
