@@ -300,6 +300,17 @@ def raw_report(spark, folder):
     return _flat_report(quality.raw_report(raw_messages(spark, folder)))
 
 
+@query
+def dominated_report(spark, folder):
+    """Classes of which one holds most rows, so that the report names it."""
+    toxic = F.when(F.col("toxic") == 0, 0).otherwise(F.when(F.col("doc_id") % 2 == 0, 2).otherwise(1))
+    classes = table(spark, folder, "labels", "doc_id", "toxic").select("doc_id", toxic.alias("label"))
+    docs = documents(spark, folder).join(classes, "doc_id").select(
+        F.col("doc_id").cast("string").alias("message_id"), "text", "label",
+        lb.label_name(F.col("label")).alias("label_name"), "source", F.lit("2024-01-01 00:00:00").alias("created_at"))
+    return _flat_report(quality.raw_report(docs))
+
+
 @query
 def raw_violations(spark, folder):
     broken = quality.violations(raw_messages(spark, folder), quality.raw_rules())
@@ -337,6 +348,39 @@ def split_table(spark, folder):
     return written.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def split_checks(spark, folder):
+    """Rows, ids and texts per split of the exact split, and how many ids lie in two."""
+    rows = split.split_exact(raw_messages(spark, folder))
+    per_id = rows.groupBy("message_id").agg(F.count_distinct("split").alias("splits"), F.min("split").alias("split"), F.min("label").alias("label"))
+    return per_id.groupBy("split", "label").agg(F.count("*").alias("n"), F.count_if(F.col("splits") > 1).alias("n_shared"))
+
+
+@query
+def tsv_corpus(spark, folder):
+    """Labelled documents written as TSV with quoted fields, read and normalised; a missing corpus adds nothing."""
+    path = new_table_path(spark, "corpus-tsv")
+    rows = raw_messages(spark, folder).select("label_name", "text")
+    rows.write.options(sep="\t", quote='"', escape='"', quoteAll="true", encoding="UTF-8").csv(path)
+    read = corpora.load_tsv_corpus(spark, path)
+    missing = corpora.load_tsv_corpus(spark, f"{path}-missing")
+    merged = corpora.union_corpora(missing, read)
+    return merged.select("label", "label_name", "source", "priority", F.md5("text").alias("text_md5"))
+
+
+@query
+def csv_corpus(spark, folder):
+    """The raw messages written as CSV and read again, with and without multi-line fields."""
+    path = new_table_path(spark, "corpus-csv")
+    rows = raw_messages(spark, folder)
+    corpora.write_corpus(rows, f"{path}/multi")
+    flat = rows.withColumn("text", F.translate("text", "\n", " "))
+    corpora.write_corpus(flat, f"{path}/single")
+    both = corpora.load_csv_corpus(spark, f"{path}/multi").withColumn("form", F.lit("multi")).unionByName(
+        corpora.load_csv_corpus(spark, f"{path}/single", multi_line=False).withColumn("form", F.lit("single")))
+    return both.select("form", "message_id", "label", "label_name", "source", "created_at", F.md5("text").alias("text_md5"))
+
+
 # --- exploration --------------------------------------------------------------
 
 
@@ -404,6 +448,13 @@ def class_weights(spark, folder):
     return weights.select("label", "n", r6("weight").alias("weight"))
 
 
+@query
+def feature_names(spark, folder):
+    """Terms in column order, then the signals."""
+    model = features.MessageFeatures(settings=TFIDF).fit(cut_lineage(prepare(documents(spark, folder, "doc_id", "text"))))
+    return spark.createDataFrame(list(enumerate(model.feature_names())), "idx int, name string")
+
+
 # --- scoring ------------------------------------------------------------------
 
 
@@ -447,6 +498,17 @@ def decision_records(spark, folder):
     return _flat_records(records(spark, folder))
 
 
+@query
+def blank_decisions(spark, folder):
+    """Every fifth message is blank: a certain ham that asks for no second opinion."""
+    docs = messages(spark, folder)
+    scorer = linear_scorer(moments_of(add_signals(docs)))
+    blanked = docs.withColumn("text", F.when(F.col("message_id").cast("bigint") % 5 == 0, " \t\n").otherwise(F.col("text")))
+    classified_rows = scoring.classify(scorer(computed_once(blanked, signal_values())))
+    decided = scoring.decide(classified_rows, None, spam_keywords=SPAM_WORDS, phishing_keywords=PHISHING_WORDS)
+    return decided.select("message_id", "label", "confidence", "explanation", F.array_join("keywords", ",").alias("keywords"))
+
+
 @query
 def second_opinion_requests(spark, folder):
     asked = scoring.second_opinion_requests(classified(spark, folder))
@@ -530,6 +592,29 @@ def classification_report(spark, folder):
     return found.select("position", "row", *[r6(c).alias(c) for c in ("precision", "recall", "f1")], "support")
 
 
+class _LinearModel:
+    """The linear scorer in the form of a trained model."""
+
+    def __init__(self, scorer):
+        self.scorer = scorer
+
+    def score(self, prepared: DataFrame) -> DataFrame:
+        return self.scorer(prepared).withColumn("prediction", lb.argmax(F.col("proba")))
+
+
+@query
+def evaluation_report(spark, folder):
+    """The confusion matrix and report files that an evaluation writes, read again."""
+    prepared = prepare(labelled(spark, folder, "doc_id", "text"))
+    model = _LinearModel(linear_scorer(moments_of(add_signals(documents(spark, folder, "doc_id", "text")))))
+    path = new_table_path(spark, "evaluation")
+    assess.assess(model, prepared, path)
+    confusion = spark.read.schema("actual int, predicted int, n bigint").json(f"{path}/confusion")
+    metrics = spark.read.parquet(f"{path}/metrics").where("class IS NULL AND metric IN ('accuracy', 'f1_weighted')")
+    return confusion.select(F.concat_ws("-", F.lit("n"), "actual", "predicted").alias("name"), F.col("n").cast("double").alias("value")).unionByName(
+        metrics.select(F.col("metric").alias("name"), r6("value").alias("value")))
+
+
 # --- logs and statistics ------------------------------------------------------
 
 LOGGED_AT = "2024-05-06 07:08:09"
@@ -669,7 +754,13 @@ def model_info(spark, folder):
 
 @query
 def model_comparison(spark, folder):
-    found = stats.model_comparison(_language_runs(spark, folder))
+    """Run rows appended to the model table one by one, read back and compared."""
+    runs, path = cut_lineage(_language_runs(spark, folder), "runs"), new_table_path(spark, "model-runs")
+    for row in runs.select("run").collect():  # one per language
+        own = runs.where(F.col("run") == row["run"])
+        rows = own.select(*[(F.col(f.name) if f.name in own.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.MODEL_RUNS])
+        logs.append_model_run(rows, path, row["run"], f"{path}-json/{row['run']}")
+    found = stats.model_comparison(logs.scan_model_runs(spark, path))
     return found.select("model", *[r6(c).alias(c) for c in ("accuracy", "f1_weighted", "auc_roc", "train_seconds")])
 
 
@@ -767,6 +858,30 @@ def stream_scoring(spark, folder):
     )
 
 
+@query
+def stream_feedback(spark, folder):
+    """Feedback checked and logged as a stream, in several batches."""
+    out = new_table_path(spark, "stream-feedback")
+    rows = _feedback(spark, folder).select("text", "predicted_label", "actual_label")
+    rows.repartition(3, "text").write.parquet(f"{out}/in")
+    stream = jobs.file_stream(spark, f"{out}/in", rows.schema, maxFilesPerTrigger=1)
+    jobs.run_available(jobs.feedback_stream(stream, out, f"{out}/checkpoint"))
+    return logs.scan_feedback(spark, f"{out}/feedback").select("text", "predicted_label", "actual_label")
+
+
+@query
+def stream_webhook(spark, folder):
+    """Webhook bodies answered as a stream, each delivered twice."""
+    out = new_table_path(spark, "stream-webhook")
+    bodies = _bodies(spark, folder)
+    bodies.unionByName(bodies).write.parquet(f"{out}/in")
+    moments = moments_of(prepare(documents(spark, folder, "doc_id", "text")))
+    scorer = linear_scorer(moments, COEFFICIENTS, WEBHOOK_INTERCEPTS)
+    stream = jobs.file_stream(spark, f"{out}/in", bodies.schema)
+    jobs.run_available(jobs.webhook_stream(stream, scorer, out, f"{out}/checkpoint"))
+    return spark.read.parquet(f"{out}/replies/run=*/batch=*").select("reply_token", "user_id", "reply")
+
+
 @query
 def stream_windowed_stats(spark, folder):
     """Periods that the watermark has closed at the end of the events."""

@@ -476,6 +476,26 @@ SELECT doc_id, idx, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)),
 size AS (SELECT count(*) AS size FROM vocab)
 SELECT doc_id, CAST(idx AS INTEGER) AS idx, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS value FROM w
 {' '.join(f"UNION ALL SELECT doc_id, CAST(size + {k} AS INTEGER), round(z_{n}, 6) FROM scaled, size" for k, n in enumerate(SIGNALS))}""",
+    "dominated_report": RAW_REPORT.replace(CLASS, "CASE WHEN toxic = 0 THEN 0 WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END"),
+    "split_checks": f"""WITH {RAW}, r AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY {unit32(chr(39) + '42' + chr(39) + ' || message_id')}, message_id) AS rank,
+  count(*) OVER (PARTITION BY label) AS n FROM raw)
+SELECT CASE WHEN rank <= round(n * 0.7) THEN 'train' WHEN rank <= round(n * (0.7 + 0.15)) THEN 'val' ELSE 'test' END AS split,
+  CAST(label AS INTEGER) AS label, count(*) AS n, CAST(0 AS BIGINT) AS n_shared FROM r GROUP BY ALL""",
+    "tsv_corpus": f"WITH {RAW} SELECT CAST(label AS INTEGER) AS label, label_name, 'uci_sms_spam' AS source, 0 AS priority, md5(text) AS text_md5 FROM raw WHERE label_name IN ('ham', 'spam')",
+    "csv_corpus": f"WITH {RAW} "
+    + " UNION ALL ".join(
+        f"SELECT '{form}' AS form, message_id, CAST(label AS INTEGER) AS label, label_name, source, '2024-01-01 00:00:00' AS created_at, md5({text}) AS text_md5 FROM raw"
+        for form, text in (("multi", "text"), ("single", "replace(text, chr(10), ' ')"))
+    ),
+    "feature_names": f"WITH {VOCABULARY}, size AS (SELECT count(*) AS size FROM vocab) SELECT CAST(idx AS INTEGER) AS idx, term AS name FROM vocab "
+    + " ".join(f"UNION ALL SELECT CAST(size + {k} AS INTEGER), '{n}' FROM size" for k, n in enumerate(SIGNALS)),
+    "blank_decisions": f"""WITH {records(False)} SELECT message_id, CASE WHEN b THEN 'ham' ELSE label END AS label, CASE WHEN b THEN 1.0 ELSE confidence END AS confidence,
+  CASE WHEN b THEN {q(fixed.EXPLAIN_BLANK)} ELSE explanation END AS explanation, CASE WHEN b THEN '' ELSE keywords END AS keywords
+  FROM (SELECT *, CAST(message_id AS BIGINT) % 5 = 0 AS b FROM rec)""",
+    "evaluation_report": f"""WITH {JUDGED}, {CLASS_ROWS} SELECT 'n-' || actual || '-' || predicted AS name, CAST(n AS DOUBLE) AS value FROM conf
+  UNION ALL SELECT 'accuracy', round(accuracy, 6) FROM ov UNION ALL SELECT 'f1_weighted', round(f1_weighted, 6) FROM ov""",
+    "stream_feedback": f"WITH {FEEDBACK} SELECT substr(text, 1, 500) AS text, predicted_label, actual_label FROM fb WHERE length(text) BETWEEN 1 AND 2000 AND actual_label <> 'unknown'",
+    "stream_webhook": webhook_reply_sql(),
     "scaled_signals": f"WITH {PREPARED}, {scored('prep')} SELECT doc_id, " + ", ".join(f"round(z_{n}, 6) AS {n}" for n in SIGNALS) + " FROM scaled",
     "class_weights": f"WITH {RAW} SELECT CAST(label AS INTEGER) AS label, count(*) AS n, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 6) AS weight FROM raw GROUP BY label",
     "linear_scores": f"WITH {CLASSIFIED} SELECT message_id, round(p0, 6) AS ham, round(p1, 6) AS spam, round(p2, 6) AS phishing, ml_label_id, round(ml_confidence, 6) AS ml_confidence FROM cls",
