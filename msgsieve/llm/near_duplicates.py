@@ -6,11 +6,12 @@ ignored; a shorter text is one shingle.  Two documents are linked if
 
 1. Each set gives ``BANDS * ROWS`` MinHash samples.  Bands of ``ROWS`` samples propose
    candidates: sets of similarity 0.8 share no band with probability 5e-8.
-2. The samples are folded into an odd sketch, a bitmap of ``SKETCH_BITS`` parities.  Two
-   sketches differ in about n/2 * (1 - (1 - 2/n) ** (2 k (1 - J))) of n bits for k
-   samples, which tells high similarities apart precisely.  Candidates are dropped from
-   ``MAX_FLIPS`` on, where J = 0.8 lies six standard deviations away, and so are pairs
-   whose set sizes rule the similarity out.
+2. The bottom-k MinHash sample (the ``SKETCHED`` smallest hashes; smaller sets as a
+   whole) is folded into an odd sketch, a bitmap of ``SKETCH_BITS`` parities.  The XOR of
+   two sketches has at most as many bits as the samples have different elements, and
+   only few less, so it tells high similarities apart precisely.  A candidate is dropped
+   if it has more than similar enough sets could have: for whole sets no link can be
+   lost, for sampled ones the limit lies six standard deviations beyond.
 3. What is left is confirmed on the full sets.
 
 Equal sets are one node from the start.  In a band's bucket every member is first
@@ -41,10 +42,10 @@ from msgsieve.session import cut_lineage
 PERCENT = 80
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
-SKETCH_BITS = 512
-# J = 0.8 gives 25.6 +- 4.5 differing samples of 128, so 52 with six deviations more;
-# these flip 86 bits on average.
-MAX_FLIPS = 96
+SKETCHED, SKETCH_BITS = 1024, 2048
+# Six standard deviations of the different elements in two samples at J = 0.8, which has
+# SKETCHED * 8/9 of them in common on average.
+MARGIN = int(12 * (SKETCHED * 8 / 81) ** 0.5)
 SHINGLE_BASE = 0x14057B7EF767814F
 
 _random = np.random.default_rng(20240607)
@@ -86,12 +87,15 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return keys
 
 
-def odd_sketches(samples: np.ndarray) -> np.ndarray:
-    """SKETCH_BITS parities of each row's numbered samples, as 64-bit words."""
-    numbered = (np.arange(SAMPLES, dtype=np.uint64) << np.uint64(32)) | samples
-    bits = (mix(numbered) % np.uint64(SKETCH_BITS)).astype(np.int64) + SKETCH_BITS * np.arange(len(samples))[:, None]
-    odd = np.bincount(bits.ravel(), minlength=SKETCH_BITS * len(samples)) & 1
-    return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64).reshape(len(samples), -1)
+def odd_sketches(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """SKETCH_BITS parities of the bottom-k sample of each sorted set, as 64-bit words."""
+    taken = np.minimum(sizes, SKETCHED)
+    ends = np.cumsum(taken)
+    at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - taken), taken)
+    bits = (mix(values[at]) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    bits += SKETCH_BITS * np.repeat(np.arange(len(starts)), taken)
+    odd = np.bincount(bits, minlength=SKETCH_BITS * len(starts)) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64).reshape(len(starts), -1)
 
 
 def describe_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -112,7 +116,7 @@ def describe_sets(docs: DataFrame, size: int) -> DataFrame:
                     sums[0, full] = np.add.reduceat(values, starts)
                     sums[1, full] = np.add.reduceat(mix(values ^ np.uint64(SHINGLE_BASE)), starts)
                     samples = minhash(values, starts)
-                keys, sketch = as_signed(band_keys(samples)), as_signed(odd_sketches(samples))
+                keys, sketch = as_signed(band_keys(samples)), as_signed(odd_sketches(values, starts, sizes[full]))
                 some = np.concatenate([[0], np.cumsum(sizes > 0)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(low, count), pa.array(sizes, pa.int64()),
@@ -130,7 +134,14 @@ def close(a: str, b: str) -> Column:
     flips = sum((F.bit_count(F.get(f"{a}.sketch", F.lit(i)).bitwiseXOR(F.get(f"{b}.sketch", F.lit(i))))
                  for i in range(SKETCH_BITS // 64)), F.lit(0))
     small, large = (f(f"{a}.n_shingles", f"{b}.n_shingles") for f in (F.least, F.greatest))
-    return (100 * small >= PERCENT * large) & (flips < MAX_FLIPS)
+    return (100 * small >= PERCENT * large) & (flips <= most_flips(small, large))
+
+
+def most_flips(small: Column, large: Column) -> Column:
+    """How many elements the samples of two similar enough sets of these sizes can differ in."""
+    common = (small + large) * PERCENT / (100 + PERCENT) * F.least(F.lit(1.0), SKETCHED / large)
+    sampled = F.when(large > SKETCHED, F.lit(MARGIN)).otherwise(0)
+    return F.least(small, F.lit(SKETCHED)) + F.least(large, F.lit(SKETCHED)) - 2 * common + sampled + 1e-6
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
@@ -186,8 +197,9 @@ def later_pairs(buckets: DataFrame, sets: DataFrame, labels: DataFrame) -> DataF
 def classes(docs: DataFrame, size: int) -> DataFrame:
     """id, n_shingles and component_id of every row of ``docs``."""
     described = describe_sets(docs, size)
-    leaders = described.where("id IS NOT NULL AND n_shingles > 0").groupBy("c0", "c1", "n_shingles").agg(
-        F.min("id").alias("leader"))
+    # a written table, as adaptive execution splits a large group only between two plain sides
+    leaders = cut_lineage(described.where("id IS NOT NULL AND n_shingles > 0").groupBy("c0", "c1", "n_shingles").agg(
+        F.min("id").alias("leader")), "first-of-equals")
     own = cut_lineage(described.select("id", "n_shingles", "c0", "c1").join(
         leaders, ["c0", "c1", "n_shingles"], "left").select(
         "id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("leader", "id")).alias("leader")), "leaders")

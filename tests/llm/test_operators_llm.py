@@ -95,6 +95,13 @@ def test_public_values_and_odd_texts_stay(spark, documents):
     assert [r["text"] for r in done] == rows and not any(r["replaced"] for r in done)
 
 
+def test_values_beside_each_other_are_all_replaced(spark, documents):
+    values = ["+1 (826) 555-4081", "190.137.223.204", "4111111111111111", "+49 30 1234567", "170.106.47.218", "4111 1111 1111 1111",
+              "2020-02-29", "123-45-6789", "+1 (826) 555-4081"]
+    row = pseudonyms.replace_private(documents("a " + " ".join(values) + " 123 z")).first()
+    assert [x["value"] for x in row["replaced"]] == values and row["text"].endswith(" 123 z")
+
+
 def test_equal_values_are_linked_and_different_ones_never_collide(spark, documents):
     ips = [f"10.0.{a}.{b}" for a in range(8) for b in range(50)]
     rows = pseudonyms.replace_private(documents(*ips, "4111 1111 1111 1111 and 4111111111111111")).orderBy("doc_id").collect()
@@ -389,14 +396,17 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert {r["id"]: r["component"] for r in found} == {i: 0 for i in range(61)} | {100 + i: 100 for i in range(30)}
 
 
-def test_odd_sketches_estimate_similarity():
+@pytest.mark.parametrize("size", [30, 900, 1100, 9000])
+def test_odd_sketches_keep_similar_sets_and_drop_others(spark, size):
     source = np.random.default_rng(8)
-    pool = source.integers(0, 2**63, 4000, dtype=np.uint64)
-    for share in (0.5, 0.8, 0.95):
-        common = int(2000 * share)
-        sets = [np.sort(pool[:2000]), np.sort(np.concatenate([pool[:common], pool[2000 : 4000 - common]]))]
-        samples = np.vstack([near_duplicates.minhash(s, np.array([0])) for s in sets])
-        flips = int(np.bitwise_count(np.bitwise_xor(*near_duplicates.odd_sketches(samples))).sum())
-        n, k = near_duplicates.SKETCH_BITS, near_duplicates.SAMPLES
-        similarity = common / (4000 - common)
-        assert abs(flips - n / 2 * (1 - (1 - 2 / n) ** (2 * k * (1 - similarity)))) < 30
+    for share in (0.4, 0.889, 0.9, 1.0):  # of equal sizes; 8/9 is J = 0.8
+        common = int(np.ceil(size * share))
+        for _ in range(20):
+            pool = source.integers(0, 2**64, 2 * size, dtype=np.uint64)
+            sets = [np.sort(pool[:size]), np.sort(np.concatenate([pool[:common], pool[size : 2 * size - common]]))]
+            both, starts, sizes = np.concatenate(sets), np.array([0, size]), np.array([size, size])
+            flips = int(np.bitwise_count(np.bitwise_xor(*near_duplicates.odd_sketches(both, starts, sizes))).sum())
+            if size <= near_duplicates.SKETCHED:
+                assert flips <= 2 * (size - common)
+            limit = spark.range(1).select(near_duplicates.most_flips(F.lit(size), F.lit(size))).first()[0] if _ == 0 else limit
+            assert (flips <= limit) == (share > 0.5)
