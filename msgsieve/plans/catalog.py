@@ -679,10 +679,10 @@ def feedback_log_scan(spark, folder):
     rules = validation.feedback_rules(F.col("text"), F.col("predicted_label"), F.col("actual_label"))
     good = cut_lineage(_feedback(spark, folder).where(F.size(rules) == 0))
     path = new_table_path(spark, "feedback")
-    for run, part in (("a", 0), ("b", 1), ("b", 1)):
+    for job, part in (("a", 0), ("b", 1), ("b", 1)):
         own = good.where(F.col("doc_id") % 2 == part)
-        logs.append_batch(logs.feedback_log(own, F.lit(LOGGED_AT).cast("timestamp")), path, run)
-    return logs.scan_feedback(spark, path).select("run", "text", "predicted_label", "actual_label")
+        logs.append_batch(logs.feedback_log(own, F.lit(LOGGED_AT).cast("timestamp")), path, job)
+    return logs.scan_feedback(spark, path).select("job", "text", "predicted_label", "actual_label")
 
 
 @query
@@ -879,7 +879,7 @@ def stream_webhook(spark, folder):
     scorer = linear_scorer(moments, COEFFICIENTS, WEBHOOK_INTERCEPTS)
     stream = jobs.file_stream(spark, f"{out}/in", bodies.schema)
     jobs.run_available(jobs.webhook_stream(stream, scorer, out, f"{out}/checkpoint"))
-    return spark.read.parquet(f"{out}/replies/run=*/batch=*").select("reply_token", "user_id", "reply")
+    return spark.read.parquet(f"{out}/replies/job=*/batch=*").select("reply_token", "user_id", "reply")
 
 
 @query

@@ -533,7 +533,7 @@ SELECT doc_id, array_to_string(hits, ',') AS hits, array_to_string(reasons, ',')
     + rules([("text_empty", "length(text) < 1"), ("text_too_long", "length(text) > 2000"), ("actual_label_invalid", "actual_label = 'unknown'")])
     + " AS reasons FROM fb",
     "feedback_log": f"WITH {FEEDBACK} SELECT substr(text, 1, 500) AS text, predicted_label, actual_label FROM fb WHERE length(text) BETWEEN 1 AND 2000 AND actual_label <> 'unknown'",
-    "feedback_log_scan": f"WITH {FEEDBACK} SELECT CASE WHEN doc_id % 2 = 0 THEN 'a' ELSE 'b' END AS run, substr(text, 1, 500) AS text, predicted_label, actual_label FROM fb WHERE length(text) BETWEEN 1 AND 2000 AND actual_label <> 'unknown'",
+    "feedback_log_scan": f"WITH {FEEDBACK} SELECT CASE WHEN doc_id % 2 = 0 THEN 'a' ELSE 'b' END AS job, substr(text, 1, 500) AS text, predicted_label, actual_label FROM fb WHERE length(text) BETWEEN 1 AND 2000 AND actual_label <> 'unknown'",
     "request_quarantine": f"""WITH r AS (SELECT doc_id, text, {rules([('text_missing', 'text IS NULL'), ('text_empty', 'length(text) < 1'), ('text_too_long', 'length(text) > 2000'), ('text_blank', 'length(text) BETWEEN 1 AND 2000 AND ' + BLANK_TEXT), ('user_id_too_long', 'length(repeat(source, 25)) > 100')])} AS reasons FROM documents)
 SELECT doc_id, reasons, md5(CASE WHEN reasons = '' THEN regexp_replace(text, {q(f'^[{WS_SET}]+|[{WS_SET}]+$')}, '', 'g') ELSE text END) AS text_md5 FROM r""",
     "chat_quarantine": f"WITH {HISTORY.format(n=10)} SELECT conv_id, turn, "

@@ -1,9 +1,9 @@
 """Prediction, feedback, telemetry and model-run logs.
 
-A log is a folder of Parquet batches, ``run=<id>/batch=<n>``.  A run is what writes
+A log is a folder of Parquet batches, ``job=<id>/batch=<n>``.  A job is what writes
 batches with numbers of its own, such as a stream with its checkpoint: a batch that
 is written again after a failure replaces itself and rows never double, and other
-runs are not touched.  Inside a batch rows are partitioned by day.
+jobs are not touched.  Inside a batch rows are partitioned by day.
 """
 
 from __future__ import annotations
@@ -96,9 +96,9 @@ def telemetry(scored: DataFrame) -> DataFrame:
     )
 
 
-def append_batch(df: DataFrame, path: str, run: str, batch: int = 0, day: str | None = "created_at") -> str:
-    """Write one batch of a run; writing the same batch again replaces it."""
-    target = f"{path.rstrip('/')}/run={run}/batch={batch}"
+def append_batch(df: DataFrame, path: str, job: str, batch: int = 0, day: str | None = "created_at") -> str:
+    """Write one batch of a job; writing the same batch again replaces it."""
+    target = f"{path.rstrip('/')}/job={job}/batch={batch}"
     writer = df
     if day is not None:
         writer = df.withColumn("day", F.to_date(day))
@@ -109,14 +109,14 @@ def append_batch(df: DataFrame, path: str, run: str, batch: int = 0, day: str |
 
 
 def scan_log(spark: SparkSession, path: str, schema=schemas.PREDICTION_LOG) -> DataFrame:
-    """Read a log; run, batch and day are partition columns, so filters on them prune."""
-    return spark.read.option("basePath", path).schema(schema).parquet(f"{path.rstrip('/')}/run=*/batch=*")
+    """Read a log; job, batch and day are partition columns, so filters on them prune."""
+    return spark.read.option("basePath", path).schema(schema).parquet(f"{path.rstrip('/')}/job=*/batch=*")
 
 
-def compact_run(spark: SparkSession, path: str, run: str, target: str, schema=schemas.PREDICTION_LOG) -> str:
-    """Copy the many small batches of a finished run into one batch of another log folder."""
-    rows = scan_log(spark, path, schema).where(F.col("run") == run).drop("run", "batch")
-    return append_batch(rows.hint("rebalance", "day"), target, run)
+def compact_job(spark: SparkSession, path: str, job: str, target: str, schema=schemas.PREDICTION_LOG) -> str:
+    """Copy the many small batches of a finished job into one batch of another log folder."""
+    rows = scan_log(spark, path, schema).where(F.col("job") == job).drop("job", "batch")
+    return append_batch(rows.hint("rebalance", "day"), target, job)
 
 
 def scan_predictions(spark: SparkSession, path: str) -> DataFrame:

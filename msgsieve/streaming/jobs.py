@@ -89,7 +89,7 @@ def score_stream(
     Scores of a batch are kept while the three are written.
     """
 
-    def handle(batch: DataFrame, run: str, batch_id: int) -> None:
+    def handle(batch: DataFrame, job: str, batch_id: int) -> None:
         rows = batch if created_at is None else batch.withColumn("created_at", F.col(created_at))
         checked = scoring_job.check_requests(rows).persist()
         started = time.monotonic()
@@ -102,10 +102,10 @@ def score_stream(
             elapsed = (time.monotonic() - started) * 1000
             timed = records.withColumn("processing_time_ms", F.round(F.lit(elapsed / max(n, 1)), 1))
             when = F.col("created_at") if created_at is not None else None
-            logs.append_batch(logs.prediction_log(timed, when), f"{output}/predictions", run, batch_id)
-            logs.append_batch(scoring_job.rejected(checked), f"{output}/rejected", run, batch_id, day=None)
+            logs.append_batch(logs.prediction_log(timed, when), f"{output}/predictions", job, batch_id)
+            logs.append_batch(scoring_job.rejected(checked), f"{output}/rejected", job, batch_id, day=None)
             try:
-                logs.append_batch(logs.telemetry(timed), f"{output}/telemetry", run, batch_id, day=None)
+                logs.append_batch(logs.telemetry(timed), f"{output}/telemetry", job, batch_id, day=None)
             except Exception as error:  # telemetry never breaks scoring
                 logger.warning("telemetry of batch %s not written: %s", batch_id, error)
         finally:
@@ -124,8 +124,8 @@ def webhook_stream(
     or written fails, and Spark repeats it.
     """
 
-    def handle(batch: DataFrame, run: str, batch_id: int) -> None:
-        logs.append_batch(webhook_replies(batch, scorer), f"{output}/replies", run, batch_id, day=None)
+    def handle(batch: DataFrame, job: str, batch_id: int) -> None:
+        logs.append_batch(webhook_replies(batch, scorer), f"{output}/replies", job, batch_id, day=None)
 
     return _each_batch(first_deliveries(text_events(bodies, body), None, late), checkpoint, handle)
 
@@ -148,7 +148,7 @@ def webhook_replies(events: DataFrame, scorer) -> DataFrame:
 def feedback_stream(feedback: DataFrame, output: str, checkpoint: str) -> DataStreamWriter:
     """Check feedback and write it to the log; bad rows go to ``rejected``."""
 
-    def handle(batch: DataFrame, run: str, batch_id: int) -> None:
+    def handle(batch: DataFrame, job: str, batch_id: int) -> None:
         user = F.col("user_id") if "user_id" in batch.columns else None
         rules = validation.feedback_rules(
             F.col("text"), F.col("predicted_label"), F.col("actual_label"), user
@@ -157,8 +157,8 @@ def feedback_stream(feedback: DataFrame, output: str, checkpoint: str) -> DataSt
         try:
             good = checked.where(F.size("reasons") == 0).drop("reasons")
             when = F.col("created_at") if "created_at" in batch.columns else None
-            logs.append_batch(logs.feedback_log(good, when), f"{output}/feedback", run, batch_id)
-            logs.append_batch(checked.where(F.size("reasons") > 0), f"{output}/rejected", run, batch_id, day=None)
+            logs.append_batch(logs.feedback_log(good, when), f"{output}/feedback", job, batch_id)
+            logs.append_batch(checked.where(F.size("reasons") > 0), f"{output}/rejected", job, batch_id, day=None)
         finally:
             checked.unpersist()
 

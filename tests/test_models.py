@@ -185,6 +185,27 @@ def test_assessment(spark, trained, tmp_path):
     assert spark.read.json(str(tmp_path / "report" / "report")).count() == 6
 
 
+def test_assessment_equals_sql_over_the_written_predictions(spark, trained, tmp_path):
+    import duckdb
+
+    model, _, held, _ = trained
+    path = str(tmp_path / "scored")
+    model.score(held).select("label", "prediction", "proba").write.parquet(path)
+    sql = f"""
+    WITH s AS (SELECT * FROM read_parquet('{path}/*.parquet')),
+    c AS (SELECT k, count(*) FILTER (WHERE label = k AND prediction = k) AS hit, count(*) FILTER (WHERE label = k) AS support,
+      count(*) FILTER (WHERE prediction = k) AS predicted FROM s, (SELECT unnest([0, 1, 2]) AS k) GROUP BY k),
+    p AS (SELECT k, proba[k + 1] AS score, label = k AS pos FROM s, (SELECT unnest([0, 1, 2]) AS k)),
+    a AS (SELECT x.k, avg(CASE WHEN x.score > y.score THEN 1.0 WHEN x.score = y.score THEN 0.5 ELSE 0.0 END) AS auc
+      FROM p x JOIN p y ON x.k = y.k AND x.pos AND NOT y.pos GROUP BY x.k)
+    SELECT (SELECT avg((label = prediction)::INT) FROM s), (SELECT sum(2.0 * hit * support / (support + predicted)) / sum(support) FROM c),
+      (SELECT sum(auc * support) / sum(support) FROM a JOIN c USING (k)), (SELECT avg(auc) FROM a)"""
+    want = duckdb.sql(sql).fetchall()[0]
+    found = {r["metric"]: r["value"] for r in assess(model, held)["metrics"].where("class IS NULL").collect()}
+    got = [found[m] for m in ("accuracy", "f1_weighted", "auc_roc_weighted", "auc_roc_macro")]
+    assert got == pytest.approx(list(want))
+
+
 def test_scoring_job(spark, trained):
     model, *_ = trained
     requests = spark.createDataFrame(

@@ -48,9 +48,9 @@ def test_scoring_stream_equals_batch(spark, tmp_path):
     columns = [c for c in want.columns if c != "processing_time_ms"]
     assert sorted(written.select(columns).collect()) == sorted(want.select(columns).collect())
     assert written.where("processing_time_ms is null").count() == 0
-    rejected = spark.read.parquet(f"{out}/rejected/run=*/batch=*")
+    rejected = spark.read.parquet(f"{out}/rejected/job=*/batch=*")
     assert rejected.count() + written.count() == 60
-    assert spark.read.parquet(f"{out}/telemetry/run=*/batch=*").count() == written.count()
+    assert spark.read.parquet(f"{out}/telemetry/job=*/batch=*").count() == written.count()
     # starting again finds nothing new
     jobs.run_available(jobs.score_stream(stream, risky_when_it_says_free, out, f"{out}/cp", created_at="at"))
     assert logs.scan_predictions(spark, f"{out}/predictions").count() == written.count()
@@ -77,7 +77,7 @@ def test_webhook_stream(spark, tmp_path, scorer, texts):
     spark.createDataFrame([(b,) for b in bodies], "body string").write.parquet(source)
     stream = jobs.file_stream(spark, source, T.StructType([T.StructField("body", T.StringType())]))
     jobs.run_available(jobs.webhook_stream(stream, scorer, out, f"{out}/cp"))
-    replies = {r["reply_token"]: r for r in spark.read.parquet(f"{out}/replies/run=*/batch=*").collect()}
+    replies = {r["reply_token"]: r for r in spark.read.parquet(f"{out}/replies/job=*/batch=*").collect()}
     if texts is None:
         assert set(replies) == {"t1"}
         assert replies["t1"]["user_id"] == "u1" and "85%" in replies["t1"]["reply"]
@@ -94,7 +94,7 @@ def test_an_event_without_a_score_gets_an_apology_and_others_their_reply(spark,
     spark.createDataFrame([(body,), (body,)], "body string").write.parquet(source)  # delivered twice
     stream = jobs.file_stream(spark, source, T.StructType([T.StructField("body", T.StringType())]))
     jobs.run_available(jobs.webhook_stream(stream, partly, out, f"{out}/cp"))
-    rows = spark.read.parquet(f"{out}/replies/run=*/batch=*").collect()
+    rows = spark.read.parquet(f"{out}/replies/job=*/batch=*").collect()
     replies = {r["reply_token"]: r["reply"] for r in rows}
     assert len(rows) == 2 and replies["t1"] == fixed.REPLY_FAILED and "85%" in replies["t2"]
 
@@ -123,11 +123,11 @@ def test_two_streams_into_one_log_keep_all_rows(spark, tmp_path):
         jobs.run_available(jobs.score_stream(stream, risky_when_it_says_free, out, str(tmp_path / f"cp-{part}"), created_at="at"))
     written = logs.scan_predictions(spark, f"{out}/predictions")
     assert written.count() == 3
-    run = written.groupBy("run").count().where("count = 2").first()["run"]
-    logs.append_batch(written.where(F.col("run") == run).drop("run", "batch", "day"), f"{out}/again", run)
-    logs.append_batch(written.where(F.col("run") == run).drop("run", "batch", "day"), f"{out}/again", run)  # replaces itself
+    job = written.groupBy("job").count().where("count = 2").first()["job"]
+    logs.append_batch(written.where(F.col("job") == job).drop("job", "batch", "day"), f"{out}/again", job)
+    logs.append_batch(written.where(F.col("job") == job).drop("job", "batch", "day"), f"{out}/again", job)  # replaces itself
     assert logs.scan_predictions(spark, f"{out}/again").count() == 2
-    logs.compact_run(spark, f"{out}/predictions", run, f"{out}/compact")
+    logs.compact_job(spark, f"{out}/predictions", job, f"{out}/compact")
     assert logs.scan_predictions(spark, f"{out}/compact").count() == 2
 
 
@@ -139,7 +139,7 @@ def test_feedback_stream(spark, tmp_path):
     jobs.run_available(jobs.feedback_stream(jobs.file_stream(spark, source, schema), out, f"{out}/cp"))
     kept = logs.scan_feedback(spark, f"{out}/feedback").collect()
     assert len(kept) == 1 and len(kept[0]["text"]) == 500 and kept[0]["created_at"] is not None
-    assert spark.read.parquet(f"{out}/rejected/run=*/batch=*").count() == 2
+    assert spark.read.parquet(f"{out}/rejected/job=*/batch=*").count() == 2
 
 
 def test_statistics_stream_closes_periods(spark, tmp_path):
