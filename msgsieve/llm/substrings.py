@@ -141,6 +141,7 @@ def repeated(profiles: DataFrame, width: int = SKETCH_WIDTH, rows: int = SKETCH_
     for row in range(rows):
         cell = F.pmod(F.xxhash64(F.lit(row), F.col("least")), F.lit(width))
         cells = left.select(cell.alias("cell")).groupBy("cell").count().where("count > 1").select("cell")
+        cells = cut_lineage(cells, "cells")  # adaptive execution splits a full cell only between two plain sides
         left = cut_lineage(left.withColumn("cell", cell).join(cells, "cell", "left_semi").drop("cell"), "sketched")
     return left.groupBy("id", "text_key").agg(F.collect_list("least").alias("least"))
 
@@ -155,7 +156,7 @@ def cut_passages(docs: DataFrame) -> DataFrame:
     profiles = cut_lineage(keyed.mapInArrow(
         _profile, "id bigint, text_key bigint, n_words bigint, checksum binary, least array<bigint>"), "profiles")
 
-    copies = profiles.groupBy("checksum").agg(F.min("id").alias("first_id"))
+    copies = cut_lineage(profiles.groupBy("checksum").agg(F.min("id").alias("first_id")), "first-of-equals")
     own = profiles.join(copies, "checksum")
     first = own.where("id = first_id").select("id", "text_key", "least")
     wanted = cut_lineage(repeated(first), "repeated")
