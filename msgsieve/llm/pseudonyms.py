@@ -7,9 +7,9 @@ the key holder can invert it.  The permuted domains are:
 =========  =====================================  ==========================================
 kind       accepted if                            what is permuted
 =========  =====================================  ==========================================
-card       13-19 digits, Luhn sum is right        digits but the first and the check digit,
-                                                  which is computed anew
-phone      ``+`` and 8-15 digits, or (ddd)        digits after the country code
+card       13-19 digits, plain or in the groups   digits but the first and the check digit,
+           of cards, Luhn sum is right            which is computed anew
+phone      ``+`` and 8 digits or more, or (ddd)   digits after the country code
            ddd-dddd and ddd-ddd-dddd
 ip         four numbers up to 255                 all 32 bits
 date       a real day of 1900-2099, written       the day among those 73,049
@@ -58,9 +58,11 @@ PATTERNS = {
     "date": r"(?<![\d./-])(?:(?:19|20)\d\d([/-])\d\d\1\d\d|\d\d\.\d\d\.(?:19|20)\d\d|\d\d/\d\d/(?:19|20)\d\d)(?![\d/-]|\.\d)",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d\d-\d{4}(?![\d-])",
-    "phone": r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)"
+    # digits that belong to a following address or decimal number are given back
+    "phone": r"(?<![\d+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
+             r"|(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d|\.\d)"
              r"|(?<![\d)])\(\d{3}\)[ .-]?\d{3}-\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
-    "card": r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\d)",
+    "card": r"(?<![\d.])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?!\d)",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 KINDS = list(PATTERNS)
@@ -166,7 +168,7 @@ def _phone(found: Column, key: Column) -> Column:
 
     def of(code: Column) -> Column:
         rest = F.substring(found, F.length(code) + 1, F.length(found))
-        fits = F.length(_digits(found)).between(8, 15) | ~found.startswith("+")
+        fits = (F.length(_digits(found)) >= 8) | ~found.startswith("+")
         return F.when(fits, F.concat(code, bind(permute_text(_digits(rest), key, "phone", [DIGITS]),
                                                 lambda d: _refill(rest, d)))).otherwise(found)
 
