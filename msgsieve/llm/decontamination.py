@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from msgsieve.llm.tables import as_documents, read
 from msgsieve.llm.words import Words, blocks, sequence_hashes, text_bytes, valid_starts
+from msgsieve.session import cut_lineage
 
 SHINGLE = 5
 MIN_WORDS = 5
@@ -195,12 +196,56 @@ def marked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Pipeline stage: documents that hold no benchmark passage."""
     docs = as_documents(docs)
-    found = find(docs, read(spark, folder, "benchmark")).select(F.col("doc_id").alias("_id")).distinct()
+    # written, so that the size of the findings is known before texts are shuffled for the join
+    found = cut_lineage(
+        find(docs, read(spark, folder, "benchmark")).select(F.col("doc_id").alias("_id")).distinct(), "contaminated")
     return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
 
 
 def op3_simhash_windows(spark: SparkSession, folder: str) -> DataFrame:
     found = marked(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
     return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"),
-                        F.size("item_ids").cast("bigint").alias("n_items"), "item_ids",
+                        F.size("item_ids").cast("bigint").alias("n_items"), F.array_join("item_ids", ",").alias("item_ids"),
                         F.round("similarity", 6).alias("similarity"))
+
+
+_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[0-9a-z\x{80}-\x{10FFFF}]+')"
+)
+# All windows that share a shingle with an item, compared exactly.
+SQL = rf"""
+WITH items AS (
+  SELECT item_id, w, len(w) - {SHINGLE - 1} AS width FROM (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL)
+  WHERE len(w) >= {MIN_WORDS}
+), of_items AS (
+  SELECT item_id, width, s, count(*) AS n
+  FROM (SELECT item_id, width, array_to_string(w[i:i + {SHINGLE - 1}], ' ') AS s FROM items, unnest(range(1, width + 1)) AS t(i))
+  GROUP BY ALL
+), docs AS (
+  SELECT doc_id, {_WORDS} AS w FROM documents
+), of_docs AS (
+  SELECT doc_id, len(w) - {SHINGLE - 1} AS total, i AS place, array_to_string(w[i:i + {SHINGLE - 1}], ' ') AS s
+  FROM docs, unnest(range(1, len(w) - {SHINGLE - 2})) AS t(i)
+), hits AS (
+  SELECT doc_id, item_id, place, s, n, width, least(width, total) AS size, total - least(width, total) + 1 AS last
+  FROM of_docs JOIN of_items USING (s)
+), starts AS (
+  SELECT DISTINCT doc_id, item_id, place - k AS start FROM hits, unnest(range(0, size)) AS t(k)
+  WHERE place - k BETWEEN 1 AND last
+), matched AS (
+  SELECT doc_id, item_id, start, any_value(width) AS width, any_value(size) AS size, s, least(count(*), any_value(n)) AS c
+  FROM starts JOIN hits USING (doc_id, item_id) WHERE place BETWEEN start AND start + size - 1 GROUP BY doc_id, item_id, start, s
+), compared AS (
+  SELECT doc_id, item_id, sum(c) / (any_value(width) + any_value(size) - sum(c)) AS similarity
+  FROM matched GROUP BY doc_id, item_id, start
+), found AS (
+  SELECT doc_id, item_id, max(similarity) AS similarity FROM compared GROUP BY ALL HAVING max(similarity) >= {MIN_SIMILARITY}
+), marked AS (
+  SELECT doc_id, count(*) AS n, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS ids, max(similarity) AS best
+  FROM found GROUP BY doc_id
+)
+SELECT doc_id, n IS NOT NULL AS contaminated, coalesce(n, 0) AS n_items, coalesce(ids, '') AS item_ids,
+  round(coalesce(best, 0)::DOUBLE, 6) AS similarity
+FROM documents LEFT JOIN marked USING (doc_id)
+"""
