@@ -36,7 +36,7 @@ from msgsieve.session import cut_lineage
 SIZE = 2048
 END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
-CACHED_WORDS = 800_000  # of one worker, about 150 MB
+CACHED_WORDS = 600_000  # of one worker, about 120 MB
 BLOCK = 4 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)

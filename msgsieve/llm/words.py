@@ -1,8 +1,8 @@
 """Words of whole texts and hashes of word sequences, vectorised over Arrow columns.
 
 A word is a run of bytes other than 0x20 and 0x09-0x0D.  Texts are taken in blocks of
-about a megabyte, so the arrays stay small however many rows an Arrow batch has; a
-longer text is a block of its own.
+about a megabyte and a few thousand rows, so the arrays stay small however many rows an
+Arrow batch has and however short they are; a longer text is a block of its own.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES, BLOCK_ROWS = 1 << 20, 2048
 
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -61,11 +61,11 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``limit`` bytes, or of one row."""
+    """Row ranges of at most ``limit`` bytes and BLOCK_ROWS rows, or of one row."""
     low, rows = 0, len(offsets) - 1
     while low < rows:
         high = int(np.searchsorted(offsets, offsets[low] + limit, side="right")) - 1
-        high = min(max(high, low + 1), rows)
+        high = min(max(high, low + 1), low + BLOCK_ROWS, rows)
         yield low, high
         low = high
 
