@@ -31,7 +31,3 @@ def folder(tmp_path):
         return str(tmp_path)
 
     return write
-
-
-def by_id(df, *columns):
-    return {r["doc_id"]: tuple(r[c] for c in columns) if len(columns) > 1 else r[columns[0]] for r in df.collect()}

@@ -10,8 +10,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from conftest import by_id
-from llm_brute import base_counts, classes, shingles, tokens_of, words_of
+from llm_brute import base_counts, by_id, classes, shingles, tokens_of, words_of
 from msgsieve.llm import (
     components, decontamination, labelled, near_duplicates, packing, preferences, pseudonyms, quality_rules, sharding,
     substrings, toxicity, words,
