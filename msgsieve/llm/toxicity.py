@@ -6,7 +6,7 @@
 * A word is looked up by running its Levenshtein automaton over the trie: one edit for
   terms of five letters on, two from nine on.  The automaton's states are bits of one
   number per edit count.  A stem matches words that begin with it.
-* Words that labelled harmless documents use are not taken for misspellings.
+* Words that several labelled harmless documents use are not taken for misspellings.
 * A hit between quotation marks counts as quoted; hits near each other and to a second
   person strengthen each other.  A logistic regression over these figures, fitted on a
   bounded sample of labelled rows outside the held-out fold (``MOST_ROWS``), gives the score.
@@ -44,7 +44,8 @@ STEM_WORDS = 3
 MIN_SUPPORT, MIN_PURITY = 4, 0.8
 NEAR = 8
 MIN_SCORE = 0.5
-FEATURES = ["exact", "misspelled", "quoted", "clustered", "addressed", "density"]
+FEATURES = ["weight", "misspelled", "quoted", "clustered", "addressed", "density"]
+COMMON = 2
 CACHED_WORDS = 500_000
 BLOCK = 4 << 20
 
@@ -148,8 +149,9 @@ class Lexicon:
             addressed += any(_EDGE.sub("", t) in YOU for t in tokens[low:high])
             before = place
         plain = len(hits) - quoted
-        return np.array([math.log1p(exact), math.log1p(misspelled), math.log1p(quoted), math.log1p(clustered),
-                         math.log1p(addressed), math.log1p(100 * plain / max(len(tokens), 1))])
+        whole = exact + misspelled
+        return np.array([math.log1p(whole), misspelled / whole if whole else 0.0, math.log1p(quoted),
+                         math.log1p(clustered), math.log1p(addressed), math.log1p(100 * plain / max(len(tokens), 1))])
 
 
 class Finder:
@@ -251,7 +253,11 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
 
 
 def look_alikes(words: DataFrame, lexicon: Lexicon) -> set[str]:
-    """Words of harmless documents that would pass for misspelled terms."""
+    """Words of harmless documents that would pass for misspelled terms.
+
+    A word of one document only is left in: from these the regression learns how far a
+    misspelling can be trusted.
+    """
     sent = words.sparkSession.sparkContext.broadcast(lexicon)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,17 +265,22 @@ def look_alikes(words: DataFrame, lexicon: Lexicon) -> set[str]:
             fits = [(m := sent.value.search(w)) is not None and m[2] > 0 for w in batch.column(0).to_pylist()]
             yield batch.filter(pa.array(fits, pa.bool_()))
 
-    used = words.where("harmless > toxic").select("word")
+    used = words.where((F.col("harmless") > F.col("toxic")) & (F.col("harmless") >= COMMON)).select("word")
     return {r["word"] for r in used.mapInArrow(match, "word string").collect()}
 
 
 class Weights:
-    """Logistic regression over FEATURES, fitted by Newton steps with a small penalty."""
+    """Logistic regression over FEATURES, fitted by Newton steps.
+
+    A small penalty pulls towards what is believed before learning, so a figure that no
+    labelled document has (quotations, say) keeps its believed weight.
+    """
 
-    PENALTY = 1.0
+    PENALTY = 0.3
+    BELIEVED = np.array([-3.5, 3.0, -0.5, 0.0, 0.3, 0.3, 0.3])
 
     def __init__(self):
-        self.values = np.array([-3.0, 1.5, 1.0, 0.0, 0.3, 0.3, 0.3])  # until something is learned
+        self.values = self.BELIEVED
 
     @staticmethod
     def _full(x: np.ndarray) -> np.ndarray:
@@ -277,11 +288,11 @@ class Weights:
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Weights:
         if len(y) and y.min() < y.max():
-            x, beta = self._full(x), np.zeros(x.shape[1] + 1)
-            ridge = np.diag([1e-6] + [self.PENALTY] * (x.shape[1] - 1))
+            x, beta = self._full(x), self.BELIEVED.copy()
+            ridge = self.PENALTY * np.eye(x.shape[1])
             for _ in range(30):
                 p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-                step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ beta)
+                step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ (beta - self.BELIEVED))
                 beta = beta + step
                 if np.abs(step).max() < 1e-8:
                     break
