@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from msgsieve.llm.tables import as_documents, read
-from msgsieve.llm.words import Words, blocks, sequence_hashes, text_bytes, valid_starts
+from msgsieve.llm.words import Words, blocks, release_memory, sequence_hashes, text_bytes, valid_starts
 from msgsieve.session import cut_lineage
 
 SHINGLE = 5
@@ -167,6 +167,7 @@ def _search(docs: DataFrame, items: Items) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
                 names = ["doc_id", "item_id", "first_word", "end_word", "similarity"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+        release_memory()
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(search, FOUND)
 

@@ -36,7 +36,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from msgsieve.llm.components import components
 from msgsieve.llm.tables import as_documents, read
-from msgsieve.llm.words import Words, as_signed, blocks, mix, sequence_hashes, text_bytes, valid_starts
+from msgsieve.llm.words import (
+    Words, as_signed, blocks, mix, release_memory, sequence_hashes, text_bytes, valid_starts,
+)
 from msgsieve.session import cut_lineage
 
 PERCENT = 80
@@ -124,6 +126,7 @@ def describe_sets(docs: DataFrame, size: int) -> DataFrame:
                     pa.ListArray.from_arrays(pa.array(some * BANDS), pa.array(keys.ravel())),
                     pa.ListArray.from_arrays(pa.array(some * (SKETCH_BITS // 64)), pa.array(sketch.ravel())),
                 ], ["id", "n_shingles", "c0", "c1", "bands", "sketch"])
+        release_memory()
 
     return cut_lineage(docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
         describe, "id bigint, n_shingles bigint, c0 bigint, c1 bigint, bands array<bigint>, sketch array<bigint>"), "sets")
@@ -159,9 +162,11 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
                     common = int((x[at] == y).sum()) if len(x) else 0
                     linked[low + r] = common and 100 * common >= PERCENT * (len(x) + len(y) - common)
             yield batch.select(["a", "b"]).filter(pa.array(linked))
+        release_memory()
 
     pairs = cut_lineage(pairs, "candidates")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    ids = cut_lineage(ids, "candidate-ids")  # so that its size is known before texts are shuffled for the join
     texts = cut_lineage(docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(ids, "id"), "texts")
     both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(
         texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
@@ -219,12 +224,15 @@ def classes(docs: DataFrame, size: int) -> DataFrame:
 def keep_one(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Pipeline stage: one document of every class of near duplicates on five words."""
     docs = as_documents(docs)
-    found = classes(docs, 5).where("component_id IS NULL OR id = component_id").groupBy("id").agg(
-        F.count("*").alias("_rows"))
-    found = cut_lineage(found.withColumnRenamed("id", "_id"), "kept-ids")
-    kept = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")))
-    several = kept.where("_rows > 1 AND doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return as_documents(kept.where("_rows = 1 OR doc_id IS NULL")).unionByName(as_documents(several))
+    ids = cut_lineage(classes(docs, 5).where("id IS NOT NULL").groupBy(F.col("id").alias("_id")).agg(
+        F.max("component_id").alias("_class"), F.count("*").alias("_rows")), "class-ids")
+    # each written, so that its size is known before texts are shuffled for the joins
+    dropped = cut_lineage(ids.where("_id <> _class").select("_id"), "dropped-ids")
+    repeated = cut_lineage(ids.where("_id = _class AND _rows > 1").select("_id"), "repeated-ids")
+    same = F.col("doc_id") == F.col("_id")
+    kept = docs.join(dropped, same, "left_anti")
+    several = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, same, "left_anti").unionByName(several)
 
 
 def op10_odd_sketches(spark: SparkSession, folder: str) -> DataFrame:

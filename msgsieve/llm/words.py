@@ -7,6 +7,7 @@ Arrow batch has and however short they are; a longer text is a block of its own.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,15 @@ WORD_BASE = np.uint64(0x9E3779B97F4A7C15)
 _powers = np.ones(1, dtype=np.uint64)
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: an idle worker shares its executor with later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # only this C library has it
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads every bit of 64-bit numbers over all bits; one-to-one."""
     x = x ^ (x >> np.uint64(30))
