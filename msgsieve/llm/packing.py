@@ -20,6 +20,7 @@ ignored.
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
@@ -30,14 +31,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from msgsieve.llm.tables import read
-from msgsieve.llm.words import blocks, text_bytes
+from msgsieve.llm.words import blocks, release_memory, text_bytes
 from msgsieve.session import cut_lineage
 
 SIZE = 2048
 END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
-CACHED_WORDS = 600_000  # of one worker, about 120 MB
-BLOCK = 4 << 20
+CACHED_WORDS = 250_000  # of one worker, about 50 MB; frequent words come early and stay
+BLOCK = 2 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
@@ -71,26 +72,28 @@ class WordTokens:
         self.ends_word = np.zeros(max(names.values()) + 1, dtype=bool)
         self.ends_word[[i for name, i in names.items() if name.endswith("</w>")]] = True
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: list[str], found: dict[str, bytes]) -> None:
         """Words of Latin letters are one token sequence each, ended by an end-of-word token."""
         letters = [w for w in words if w.isalpha() and max(w) < "\u0100"]
         if letters:
-            ids = np.array(self.tokenizer.encode(" ".join(letters), add_special_tokens=False).ids, dtype="<u4")
+            (coded,) = self.tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)
+            ids = np.array(coded.ids, dtype="<u4")
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             raw, low = ids.tobytes(), 0
             for word, high in zip(letters, (4 * ends).tolist(), strict=True):
-                self.known[word], low = raw[low:high], high
-        others = [w for w in words if w not in self.known]
-        for word, found in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
-            self.known[word] = np.array(found.ids, dtype="<u4").tobytes()
+                found[word], low = raw[low:high], high
+        others = [w for w in words if w not in found]
+        for word, coded in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
+            found[word] = np.array(coded.ids, dtype="<u4").tobytes()
 
     def of(self, words: list[str]) -> list[bytes]:
-        if len(self.known) > CACHED_WORDS:
-            self.known = {}
-        new = [w for w in words if w not in self.known]
+        known, fresh = self.known, {}
+        new = [w for w in words if w not in known]
         for low in range(0, len(new), 4096):
-            self.learn(new[low : low + 4096])
-        return [self.known[w] for w in words]
+            self.learn(new[low : low + 4096], fresh)
+        result = [known[w] if w in known else fresh[w] for w in words]
+        known.update(itertools.islice(fresh.items(), max(CACHED_WORDS - len(known), 0)))
+        return result
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows of a block, and where each row's ids begin and end."""
@@ -151,6 +154,7 @@ def tokenize(docs: DataFrame, path: str, size: int = SIZE, with_ids: bool = Fals
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(columns, kinds)],
                     ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
+        release_memory()
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(pieces, schema)
 
