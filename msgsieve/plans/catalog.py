@@ -914,27 +914,26 @@ def feature_vectors(spark, folder):
 MOST_TRAINING_ROWS = 20_000
 
 
-def _learning_sets(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Train (bounded), validation and test messages, prepared once."""
+def _learning_sets(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """All labelled messages, and of these train (bounded), validation and test, prepared once."""
     rows = split.split_by_hash(labelled(spark, folder, "doc_id", "text"))
     rows = cut_lineage(prepare(rows), "labelled")
     fit_on = rows.where(F.col("split") == "train").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_TRAINING_ROWS)
-    return fit_on, rows.where(F.col("split") == "val"), rows.where(F.col("split") == "test")
+    return rows, fit_on, rows.where(F.col("split") == "val"), rows.where(F.col("split") == "test")
 
 
 @query
 def logistic_regression_scores(spark, folder):
     """Text features and a regression fitted on the train split, scores of all."""
-    fit_on, val, test = _learning_sets(spark, folder)
+    rows, fit_on, val, _ = _learning_sets(spark, folder)
     model, _ = train.train(spark, fit_on, val, names=("lr",))
-    rows = fit_on.unionByName(val).unionByName(test)
     return model.score(rows).select("doc_id", "split", "label", "prediction", F.transform("proba", r6).alias("proba"))
 
 
 @query
 def vote_training_runs(spark, folder):
     """Run rows of the three learners and their vote, with the settings of the training job."""
-    fit_on, val, _ = _learning_sets(spark, folder)
+    _, fit_on, val, _ = _learning_sets(spark, folder)
     _, runs = train.train(spark, fit_on, val)
     return stats.model_comparison(runs)
 
@@ -942,7 +941,7 @@ def vote_training_runs(spark, folder):
 @query
 def test_set_metrics(spark, folder):
     """A regression is trained, saved, loaded and assessed on the test split."""
-    fit_on, val, test = _learning_sets(spark, folder)
+    _, fit_on, val, test = _learning_sets(spark, folder)
     path = new_table_path(spark, "model")
     train.train(spark, fit_on, val, model_path=path, names=("lr",))
     found = assess.assess(train.RiskModel.load(path), test)
@@ -952,7 +951,7 @@ def test_set_metrics(spark, folder):
 @query
 def decision_records_of_model(spark, folder):
     """Decision records of all documents from a trained model that was saved and loaded."""
-    fit_on, val, _ = _learning_sets(spark, folder)
+    _, fit_on, val, _ = _learning_sets(spark, folder)
     path = new_table_path(spark, "model")
     train.train(spark, fit_on, val, model_path=path, names=("lr",))
     return _flat_records(score.score_messages(messages(spark, folder), train.RiskModel.load(path)))

@@ -13,7 +13,7 @@ from msgsieve.operators import features, learners, stats
 from msgsieve.operators.augment import generate_corpus
 from msgsieve.operators.prepare import prepare
 from msgsieve.operators.split import split_exact
-from msgsieve.plans import score
+from msgsieve.plans import catalog, score
 from msgsieve.plans.assess import assess
 from msgsieve.plans.train import RiskModel, train
 from msgsieve.sources import logs
@@ -222,3 +222,10 @@ def test_scoring_job(spark, trained):
     assert (blank["label"], blank["confidence"]) == ("ham", 1.0)
     risky = score.replies(score.score_messages(score.accepted(checked), model), "message_id", "label").collect()
     assert all(r["label"] != "ham" and "1599" in r["reply"] for r in risky)
+
+
+def test_scores_of_all_labelled_rows_however_few_are_fitted(spark, data, monkeypatch):
+    monkeypatch.setattr(catalog, "MOST_TRAINING_ROWS", 20)
+    want = sorted(r["doc_id"] for r in catalog.labelled(spark, data, "doc_id", "text").collect())
+    assert len(want) > 20
+    assert sorted(r["doc_id"] for r in catalog.logistic_regression_scores(spark, data).collect()) == want
