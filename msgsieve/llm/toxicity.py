@@ -5,7 +5,8 @@
   text do not make its words terms).
 * A word is looked up by running its Levenshtein automaton over the trie: one edit for
   terms of five letters on, two from nine on.  The automaton's states are bits of one
-  number per edit count.  A stem matches words that begin with it.
+  number per edit count.  A stem matches words that begin with it; a stem of less than
+  nine letters allows no edit, so terms that begin with it stand beside it in the trie.
 * Words that several labelled harmless documents use are not taken for misspellings.
 * A hit between quotation marks counts as quoted; hits near each other and to a second
   person strengthen each other.  A logistic regression over these figures, fitted on a
@@ -116,7 +117,9 @@ class Lexicon:
                     if kind in below:
                         text = below[kind]
                         wanted = 1 << length if kind == "term" else full
-                        for e in range(edits(text) + 1):
+                        # a short stem with an edit is the beginning of too many words
+                        most_edits = 0 if kind == "stem" and len(text) < TWO_EDITS else edits(text)
+                        for e in range(most_edits + 1):
                             if new[e] & wanted:
                                 found.append((e, -self.weights[kind, text], kind, text))
                                 break
@@ -124,7 +127,7 @@ class Lexicon:
         if not found:
             return None
         e, _, kind, text = min(found)
-        if e and (word in self.harmless or kind == "stem" and len(text) < TWO_EDITS):
+        if e and word in self.harmless:
             return None
         return kind, text, e
 
@@ -247,7 +250,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     for row in sorted(stems, key=lambda r: (len(r["stem"]), r["stem"])):
         if not any(row["stem"].startswith(s) for s in kept):
             kept[row["stem"]] = row["weight"]
-    found = {r["word"]: r["weight"] for r in terms if not any(r["word"].startswith(s) for s in kept)}
+    found = {r["word"]: r["weight"] for r in terms}  # also those that a stem covers: only terms match with edits
     lexicon = Lexicon(given | found, kept, set())
     return Lexicon(given | found, kept, look_alikes(words, lexicon))
 

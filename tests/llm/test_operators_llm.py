@@ -341,6 +341,25 @@ def test_lexicon_misspellings_stems_and_quotes():
     assert abuse[0] > quote[0] == 0 and quote[2] > 0 and abuse[3] > 0 and abuse[4] > 0 and not none.any() and not empty.any()
 
 
+def test_a_stem_does_not_hide_a_misspelled_term():
+    lexicon = toxicity.Lexicon({"blorfing": 3.0}, {"blorf": 8.0}, set())
+    found = {w: lexicon.search(w) for w in ("blorfeln", "blorfing", "blokfing", "vlorfing", "blorking", "vlorfeln")}
+    assert {w: f and f[1:] for w, f in found.items()} == {
+        "blorfeln": ("blorf", 0), "blorfing": ("blorf", 0), "blokfing": ("blorfing", 1), "vlorfing": ("blorfing", 1),
+        "blorking": ("blorfing", 1), "vlorfeln": None}
+
+
+def test_learned_terms_stay_beside_their_stem(spark):
+    family, rows = ["blorfing", "blorfed", "blorfish"], []
+    source = random.Random(8)
+    for i in range(300):
+        body = " ".join("".join(source.choice("acdeghi") for _ in range(5)) for _ in range(12))
+        rows.append((f"{body} {family[i % 3]} {body[:5]}" if i < 90 else body, int(i < 90)))
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, label int"))
+    assert any(kind == "stem" and "blorfing".startswith(text) for kind, text in lexicon.weights)
+    assert {w: lexicon.search(w)[1:] for w in ("vlorfing", "bkorfed")} == {"vlorfing": ("blorfing", 1), "bkorfed": ("blorfed", 1)}
+
+
 def test_training_rows_leave_the_held_out_fold(spark, documents):
     docs = documents(*[f"t {i}" for i in range(60)], (5, "again"))
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(None, 1), (3, None), (5, 1)], "doc_id long, toxic int")
