@@ -7,6 +7,8 @@
   terms of five letters on, two from nine on.  The automaton's states are bits of one
   number per edit count.  A stem matches words that begin with it; a stem of less than
   nine letters allows no edit, so terms that begin with it stand beside it in the trie.
+* Terms are runs of letters, so the runs in each word between white space are looked up;
+  where none matches, the whole word is, as a mark or digit may stand for a letter.
 * Words that several labelled harmless documents use are not taken for misspellings.
 * A hit between quotation marks counts as quoted; hits near each other and to a second
   person strengthen each other.  A logistic regression over these figures, fitted on a
@@ -157,15 +159,25 @@ class Lexicon:
                          math.log1p(clustered), math.log1p(addressed), math.log1p(100 * plain / max(len(tokens), 1))])
 
 
+def letter_runs(text: str) -> list[str]:
+    """The words that ``usage`` counts: runs of letters of a text in lower case."""
+    return "".join(c if c.isalpha() else " " for c in text).split()
+
+
 class Finder:
     """Looks up all words of blocks of texts, each different one once."""
 
     def __init__(self, lexicon: Lexicon):
         self.lexicon, self.known = lexicon, {}
 
-    def look_up(self, word: str) -> tuple[str, str, int] | None:
-        word = _EDGE.sub("", word)
-        return self.lexicon.search(word) if len(word) > 2 else None
+    def look_up(self, word: str) -> list[tuple[str, str, int]] | None:
+        """The matches of the letter runs in a white-space word, else of the whole word."""
+        word = _EDGE.sub("", word.lower())
+        runs = [word] if word.isalpha() else letter_runs(word)
+        found = [m for r in runs if len(r) > 2 and (m := self.lexicon.search(r)) is not None]
+        if not found and runs != [word] and len(word) > 2 and (m := self.lexicon.search(word)) is not None:
+            found.append(m)  # a mark or digit may stand for a letter
+        return found or None
 
     def vectors(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """One row of FEATURES per text of a block."""
@@ -192,9 +204,9 @@ class Finder:
         rows = np.searchsorted(words.first, hits, side="right") - 1
         for r in np.unique(rows).tolist():
             low, high = int(words.first[r]), int(words.first[r + 1])
-            tokens = [t.decode("utf-8", "replace") for t in column.slice(low, high - low).to_pylist()]
+            tokens = [t.decode("utf-8", "replace").lower() for t in column.slice(low, high - low).to_pylist()]
             own = hits[rows == r].tolist()
-            result[r] = self.lexicon.vector(tokens, [(h - low, *matches[index[h]]) for h in own])
+            result[r] = self.lexicon.vector(tokens, [(h - low, *m) for h in own for m in matches[index[h]]])
         return result
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -349,6 +350,28 @@ def test_a_stem_does_not_hide_a_misspelled_term():
         "blorking": ("blorfing", 1), "vlorfeln": None}
 
 
+def test_terms_joined_to_other_words_are_found():
+    lexicon = toxicity.Lexicon({"idiot": 3.0, "moron": 2.0, "größenwahn": 2.0}, {}, set())
+    finder = toxicity.Finder(lexicon)
+    found = {w: [m[1:] for m in finder.look_up(w) or []] for w in (
+        "idiot,you", "idiot/moron", "«l'idiot»", "idiot-trash", "my_idoit.idiot", "1diot", "id1ot", "mo-ron", "GRÖSSENWAHN", "GRÖßENWAHN", "x-y")}
+    assert found == {
+        "idiot,you": [("idiot", 0)], "idiot/moron": [("idiot", 0), ("moron", 0)], "«l'idiot»": [("idiot", 0)],
+        "idiot-trash": [("idiot", 0)], "my_idoit.idiot": [("idiot", 0)], "1diot": [("idiot", 1)], "id1ot": [("idiot", 1)],
+        "mo-ron": [("moron", 1)], "GRÖSSENWAHN": [("größenwahn", 2)], "GRÖßENWAHN": [("größenwahn", 0)], "x-y": []}
+    data, offsets = words.text_bytes(pa.array(["so idiot/moron you", "so idiot moron you", "the “idiot”/‘moron’ said", "die GRÖßENWAHN"]))
+    joined, apart, quoted, upper = finder.vectors(data, offsets)
+    assert joined[:5].tolist() == apart[:5].tolist() and quoted[0] == 0 and quoted[2] > 0 and upper[0] > 0
+
+
+@given(texts)
+@settings(max_examples=50, deadline=None)
+def test_looked_up_runs_are_the_counted_words(rows):
+    for text in filter(None, rows):
+        runs = [r for w in text.lower().split() for r in toxicity.letter_runs(w)]
+        assert runs == re.findall(r"[^\W\d_]+", text.lower())
+
+
 def test_learned_terms_stay_beside_their_stem(spark):
     family, rows = ["blorfing", "blorfed", "blorfish"], []
     source = random.Random(8)
