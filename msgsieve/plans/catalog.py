@@ -843,12 +843,21 @@ def generated_messages(spark, folder):
 # --- streams ------------------------------------------------------------------
 
 
+def _table_stream(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """A stream over the files of a table: those in its folder, or the one file that it is."""
+    schema = table(spark, folder, name, *columns).schema
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.getFileStatus(path).isDirectory():
+        return jobs.file_stream(spark, f"{folder}/{name}.parquet", schema)
+    return jobs.file_stream(spark, folder, schema, pathGlobFilter=f"{name}.parquet")
+
+
 @query
 def stream_scoring(spark, folder):
     """Requests scored as a stream; the log equals the batch result."""
     out = new_table_path(spark, "stream-scoring")
-    schema = table(spark, folder, "documents", "doc_id", "text").schema
-    stream = jobs.file_stream(spark, folder, schema, pathGlobFilter="documents.parquet").select(
+    stream = _table_stream(spark, folder, "documents", "doc_id", "text").select(
         F.col("doc_id").cast("string").alias("message_id"), "text"
     )
     scorer = linear_scorer(moments_of(add_signals(documents(spark, folder, "doc_id", "text"))))
@@ -886,8 +895,7 @@ def stream_webhook(spark, folder):
 def stream_windowed_stats(spark, folder):
     """Periods that the watermark has closed at the end of the events."""
     out = new_table_path(spark, "stream-stats")
-    schema = table(spark, folder, "events", "event_id", "ts", "user_id", "event_type").schema
-    stream = jobs.file_stream(spark, folder, schema, pathGlobFilter="events.parquet")
+    stream = _table_stream(spark, folder, "events", "event_id", "ts", "user_id", "event_type")
     label = F.when(F.col("event_type") == "click", "spam").when(F.col("event_type") == "error", "phishing").otherwise("ham")
     predictions = stream.select(label.alias("label"), F.col("ts").cast("timestamp").alias("created_at"))
     jobs.run_available(jobs.stats_stream(predictions, f"{out}/rows", f"{out}/checkpoint", "6 hours", "10 minutes"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F, types as T
 
 from msgsieve import fixed_values as fixed
 from msgsieve.operators import stats
-from msgsieve.plans import score
+from msgsieve.plans import catalog, score
 from msgsieve.sources import logs, schemas
 from msgsieve.streaming import jobs
 
@@ -167,3 +167,11 @@ def test_redelivered_events_are_dropped(spark, tmp_path):
         once.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp"))
     )
     assert spark.read.parquet(str(tmp_path / "out")).count() == 10
+
+
+@pytest.mark.parametrize("name", ["stream_scoring", "stream_windowed_stats"])
+def test_streams_of_tables_in_several_files(name, spark, data, tmp_path):
+    for table in ("documents", "events"):
+        spark.read.parquet(f"{data}/{table}.parquet").repartition(3).write.parquet(f"{tmp_path}/{table}.parquet")
+    want = sorted(map(str, catalog.QUERIES[name](spark, data).collect()))
+    assert want and sorted(map(str, catalog.QUERIES[name](spark, str(tmp_path)).collect())) == want
