@@ -923,35 +923,36 @@ MOST_TRAINING_ROWS = 20_000
 
 
 def _learning_sets(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """All labelled messages, and of these train (bounded), validation and test, prepared once."""
+    """Train, the part of it that learners see, validation and test messages, prepared once."""
     rows = split.split_by_hash(labelled(spark, folder, "doc_id", "text"))
     rows = cut_lineage(prepare(rows), "labelled")
-    fit_on = rows.where(F.col("split") == "train").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_TRAINING_ROWS)
-    return rows, fit_on, rows.where(F.col("split") == "val"), rows.where(F.col("split") == "test")
+    train_set, val, test = (rows.where(F.col("split") == name) for name in ("train", "val", "test"))
+    return train_set, train_set.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_TRAINING_ROWS), val, test
 
 
 @query
 def logistic_regression_scores(spark, folder):
     """Text features and a regression fitted on the train split, scores of all."""
-    rows, fit_on, val, _ = _learning_sets(spark, folder)
-    model, _ = train.train(spark, fit_on, val, names=("lr",))
+    train_set, fit_on, val, test = _learning_sets(spark, folder)
+    model, _ = train.train(spark, train_set, val, names=("lr",), learn_on=fit_on)
+    rows = train_set.unionByName(val).unionByName(test)
     return model.score(rows).select("doc_id", "split", "label", "prediction", F.transform("proba", r6).alias("proba"))
 
 
 @query
 def vote_training_runs(spark, folder):
     """Run rows of the three learners and their vote, with the settings of the training job."""
-    _, fit_on, val, _ = _learning_sets(spark, folder)
-    _, runs = train.train(spark, fit_on, val)
+    train_set, fit_on, val, _ = _learning_sets(spark, folder)
+    _, runs = train.train(spark, train_set, val, learn_on=fit_on)
     return stats.model_comparison(runs)
 
 
 @query
 def test_set_metrics(spark, folder):
     """A regression is trained, saved, loaded and assessed on the test split."""
-    _, fit_on, val, test = _learning_sets(spark, folder)
+    train_set, fit_on, val, test = _learning_sets(spark, folder)
     path = new_table_path(spark, "model")
-    train.train(spark, fit_on, val, model_path=path, names=("lr",))
+    train.train(spark, train_set, val, model_path=path, names=("lr",), learn_on=fit_on)
     found = assess.assess(train.RiskModel.load(path), test)
     return found["metrics"].select("metric", "class", r6("value").alias("value"))
 
@@ -959,7 +960,7 @@ def test_set_metrics(spark, folder):
 @query
 def decision_records_of_model(spark, folder):
     """Decision records of all documents from a trained model that was saved and loaded."""
-    _, fit_on, val, _ = _learning_sets(spark, folder)
+    train_set, fit_on, val, _ = _learning_sets(spark, folder)
     path = new_table_path(spark, "model")
-    train.train(spark, fit_on, val, model_path=path, names=("lr",))
+    train.train(spark, train_set, val, model_path=path, names=("lr",), learn_on=fit_on)
     return _flat_records(score.score_messages(messages(spark, folder), train.RiskModel.load(path)))

@@ -92,21 +92,23 @@ def train(
     tfidf: TfidfSettings = TfidfSettings(),
     settings: learners.LearnerSettings = learners.LearnerSettings(),
     names: tuple[str, ...] = ("lr", "rf", "gb"),
+    learn_on: DataFrame | None = None,
 ) -> tuple[RiskModel, DataFrame]:
     """Fit features, the learners and their vote; returns the model and its run rows.
 
-    The vote is always the final model.  With ``model_path`` it is saved, with
+    Features and class weights are those of the whole ``train_set``; the learners see the
+    rows of ``learn_on``, a part of it, or all.  The vote is always the final model.  With ``model_path`` it is saved, with
     ``runs_path`` the runs are appended to the model table.
     """
     # signals, vocabulary and vectors each pass over the prepared training messages
     prepared_train = cut_lineage(ensure_prepared(train_set).select("label", "text_clean", *fixed.SIGNALS), "prepared")
     prepared_val = ensure_prepared(val_set)
     features = MessageFeatures(settings=tfidf).fit(prepared_train)
-    vectors = _stored_vectors(features, prepared_train)
+    vectors = _stored_vectors(features, prepared_train if learn_on is None else ensure_prepared(learn_on))
     val_vectors = _stored_vectors(features, prepared_val)
     n_train, n_val = vectors.count(), val_vectors.count()  # read from file footers
 
-    weighted = learners.with_class_weights(vectors).persist()
+    weighted = learners.with_class_weights(vectors, of=prepared_train).persist()
     val_vectors = val_vectors.persist()
     makers = {
         "lr": lambda: learners.logistic_regression(n_train, settings),

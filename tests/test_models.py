@@ -12,7 +12,7 @@ from msgsieve import fixed_values as fixed
 from msgsieve.operators import features, learners, stats
 from msgsieve.operators.augment import generate_corpus
 from msgsieve.operators.prepare import prepare
-from msgsieve.operators.split import split_exact
+from msgsieve.operators.split import split_by_hash, split_exact
 from msgsieve.plans import catalog, score
 from msgsieve.plans.assess import assess
 from msgsieve.plans.train import RiskModel, train
@@ -229,3 +229,16 @@ def test_scores_of_all_labelled_rows_however_few_are_fitted(spark, data, monkeyp
     want = sorted(r["doc_id"] for r in catalog.labelled(spark, data, "doc_id", "text").collect())
     assert len(want) > 20
     assert sorted(r["doc_id"] for r in catalog.logistic_regression_scores(spark, data).collect()) == want
+
+
+def test_features_come_from_the_whole_train_split(spark, data, monkeypatch):
+    seen, real = [], catalog.train.train
+    monkeypatch.setattr(catalog, "MOST_TRAINING_ROWS", 20)
+    monkeypatch.setattr(catalog.train, "train", lambda *a, **k: seen.append(real(*a, **k)) or seen[-1])
+    catalog.logistic_regression_scores(spark, data)
+    (model, runs), = seen
+    rows = prepare(split_by_hash(catalog.labelled(spark, data, "doc_id", "text"))).where("split = 'train'")
+    whole = features.MessageFeatures().fit(rows).fitted
+    assert rows.count() > 20 and {r["train_samples"] for r in runs.collect()} == {20}
+    assert model.features.fitted.terms == whole.terms and model.features.fitted.idf == pytest.approx(whole.idf)
+    assert model.features.fitted.means == pytest.approx(whole.means)
