@@ -4,12 +4,12 @@ A window is ``WINDOW`` consecutive words.  Each window is represented by the sma
 hash of its ``GRAM``-word sequences; neighbouring windows mostly share it, so a document
 has about one such representative in twenty words, and equal windows have equal ones.
 
-1. Count-min sketch: every partition counts its representatives in cells, and partitions'
-   cells are summed.  A cell's sum overestimates the number of documents that hold any
-   window of the representatives in it, so windows in cells below two occur once.  The
-   rows of the sketch follow each other: the next counts only what passed the one before.
-   Cells exist only where something was counted, and each is summed where it hashes to,
-   so the width costs nothing and nothing of the sketch is sent to the driver or to all.
+1. Hash counts, in place of a count-min sketch: every partition counts its representatives
+   in cells, and partitions' cells are summed where they hash to.  A cell's sum is at least
+   the number of documents that hold any window of the representatives in it, so windows
+   in cells below two occur once.  There are so many cells that practically none collide,
+   and the second row, which counts only what passed the first, removes next to nothing;
+   the cells are a table that grows with the corpus, not an array of bounded size.
 2. Exact grouping: documents that keep a representative emit only its windows, with a
    128-bit hash each, and each hash gets the smallest document id.
 3. Windows of larger ids are covered, and the documents that have some are cut.
