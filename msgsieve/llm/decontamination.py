@@ -13,7 +13,8 @@ A window that shares no shingle with an item has similarity 0, so fingerprints a
 computed for windows that share one.  That loses nothing and spares most texts.
 
 The benchmark is taken in blocks of at most ``BLOCK_BYTES`` of text, each of which is one
-pass over the documents, so what is sent to the tasks is bounded for any benchmark.
+pass over the documents.  A block's findings are written and its index is destroyed before
+the next is built, so what the driver and the tasks hold is bounded for any benchmark.
 
 Cases: null and empty texts hold no passage, and null or empty items are found nowhere;
 items below ``MIN_WORDS`` words say too little and are not searched; a document shorter
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from msgsieve.llm.tables import as_documents, read
@@ -145,8 +147,8 @@ def weighted_jaccard(item: tuple[np.ndarray, np.ndarray], window: np.ndarray) ->
 FOUND = "doc_id bigint, item_id bigint, first_word bigint, end_word bigint, similarity double"
 
 
-def _search(docs: DataFrame, items: Items) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(items)
+def _search(docs: DataFrame, sent: Broadcast) -> DataFrame:
+    """Findings of the block of items that was broadcast."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
@@ -180,7 +182,9 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = None
     for part in range(count):
         own = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == part).collect()  # one block
-        rows = _search(docs, Items([r["item_id"] for r in own], [r["text"] for r in own]))
+        sent = docs.sparkSession.sparkContext.broadcast(Items([r["item_id"] for r in own], [r["text"] for r in own]))
+        rows = cut_lineage(_search(docs, sent), "found")
+        sent.destroy()
         found = rows if found is None else found.unionByName(rows)
     return found
 

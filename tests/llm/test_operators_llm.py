@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import random
 import re
 
@@ -178,6 +179,25 @@ def test_benchmark_passages(spark, documents):
     assert spans[0, 0] == (50, 80)
 
 
+def test_blocks_of_a_benchmark_are_held_one_at_a_time(spark, documents, monkeypatch):
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 400)
+    sent, before, real = [], [], spark.sparkContext.broadcast
+
+    def held():
+        return sum(os.path.exists(b._path) for b in sent)
+
+    def broadcast(value):
+        before.append(held())
+        sent.append(real(value))
+        return sent[-1]
+
+    monkeypatch.setattr(spark.sparkContext, "broadcast", broadcast)
+    items = [prose(500 + i, 30) for i in range(8)]
+    found = decontamination.find(documents(*items), spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string"))
+    assert len(sent) > 2 and not any(before) and not held()
+    assert sorted((r["doc_id"], r["item_id"]) for r in found.collect()) == [(i, i) for i in range(8)]
+
+
 def best_similarity(text, item):
     split = [w.lower() for w in (text or "").replace(",", " ").split()]
     size = min(len(item.split()), len(split))
