@@ -3,15 +3,18 @@
 A is a byte-level BPE and reads a space and the text; B is a piece model with byte fallback
 that puts the space there itself, so the bytes of both token sequences are the same.
 
-1. Full tokenisation of whole texts by both libraries.  A document whose bytes do not come
-   out equal (a model may normalise) has no tokens.
+1. Full tokenisation of whole texts by both libraries.  No token of either crosses the line
+   between a character that is not white space and a space, so the stretches between such
+   lines are encoded one by one, those seen before (``KEPT_WINDOWS`` in a worker) not again.
+   A document whose bytes do not come out equal (a model may normalise) has no tokens.
 2. Anchors: byte offsets where a token of A and a token of B both begin with a space, that
-   is, where both sequences have ended a token before a space-marked one.  They split a
-   document into windows of token ids, mostly single words.
+   is, where both sequences have ended a token before a space-marked one.  Each line is
+   verified to be one: the ids of every stretch have exactly its bytes in both vocabularies.
+   Anchors split a document into windows of token ids, mostly single words.
 3. Within a window, offsets where tokens of both end cut it into groups, and all pairs of an
    A and a B token of a group are linked.  A window's alignment depends on its ids alone, so
-   it is memoised by them, in each worker, up to ``KEPT_WINDOWS`` windows of ``KEPT_TOKENS``
-   tokens; others are aligned each time.
+   it is memoised by them; a worker keeps the first ``KEPT_WINDOWS`` and aligns others once a
+   block of texts.
 4. Counts: a task closes a chunk when its documents hold ``CHUNK_PAIRS`` different id pairs
    together.  A chunk is one row: its documents, its id pairs, and how many of its documents
    hold each.  Only the last two are exploded: a pair that every document holds counts once
@@ -30,8 +33,10 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +48,19 @@ from msgsieve.session import cut_lineage
 
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 CHUNK_PAIRS = 300_000
-KEPT_WINDOWS, KEPT_TOKENS = 200_000, 64
+KEPT_WINDOWS = 150_000
+FEW_LINKS = 64
 BLOCK = 1 << 20
 SPACE_MARK = "▁"
+AFTER_BLANK = re.compile(r"\s ")
+LINE = re.compile(r"(?<=\S)(?= )")  # nothing crosses it
+LATIN_END = "\u0250"
+# Fixed value: how a byte-level vocabulary of this kind cuts texts before merging.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+Ids = tuple[int, ...]
+Window = tuple[Ids, Ids]
+Aligned = tuple[int, int, str, int, list[int], dict[int, int]]
 
 DOCUMENT = pa.struct([
     ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()),
@@ -70,9 +85,18 @@ class Tokens:
 
     def __init__(self, raw: list[bytes]):
         self.raw = raw
-        self.length = np.array([len(r) for r in raw], dtype=np.int64)
+        self.size = [len(r) for r in raw]
+        self.length = np.array(self.size, dtype=np.int64)
+        self.name_length = np.array([len(str(i)) for i in range(len(raw))], dtype=np.int64)
+        self._names: dict[str, np.ndarray] = {}
         self.spaced = np.array([r.startswith(b" ") for r in raw], dtype=bool)
 
+    def names(self, mark: str) -> np.ndarray:
+        """Decimal ids with a mark after them."""
+        if mark not in self._names:
+            self._names[mark] = np.array([f"{i}{mark}" for i in range(len(self.raw))], dtype=object)
+        return self._names[mark]
+
     def join(self, ids: list[int]) -> bytes:
         raw = self.raw
         return b"".join([raw[i] for i in ids])
@@ -84,89 +108,159 @@ class Aligner:
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already uses every core
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer_a = Tokenizer.from_file(path_a)
         self.tokenizer_a.encode_special_tokens = True
         self.tokenizer_b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         letters = byte_of_letter()
+        special = set(self.tokenizer_a.get_added_tokens_decoder())
         names = {i: name for name, i in self.tokenizer_a.get_vocab().items()}
         self.a = Tokens([
-            bytes(letters[c] for c in name) if all(c in letters for c in name) else name.encode()
-            for name in (names.get(i, "") for i in range(max(names) + 1))])
+            names[i].encode() if i in special else bytes(letters[c] for c in names.get(i, ""))
+            for i in range(max(names) + 1)])
+        self.latin_a = tiktoken.Encoding(
+            path_a, pat_str=PATTERN, special_tokens={}, mergeable_ranks={r: i for i, r in enumerate(self.a.raw) if r and i not in special})
         piece, b = self.tokenizer_b.id_to_piece, self.tokenizer_b
         self.b = Tokens([
             bytes([int(piece(i)[1:-1], 16)]) if b.is_byte(i) else piece(i).replace(SPACE_MARK, " ").encode()
             for i in range(b.get_piece_size())])
-        self.known: dict[tuple, tuple] = {}
-
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        coded = self.tokenizer_a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        return list(zip([c.ids for c in coded], self.tokenizer_b.encode(texts, num_threads=1)))
-
-    def align(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[str, int, int, list[tuple[int, int]]]:
-        """Groups as text, their number, number of links, and (pair, links) of a window."""
-        groups, pairs = [], Counter()
-        links = i = j = low_a = low_b = end_a = end_b = 0
-        length_a, length_b = self.a.length, self.b.length
-        while i < len(a) or j < len(b):
-            if end_a <= end_b:
-                end_a += int(length_a[a[i]])
-                i += 1
-            else:
-                end_b += int(length_b[b[j]])
-                j += 1
-            if end_a == end_b:
-                own_a, own_b = a[low_a:i], b[low_b:j]
-                groups.append(f"{','.join(map(str, own_a))}|{','.join(map(str, own_b))}")
-                links += len(own_a) * len(own_b)
-                times_b = Counter(own_b).items()
-                for x, n in Counter(own_a).items():
-                    for y, m in times_b:
-                        pairs[x << 32 | y] += n * m
-                low_a, low_b = i, j
-        return ";".join(groups), len(groups), links, list(pairs.items())
-
-    def window(self, key: tuple[tuple[int, ...], tuple[int, ...]]) -> tuple:
-        found = self.known.get(key)
-        if found is None:
-            found = self.align(*key)
-            if len(self.known) < KEPT_WINDOWS and len(key[0]) + len(key[1]) <= KEPT_TOKENS:
-                self.known[key] = found
+        self.stretches: dict[str, int] = {}  # numbers of windows by text, None where bytes are not equal
+        self.numbers: dict[Window, int] = {}
+        self.known: list[Aligned] = []
+
+    def encode_a(self, stretches: list[str]) -> list[Ids | None]:
+        """Ids of A; None where their bytes are not those of the stretch.
+
+        For Latin letters a second implementation of A's vocabulary is faster, and takes the
+        stretches as one text.  Its pattern may know other classes of newer characters, so
+        other stretches go to A's own library, as do those that end in white space.
+        """
+        found: list = [None] * len(stretches)
+        latin = [i for i, s in enumerate(stretches) if max(s) < LATIN_END and not s[-1].isspace()]
+        if latin:
+            raw = [stretches[i].encode() for i in latin]
+            ids = self.latin_a.encode_ordinary(b"".join(raw).decode())
+            ends = np.cumsum(self.a.length[ids])
+            wanted = np.cumsum([len(r) for r in raw])
+            cuts = np.searchsorted(ends, wanted) + 1
+            if ends[-1] == wanted[-1] and (ends[cuts - 1] == wanted).all() and self.a.join(ids) == b"".join(raw):
+                cuts = cuts.tolist()
+                for i, low, high in zip(latin, [0, *cuts], cuts):
+                    found[i] = tuple(ids[low:high])
+        others = [i for i, ids in enumerate(found) if ids is None]
+        if others:
+            coded = self.tokenizer_a.encode_batch_fast([stretches[i] for i in others], add_special_tokens=False)
+            for i, c in zip(others, coded):
+                found[i] = tuple(c.ids) if self.a.join(c.ids) == stretches[i].encode() else None
         return found
 
-    def windows(self, a: list[int], b: list[int]) -> list[tuple[tuple[int, ...], tuple[int, ...]]]:
-        """The ids between anchors; both sequences begin with a space, so the first anchor is offset 0."""
-        codes_a, codes_b = np.array(a), np.array(b)
-        starts_a, starts_b = np.cumsum(self.a.length[codes_a]), np.cumsum(self.b.length[codes_b])
-        starts_a, starts_b = starts_a - self.a.length[codes_a], starts_b - self.b.length[codes_b]
-        anchors = np.intersect1d(starts_a[self.a.spaced[codes_a]], starts_b[self.b.spaced[codes_b]], assume_unique=True)
-        cuts_a = [*np.searchsorted(starts_a, anchors[1:]).tolist(), len(a)]
-        cuts_b = [*np.searchsorted(starts_b, anchors[1:]).tolist(), len(b)]
-        a, b, low_a, low_b, found = tuple(a), tuple(b), 0, 0, []
-        for high_a, high_b in zip(cuts_a, cuts_b):
-            found.append((a[low_a:high_a], b[low_b:high_b]))
-            low_a, low_b = high_a, high_b
+    def encode_b(self, stretches: list[str]) -> list[Ids | None]:
+        """Ids of B, which puts the first space there itself; None where their bytes are not those of the stretch."""
+        found = self.tokenizer_b.encode([s[1:] for s in stretches], num_threads=1)
+        join = self.b.join
+        if b"".join(map(join, found)) == "".join(stretches).encode() and all(found):
+            sizes = [len(s) if s.isascii() else len(s.encode()) for s in stretches]
+            if [sum(map(self.b.size.__getitem__, ids)) for ids in found] == sizes:
+                return list(map(tuple, found))
+        return [tuple(ids) if join(ids) == s.encode() else None for s, ids in zip(stretches, found)]
+
+    def windows(self, texts: list[str]) -> list[list[int] | None]:
+        """Numbers of the windows of texts, each after a space; None if their bytes do not come out equal."""
+        cut = []
+        for text in texts:
+            text = " " + text
+            cut.append(LINE.split(text) if AFTER_BLANK.search(text) else [" " + s for s in text[1:].split(" ")])
+        known, numbers = self.stretches, self.numbers
+        new = list({s for stretches in cut for s in stretches if s not in known})
+        if new:
+            fresh: list[Window] = []
+            for stretch, a, b in zip(new, self.encode_a(new), self.encode_b(new)):
+                if a is None or b is None:
+                    known[stretch] = None
+                    continue
+                known[stretch] = number = numbers.setdefault((a, b), len(numbers))
+                if number == len(self.known) + len(fresh):
+                    fresh.append((a, b))
+            if fresh:
+                self.known += self.align(fresh)
+        found = [[known[s] for s in stretches] for stretches in cut]
+        return [None if None in windows else windows for windows in found]
+
+    def forget(self) -> None:
+        """Keep the windows that came first, frequent ones among them."""
+        if len(self.known) > KEPT_WINDOWS:
+            del self.known[KEPT_WINDOWS:]
+            self.numbers = dict(islice(self.numbers.items(), KEPT_WINDOWS))
+        if len(self.known) >= KEPT_WINDOWS or len(self.stretches) > 2 * KEPT_WINDOWS:
+            self.stretches = {s: n for s, n in self.stretches.items() if n is not None and n < KEPT_WINDOWS}
+
+    def align(self, windows: list[Window]) -> list[Aligned]:
+        """Tokens of A and of B, groups as text, their number, and links' id pairs: one by one, or counted in large groups.
+
+        All windows are laid end to end; both sides of each have the same bytes, so groups never cross them.
+        """
+        a, b = (np.fromiter(chain.from_iterable(w[i] for w in windows), np.int64) for i in (0, 1))
+        last_a, last_b = (np.cumsum([len(w[i]) for w in windows]) for i in (0, 1))
+        ends_a, ends_b = np.cumsum(self.a.length[a]), np.cumsum(self.b.length[b])
+        shared = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        group_a, group_b = np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b)
+        size_a, size_b = np.bincount(group_a), np.bincount(group_b)
+        first_a, first_b = np.cumsum(size_a) - size_a, np.cumsum(size_b) - size_b
+
+        # a group is written as its tokens of A, each with a mark after it, then those of B
+        text = np.empty(len(a) + len(b), dtype=object)
+        width = np.empty(len(text), dtype=np.int64)
+        for ids, tokens, place, more, end in (
+            (a, self.a, np.arange(len(a)) + first_b[group_a], np.diff(group_a, append=-1) == 0, "|"),
+            (b, self.b, np.arange(len(b)) + (first_a + size_a)[group_b], np.diff(group_b, append=-1) == 0, ";"),
+        ):
+            text[place] = np.where(more, tokens.names(",")[ids], tokens.names(end)[ids])
+            width[place] = tokens.name_length[ids] + 1
+        written = "".join(text.tolist())
+        stops = np.cumsum(width)[last_a + last_b - 1].tolist()
+
+        small = size_a * size_b <= FEW_LINKS
+        times = np.where(small, size_b, 0)[group_a]
+        linked_a = np.repeat(np.arange(len(a)), times)
+        linked_b = np.arange(len(linked_a)) - np.repeat(np.cumsum(times) - times, times) + first_b[group_a[linked_a]]
+        pairs = (a[linked_a] << 32 | b[linked_b]).tolist()
+        bounds = np.cumsum(times)[last_a - 1].tolist()
+        groups = np.searchsorted(shared, ends_a[last_a - 1]) + 1
+        found = [
+            (len(w[0]), len(w[1]), written[low : high - 1], n, pairs[begin:end], {})
+            for w, low, high, n, begin, end in zip(
+                windows, [0, *stops], stops, np.diff(groups, prepend=0).tolist(), [0, *bounds], bounds)]
+        for g in np.flatnonzero(~small).tolist():
+            counted = found[int(np.searchsorted(groups, g, side="right"))][5]
+            times_b = Counter(b[first_b[g] : first_b[g] + size_b[g]].tolist()).items()
+            for x, n in Counter(a[first_a[g] : first_a[g] + size_a[g]].tolist()).items():
+                for y, m in times_b:
+                    counted[x << 32 | y] = counted.get(x << 32 | y, 0) + n * m
         return found
 
-    def document(self, text: str, a: list[int], b: list[int]) -> tuple[int, int, int, int, str, dict[int, int]]:
-        """n_a, n_b, n_groups, n_links, groups' digest, and links by id pair."""
-        raw = b" " + text.encode()
-        if not text or self.a.join(a) != raw or self.b.join(b) != raw:
-            return 0, 0, 0, 0, "", {}
-        keys = self.windows(a, b)
-        times = Counter(keys)
-        each = {key: self.window(key) for key in times}
-        n_groups = n_links = 0
-        pairs: dict[int, int] = {}
-        for key, n in times.items():
-            _, groups, links, own = each[key]
-            n_groups += n * groups
-            n_links += n * links
-            for pair, m in own:
-                pairs[pair] = pairs.get(pair, 0) + n * m
-        digest = hashlib.sha256(";".join([each[key][0] for key in keys]).encode()).hexdigest()
-        return len(a), len(b), n_groups, n_links, digest, pairs
+    def documents(self, texts: list[str]) -> list[tuple[int, int, int, int, str, np.ndarray, np.ndarray]]:
+        """n_a, n_b, n_groups, n_links, groups' digest, different id pairs and the links of each, for a block of texts."""
+        result = []
+        for text, numbers in zip(texts, self.windows(texts)):
+            if numbers is None or not text:
+                result.append((0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)))
+                continue
+            n_a, n_b, groups, n_groups, pairs, large = zip(*map(self.known.__getitem__, numbers))
+            digest = hashlib.sha256(";".join(groups).encode()).hexdigest()
+            pairs, links = np.unique(np.fromiter(chain.from_iterable(pairs), np.int64), return_counts=True)
+            counted: Counter[int] = Counter()
+            for own in filter(None, large):
+                counted.update(own)
+            if counted:
+                pairs, place = np.unique(np.concatenate([pairs, np.array(list(counted), np.int64)]), return_inverse=True)
+                total = np.zeros(len(pairs), np.int64)
+                np.add.at(total, place, np.concatenate([links, np.array(list(counted.values()), np.int64)]))
+                links = total
+            result.append((sum(n_a), sum(n_b), sum(n_groups), int(links.sum()), digest, pairs, links))
+        self.forget()
+        return result
 
 
 _kept: dict[tuple[str, str], Aligner] = {}
@@ -183,29 +277,27 @@ class Chunk:
     """Documents of a task with their id pairs, each pair stored once."""
 
     def __init__(self, number: int):
-        self.number, self.rows, self.size = number, [], 0
-        self.place: dict[int, int] = {}
-        self.held: list[int] = []
+        self.number, self.rows, self.pairs, self.links, self.size = number, [], [], [], 0
 
     def add(self, doc_id: int | None, figures: tuple) -> None:
-        *row, pairs = figures
-        at = []
-        for pair in pairs:
-            place = self.place.setdefault(pair, len(self.held))
-            if place == len(self.held):
-                self.held.append(0)
-            self.held[place] += 1
-            at.append(place)
-        self.rows.append((doc_id, *row, at, list(pairs.values())))
-        self.size += len(at) + 16
+        *row, pairs, links = figures
+        self.rows.append((doc_id, *row))
+        self.pairs.append(pairs)
+        self.links.append(links)
+        self.size += len(pairs) + 16
 
     def batch(self) -> pa.RecordBatch:
-        rows = pa.StructArray.from_arrays(
-            [pa.array(column, field.type) for column, field in zip(zip(*self.rows), DOCUMENT)], fields=list(DOCUMENT))
-        whole = pa.array([0, len(self.rows)], pa.int32())
+        bounds = pa.array(np.cumsum([0, *map(len, self.pairs)]), pa.int32())
+        pairs, at = np.unique(np.concatenate(self.pairs), return_inverse=True)
+        plain = [pa.array(column, field.type) for column, field in zip(zip(*self.rows), DOCUMENT)]
+        lists = [pa.ListArray.from_arrays(bounds, pa.array(v, k)) for v, k in (
+            (at, pa.int32()), (np.concatenate(self.links), pa.int64()))]
+        rows = pa.StructArray.from_arrays([*plain, *lists], fields=list(DOCUMENT))
+        held = np.bincount(at, minlength=len(pairs))  # a document lists a pair once
         return pa.RecordBatch.from_arrays([
-            pa.array([self.number], pa.int64()), pa.ListArray.from_arrays(whole, rows),
-            pa.array([list(self.place)], pa.list_(pa.int64())), pa.array([self.held], pa.list_(pa.int32())),
+            pa.array([self.number], pa.int64()),
+            pa.ListArray.from_arrays(pa.array([0, len(self.rows)], pa.int32()), rows),
+            pa.array([pairs], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.int32())),
         ], ["chunk", "documents", "pairs", "held"])
 
 
@@ -223,8 +315,8 @@ def aligned_chunks(docs: DataFrame, path_a: str, path_b: str, chunk_pairs: int =
             _, offsets = text_bytes(texts)
             for low, high in blocks(offsets, BLOCK):
                 own = [t or "" for t in texts.slice(low, high - low).to_pylist()]
-                for doc_id, text, (a, b) in zip(ids[low:high], own, aligner.encode(own)):
-                    chunk.add(doc_id, aligner.document(text, a, b))
+                for doc_id, figures in zip(ids[low:high], aligner.documents(own)):
+                    chunk.add(doc_id, figures)
                     if chunk.size >= chunk_pairs:
                         yield chunk.batch()
                         number += 1

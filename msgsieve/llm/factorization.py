@@ -8,7 +8,7 @@ is the product of their factors.  All pairs are summed in linear time by
     sum over pairs <v_i, v_j> x_i x_j = 1/2 sum over f [(sum v_if x_i)^2 - sum v_if^2 x_i^2].
 
 It is fitted by mini-batch AdaGrad on a bounded sample of labelled rows outside the
-held-out fold (``MOST_ROWS``) on the driver; its size is fixed, so it is sent to all
+held-out fold (``MOST_ROWS`` rows of ``MOST_FEATURES`` features together) on the driver; its size is fixed, so it is sent to all
 tasks, which score whole texts.
 
 Cases: null and empty texts have structure features only and get a score like any other;
@@ -27,8 +27,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from msgsieve.llm.labelled import held_out, training_rows
 from msgsieve.llm.tables import read
 from msgsieve.llm.words import Words, blocks, sequence_hashes, text_bytes, valid_starts
+from msgsieve.session import cut_lineage
 
 MOST_ROWS = 20_000
+MOST_FEATURES = 16_000_000  # of eight bytes, of all sampled rows
 WORD_SLOTS = 1 << 14
 RANK = 8
 UPDATES, BATCH, RATE, DECAY, SEED = 500, 256, 0.05, 1e-4, 11
@@ -169,8 +171,12 @@ class Machine:
         return self
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MOST_ROWS) -> Machine:
-    """The machine for ``label``; only the hashed features of the sampled rows come to the driver."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MOST_ROWS,
+        most_features: int = MOST_FEATURES) -> Machine:
+    """The machine for ``label``; only the hashed features of the sampled rows come to the driver.
+
+    The sample ends before the row, in order of the ids' hashes, that would exceed ``most_features``.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,9 +190,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
                     pa.array([values[c].tobytes() for c in cut], pa.binary())], ["doc_id", "label", "slots", "values"])
 
     sample = training_rows(docs, labels, label, most, ["doc_id", "text"])
-    encoded = sample.select(F.col("doc_id").cast("bigint"), "text", "label").mapInArrow(
-        encode, "doc_id bigint, label int, slots binary, values binary")
-    rows = sorted(encoded.collect(), key=lambda r: (r["doc_id"], bytes(r["slots"])))  # ``most`` documents
+    encoded = cut_lineage(sample.select(F.col("doc_id").cast("bigint"), "text", "label").mapInArrow(
+        encode, "doc_id bigint, label int, slots binary, values binary"), "quality-sample")
+    place = F.xxhash64("doc_id")
+    sizes = encoded.select(place, "doc_id", F.expr("octet_length(slots) div 4")).collect()  # ``most`` triples
+    total = 0
+    for row in sorted(map(tuple, sizes)):
+        total += row[2]
+        if total > most_features:
+            encoded = encoded.where(place < row[0])
+            break
+    rows = sorted(encoded.collect(), key=lambda r: r["doc_id"])  # ``most_features`` features
     bounds = np.concatenate([[0], np.cumsum([len(r["slots"]) // 4 for r in rows])]).astype(np.int64)
     slots = np.frombuffer(b"".join(r["slots"] for r in rows), dtype=np.int32)
     values = np.frombuffer(b"".join(r["values"] for r in rows), dtype=np.float32)

@@ -17,9 +17,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, col
 
     They are the rows with the smallest hashes of their ids, so the choice depends neither
     on partitions nor on retries.  Rows without id or label are not used; of several labels
-    of a document the larger counts, of several texts the one with the smallest hash.
+    of a document the larger counts, of several rows of a document the one with the smallest hash.
     """
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
     chosen = chosen.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select(*columns).join(F.broadcast(chosen.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id")).drop("_id")
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumnRenamed("doc_id", "_id")
+    found = docs.select(*columns).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))  # ``most`` ids and labels
+    first = F.min_by(F.struct(*columns), F.struct(F.xxhash64(*columns), *columns))
+    return found.groupBy("_id", "label").agg(first.alias("_row")).select("_row.*", "label")

@@ -14,7 +14,8 @@ smallest (role, text) counts, so repeated rows change nothing; rows without a
 conversation belong to no pair and are left out; a conversation without partner has an
 empty prompt, if its partner has no turns, and an empty other side; equal conversations
 are all prompt; an empty table gives an empty result; other columns are ignored.
-Marks inside texts are broken up by a space, so no text can open or close a turn.
+Marks inside texts are broken up by a space, so no text can open or close a turn, and texts
+that differ stay different.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ def head(role: Column) -> Column:
 
 
 def safe(text: Column) -> Column:
-    return F.replace(text, F.lit("<|"), F.lit("< |"))
+    """One more space between ``<`` and ``|``, so that different texts stay different."""
+    return F.regexp_replace(text, r"<( *)\|", r"< $1|")
 
 
 def rendered(turn: Column) -> Column:
@@ -104,11 +106,25 @@ def format_pairs(turns: DataFrame) -> DataFrame:
         loss_spans(F.col("c")).alias("chosen_loss"), loss_spans(F.col("r")).alias("rejected_loss"))
 
 
-def neighbours(conversations: DataFrame) -> DataFrame:
-    """Turns of pairs from a table in which conversation 2k is preferred to 2k + 1."""
-    return conversations.select(
-        F.floor(F.col("conv_id") / 2).cast("bigint").alias("pair_id"), (F.col("conv_id") % 2 == 0).alias("chosen"),
-        "turn", "role", "text")
+def branched(conversations: DataFrame) -> DataFrame:
+    """Turns of pairs that branch: conversation 2k, and the same up to a turn from which 2k + 1 goes on.
+
+    That turn is after the first and not after the last that both have, by a hash of the pair.
+    Where one of them is missing, nothing is shared and its side is empty.
+    """
+    pair = F.floor(F.col("conv_id") / 2).cast("bigint")
+    own = conversations.where("conv_id IS NOT NULL").select(
+        pair.alias("pair_id"), (F.col("conv_id") % 2 == 0).alias("first"), F.col("turn").cast("bigint").alias("turn"), "role", "text")
+    lasts = own.groupBy("pair_id").agg(
+        F.max(F.when(F.col("first"), F.col("turn"))).alias("a"), F.max(F.when(~F.col("first"), F.col("turn"))).alias("b"))
+    drawn = F.conv(F.substring(F.sha2(F.col("pair_id").cast("string"), 256), 1, 8), 16, 10).cast("bigint")
+    both = F.col("a").isNotNull() & F.col("b").isNotNull()
+    branches = lasts.select("pair_id", F.when(
+        both, 1 + drawn % F.greatest(F.lit(1), F.least("a", "b"))).otherwise(NO_TURN).alias("branch"))
+    shared = F.coalesce("turn", F.lit(NO_TURN)) < F.col("branch")
+    sides = (F.when(F.col("first") & shared, F.array(F.lit(True), F.lit(False))).when(F.col("first"), F.array(F.lit(True)))
+             .when(~shared, F.array(F.lit(False))))
+    return own.join(branches, "pair_id").select("pair_id", F.explode(sides).alias("chosen"), "turn", "role", "text")
 
 
 def as_text(spans: Column) -> Column:
@@ -116,21 +132,32 @@ def as_text(spans: Column) -> Column:
 
 
 def op7_preference_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return format_pairs(neighbours(read(spark, folder, "conversations"))).select(
+    return format_pairs(branched(read(spark, folder, "conversations"))).select(
         "pair_id", "chunk", F.col("n_prompt_turns").cast("bigint").alias("n_prompt_turns"), "prompt", "chosen",
         "rejected", as_text(F.col("chosen_loss")).alias("chosen_loss"),
         as_text(F.col("rejected_loss")).alias("rejected_loss"))
 
 
-SQL = f"""
-WITH single AS (
-  SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, coalesce(turn, {NO_TURN}) AS turn,
-         min({{'role': coalesce(role, 'unknown'), 'text': coalesce(text, '')}}) AS said
+SQL = rf"""
+WITH lasts AS (
+  SELECT conv_id // 2 AS pair_id, max(turn) FILTER (conv_id % 2 = 0) AS a, max(turn) FILTER (conv_id % 2 = 1) AS b
   FROM conversations WHERE conv_id IS NOT NULL GROUP BY ALL
+), branches AS (
+  SELECT pair_id, CASE WHEN a IS NULL OR b IS NULL THEN {NO_TURN}
+    ELSE 1 + ('0x' || sha256(pair_id::VARCHAR)[1:8])::BIGINT % greatest(1, least(a, b)) END AS branch FROM lasts
+), own AS (
+  SELECT pair_id, branch, conv_id % 2 AS conv, coalesce(turn, {NO_TURN}) AS turn, role, text
+  FROM conversations JOIN branches ON conv_id // 2 = pair_id
+), sides AS (
+  SELECT *, 0 AS side FROM own WHERE conv = 0
+  UNION ALL SELECT *, 1 FROM own WHERE (conv = 0) = (turn < branch)
+), single AS (
+  SELECT pair_id, side, turn, min({{'role': coalesce(role, 'unknown'), 'text': coalesce(text, '')}}) AS said
+  FROM sides GROUP BY ALL
 ), turns AS (
   SELECT pair_id, side, turn, floor(turn / {CHUNK})::BIGINT AS chunk, said.role AS role,
          '<|' || said.role || '|>' || chr(10) AS head,
-         replace(said.text, '<|', '< |') || '{END}' AS body FROM single
+         regexp_replace(said.text, '<( *)\|', '< \1|', 'g') || '{END}' AS body FROM single
 ), ends AS (
   SELECT pair_id, min(turn) FILTER (n < 2 OR one <> other) AS prompt_end FROM (
     SELECT pair_id, turn, count(*) AS n, min(head || body) AS one, max(head || body) AS other FROM turns GROUP BY ALL)

@@ -11,19 +11,29 @@ card       13-19 digits, plain or in the groups   digits but the first and the c
            of cards, Luhn sum is right            which is computed anew
 phone      ``+`` and 8 digits or more, or (ddd)   digits after the country code
            ddd-dddd and ddd-ddd-dddd
+iban       two capitals, 13-32 digits or          letters and digits after the first four;
+           capitals, plain or in fours, whose     the two check digits are computed anew
+           remainder by 97 is right
 ip         four numbers up to 255                 all 32 bits
-date       a real day of 1900-2099, written       the day among those 73,049
-           y-m-d, y/m/d, d.m.y or m/d/y
+date       a real day of 1900-2099, written       the day among those 73,049; among the
+           y-m-d, y/m/d, d.m.y, m/d/y, or else    44,249 after a month's twelfth for d/m/y
+           d/m/y
 ssn        ddd-dd-dddd with an assignable area    the 898 x 99 x 9999 assignable numbers
 email      name@domain                            letters and digits of the name
 key        AKIA and 16 capitals or digits         those 16
-hex        32-64 hexadecimal digits with a digit  all digits
+hex        32 or more hexadecimal digits with a   all digits
+           decimal one among them
 secret     value with a digit after a word such   letters and digits of the value; all
            as ``password=``                       digits where it is hexadecimal
 =========  =====================================  ==========================================
 
 Numbers that look alike but fail the test stay as they are.  Separators stay in place
-and do not count, so ``4111 1111 ...`` and ``41111111...`` remain linked.
+and do not count, so ``4111 1111 ...`` and ``41111111...`` remain linked, and so do
+``+49 30 ...`` and ``+4930...``, as country codes come from the numbering plan.
+
+A value of any length costs work in proportion to it: patterns repeat single characters
+or groups that are never given back, so none recurses, and a round of a network hashes
+the other half once and takes the moves of its characters from that digest.
 
 Everything is a built-in expression: the text is cut at the matches of one pattern,
 matches are replaced and the parts are joined again.  Texts without a digit or ``@``
@@ -44,7 +54,8 @@ from msgsieve.functions.evaluation import bind, computed_once
 from msgsieve.llm.tables import DOCUMENT_COLUMNS, as_documents, read
 
 ROUNDS = 8
-DEFAULT_KEY = "change-me"  # production: a secret from the key store, passed as ``key``
+DEFAULT_KEY = "change-me"  # production: a secret, passed as ``key`` or set in the session
+KEY_SETTING = "spark.msgsieve.pseudonym.key"
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _SECRET_WORD = r"(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?"
@@ -53,9 +64,10 @@ _SECRET_VALUE = r"(?=[A-Za-z_/+-]*\d)[A-Za-z0-9_/+-]{8,}"
 PATTERNS = {
     "secret": r"(?<![A-Za-z0-9])" + _SECRET_WORD + _SECRET_VALUE,
     "key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "hex": r"(?<![A-Za-z0-9])(?:(?=[a-f]*\d)[0-9a-f]{32,64}|(?=[A-F]*\d)[0-9A-F]{32,64})(?![A-Za-z0-9])",
-    "date": r"(?<![\d./-])(?:(?:19|20)\d\d([/-])\d\d\1\d\d|\d\d\.\d\d\.(?:19|20)\d\d|\d\d/\d\d/(?:19|20)\d\d)(?![\d/-]|\.\d)",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?!\.)[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
+    "hex": r"(?<![A-Za-z0-9])(?:(?=[a-f]*\d)[0-9a-f]{32,}+|(?=[A-F]*\d)[0-9A-F]{32,}+)(?![A-Za-z0-9])",
+    "date": r"(?<![\d./-])(?:(?:19|20)\d\d([/-])\d\d\1\d\d|\d\d?\.\d\d?\.(?:19|20)\d\d|\d\d?/\d\d?/(?:19|20)\d\d)(?![\d/-]|\.\d)",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d\d(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d\d-\d{4}(?![\d-])",
     # digits that belong to a following address or decimal number are given back
@@ -72,7 +84,17 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 HEX = ["0123456789abcdef"]
 UPPER_HEX = ["0123456789ABCDEF"]
 ALNUM = [DIGITS, LOWER, LOWER.upper()]
+CAPITALS_AND_DIGITS = [DIGITS, LOWER.upper()]
 FIRST_DAY, DAY_FACTORS = "1900-01-01", (319, 229)  # 319 * 229 = the days of 1900-2099
+LATE_DAY_FACTORS = (4297, 17)  # 4297 * 17 = those of them after the twelfth of a month
+# Country calling codes of one and two digits; all others have three.
+ONE_DIGIT_CODES = ["1", "7"]
+TWO_DIGIT_CODES = [
+    "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49",
+    "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66",
+    "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98",
+]
+MOVES = 6  # of ten hexadecimal digits each, from one digest
 
 
 def _number(*parts: Column) -> Column:
@@ -80,6 +102,10 @@ def _number(*parts: Column) -> Column:
     return F.conv(F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 12), 16, 10).cast("bigint")
 
 
+def _digest(*parts: Column) -> Column:
+    return F.sha2(F.concat_ws("|", *parts), 256)
+
+
 def permute_text(value: Column, key: Column, tweak: str, classes: list[str]) -> Column:
     """Feistel network over the halves of a string.
 
@@ -88,17 +114,22 @@ def permute_text(value: Column, key: Column, tweak: str, classes: list[str]) ->
     """
 
     def moved(half: Column, other: Column, turn: Column) -> Column:
-        def char(i: Column) -> Column:
-            here = F.substring(half, i, F.lit(1))
+        blocks = bind(_digest(key, F.lit(tweak), turn.cast("string"), other), lambda d: F.transform(
+            F.sequence(F.lit(0), F.floor(F.length(half) / MOVES).cast("int")), lambda b: _digest(d, b.cast("string"))))
+
+        def char(here: Column, i: Column, digests: Column) -> Column:
+            part = F.substring(F.get(digests, F.floor(i / MOVES).cast("int")), 10 * (i % MOVES) + 1, F.lit(10))
+            move = F.conv(part, 16, 10).cast("bigint")
             result = here
             for symbols in classes:
                 at = F.instr(F.lit(symbols), here) - 1
-                shift = (at + _number(key, F.lit(tweak), turn.cast("string"), i.cast("string"), other)) % len(symbols)
-                result = F.when(at >= 0, F.substring(F.lit(symbols), (shift + 1).cast("int"), F.lit(1))).otherwise(result)
+                result = F.when(at >= 0, F.substring(
+                    F.lit(symbols), ((at + move) % len(symbols) + 1).cast("int"), F.lit(1))).otherwise(result)
             return result
 
-        places = F.when(F.length(half) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.length(half)))
-        return F.array_join(F.transform(places, char), "")
+        # split once: taking single characters by place would read all before them each time
+        letters = F.array_join(bind(blocks, lambda d: F.transform(F.split(half, ""), lambda c, i: char(c, i, d))), "")
+        return F.when(F.length(half) == 0, half).otherwise(letters)
 
     def network(text: Column) -> Column:
         middle = F.floor(F.length(text) / 2).cast("int")
@@ -162,17 +193,40 @@ def _card(found: Column, key: Column) -> Column:
 
 
 def _phone(found: Column, key: Column) -> Column:
-    country = F.when(found.startswith("+"), F.regexp_extract(found, r"^(\+\d{1,3})(?:[ .-]|\()", 1)).otherwise("")
-    # Without a mark after it, the country code is taken to be the first digit.
-    country = F.when(found.startswith("+") & (country == ""), F.substring(found, 1, 2)).otherwise(country)
+    def of(digits: Column) -> Column:
+        code = (F.when(~found.startswith("+"), 0).when(F.substring(digits, 1, 1).isin(ONE_DIGIT_CODES), 1)
+                .when(F.substring(digits, 1, 2).isin(TWO_DIGIT_CODES), 2).otherwise(3))
+        rest = F.substring(digits, code + 1, F.length(digits))
+        made = F.concat(F.substring(digits, F.lit(1), code), permute_text(rest, key, "phone", [DIGITS]))
+        fits = (F.length(digits) >= 8) | ~found.startswith("+")
+        return F.when(fits, bind(made, lambda d: _refill(found, d))).otherwise(found)
+
+    return bind(_digits(found), of)
+
+
+def remainder_97(text: Column) -> Column:
+    """Of digits and capitals, which stand for 10 to 35."""
+    def add(total: Column, here: Column) -> Column:
+        value = F.instr(F.lit(DIGITS + LOWER.upper()), here) - 1
+        return (total * F.when(value > 9, 100).otherwise(10) + value) % 97
+
+    return F.aggregate(F.split(text, ""), F.lit(0), add)
+
+
+def _iban(found: Column, key: Column) -> Column:
+    def of(plain: Column) -> Column:
+        country, body = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain))
+        right = remainder_97(F.concat(body, F.substring(plain, 1, 4))) == 1
 
-    def of(code: Column) -> Column:
-        rest = F.substring(found, F.length(code) + 1, F.length(found))
-        fits = (F.length(_digits(found)) >= 8) | ~found.startswith("+")
-        return F.when(fits, F.concat(code, bind(permute_text(_digits(rest), key, "phone", [DIGITS]),
-                                                lambda d: _refill(rest, d)))).otherwise(found)
+        def checked(moved: Column) -> Column:
+            check = 98 - remainder_97(F.concat(moved, country, F.lit("00")))
+            return F.concat(country, F.lpad(check.cast("string"), 2, "0"), moved)
 
-    return bind(country, of)
+        made = bind(permute_text(body, key, "iban", CAPITALS_AND_DIGITS), checked)
+        spaced = F.rtrim(F.regexp_replace(made, "(.{4})", "$1 "))
+        return F.when(right, F.when(F.contains(found, F.lit(" ")), spaced).otherwise(made)).otherwise(found)
+
+    return bind(F.replace(found, F.lit(" "), F.lit("")), of)
 
 
 def _ip(found: Column, key: Column) -> Column:
@@ -187,21 +241,47 @@ def _ip(found: Column, key: Column) -> Column:
     return bind(F.split(found, r"\."), of)
 
 
-def _date(found: Column, key: Column) -> Column:
+def _months(day: Column) -> Column:
+    return (F.year(day) - 1900) * 12 + F.month(day) - 1
+
+
+def _moved_day(day: Column, key: Column) -> Column:
+    """Any day of 1900-2099 to another one."""
     a, b = DAY_FACTORS
+    number = F.date_diff(day, F.to_date(F.lit(FIRST_DAY)))
+    moved = permute_pair(F.floor(number / b), number % b, (a, b), key, "date")
+    return bind(moved, lambda s: F.date_add(F.to_date(F.lit(FIRST_DAY)), (s["x"] * b + s["y"]).cast("int")))
+
+
+def _moved_late_day(day: Column, key: Column) -> Column:
+    """A day after the twelfth of its month to another such day; they are numbered without the others."""
+    a, b = LATE_DAY_FACTORS
+    first = F.to_date(F.lit(FIRST_DAY))
+    number = F.date_diff(day, first) - 12 * (_months(day) + 1)
+    moved = permute_pair(F.floor(number / b), number % b, (a, b), key, "late date")
 
-    def written(pattern: str, shape: str) -> Column:
-        def of(day: Column) -> Column:
-            number = F.date_diff(day, F.to_date(F.lit(FIRST_DAY)))
-            moved = permute_pair(F.floor(number / b), number % b, (a, b), key, "date")
-            return bind(moved, lambda s: F.date_format(
-                F.date_add(F.to_date(F.lit(FIRST_DAY)), (s["x"] * b + s["y"]).cast("int")), pattern))
+    def back(n: Column) -> Column:
+        guess = F.floor(n / 18.4371).cast("int")  # of a month's days 18.4371 come after the twelfth, on average
+        found = [bind(guess + i, lambda m: bind(F.date_add(first, n + 12 * (m + 1)), lambda d: F.when(
+            (_months(d) == m) & (F.dayofmonth(d) > 12), d))) for i in (-1, 0, 1)]
+        return F.coalesce(*found)
 
-        day = F.try_to_timestamp(F.when(found.rlike(shape), found), F.lit(pattern)).cast("date")
-        return bind(day, lambda d: F.when(d.isNotNull(), of(d)))
+    return bind(bind(moved, lambda s: (s["x"] * b + s["y"]).cast("int")), back)
 
-    return F.coalesce(written("yyyy-MM-dd", r"^\d{4}-"), written("yyyy/MM/dd", r"^\d{4}/"),
-                      written("dd.MM.yyyy", r"^\d\d\."), written("MM/dd/yyyy", r"^\d\d/"), found)
+
+def _date(found: Column, key: Column) -> Column:
+    def written(read: str, write: str, shape: str, moved=_moved_day) -> Column:
+        def shown(day: Column) -> Column:
+            # digits that stand alone stay so: a day has one spelling of each width
+            return F.when(F.length(found) < len(write), F.date_format(day, read)).otherwise(F.date_format(day, write))
+
+        day = F.try_to_timestamp(F.when(found.rlike(shape), found), F.lit(read)).cast("date")
+        return bind(day, lambda d: F.when(d.isNotNull(), bind(moved(d, key), shown)))
+
+    return F.coalesce(
+        written("yyyy-MM-dd", "yyyy-MM-dd", r"^\d{4}-"), written("yyyy/MM/dd", "yyyy/MM/dd", r"^\d{4}/"),
+        written("d.M.yyyy", "dd.MM.yyyy", r"^\d\d?\."), written("M/d/yyyy", "MM/dd/yyyy", r"^\d\d?/"),
+        written("d/M/yyyy", "dd/MM/yyyy", r"^\d\d?/", _moved_late_day), found)
 
 
 def _ssn(found: Column, key: Column) -> Column:
@@ -252,7 +332,7 @@ def pseudonym(found: Column, kind: Column, key: Column) -> Column:
         "secret": _secret(found, key), "email": _email(found, key), "date": _date(found, key), "ip": _ip(found, key),
         "key": F.concat(F.lit("AKIA"), permute_text(F.substring(found, 5, 16), key, "key", ALNUM)),
         "hex": _hex(found, key),
-        "ssn": _ssn(found, key), "phone": _phone(found, key), "card": _card(found, key),
+        "iban": _iban(found, key), "ssn": _ssn(found, key), "phone": _phone(found, key), "card": _card(found, key),
     }
     return reduce(lambda rest, k: F.when(kind == k, made[k]).otherwise(rest), KINDS, found)
 
@@ -290,13 +370,18 @@ def replace_private(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text")
     return made.select(*order, F.col("_made")["r"].alias("replaced"))
 
 
+def session_key(spark: SparkSession) -> str:
+    """The key that the session sets for all jobs whose values should stay linked."""
+    return spark.conf.get(KEY_SETTING, DEFAULT_KEY)
+
+
 def pseudonym_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Pipeline stage: the documents without private values."""
-    return replace_private(as_documents(docs)).select(*DOCUMENT_COLUMNS)
+    return replace_private(as_documents(docs), session_key(spark)).select(*DOCUMENT_COLUMNS)
 
 
 def op1_feistel_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
-    done = replace_private(read(spark, folder, "documents").select("doc_id", "text"))
+    done = replace_private(read(spark, folder, "documents").select("doc_id", "text"), session_key(spark))
 
     def found(kind: str) -> Column:
         return F.size(F.filter("replaced", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")

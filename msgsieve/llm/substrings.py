@@ -4,14 +4,17 @@ A window is ``WINDOW`` consecutive words.  Each window is represented by the sma
 hash of its ``GRAM``-word sequences; neighbouring windows mostly share it, so a document
 has about one such representative in twenty words, and equal windows have equal ones.
 
-1. Hash counts, in place of a count-min sketch: every partition counts its representatives
-   in cells, and partitions' cells are summed where they hash to.  A cell's sum is at least
-   the number of documents that hold any window of the representatives in it, so windows
-   in cells below two occur once.  There are so many cells that practically none collide,
-   and the second row, which counts only what passed the first, removes next to nothing;
-   the cells are a table that grows with the corpus, not an array of bounded size.
-2. Exact grouping: documents that keep a representative emit only its windows, with a
-   128-bit hash each, and each hash gets the smallest document id.
+1. Count-min prefilter: every partition counts its representatives in an array of cells of
+   fixed width, twice, by different hashes.  The partitions' arrays are added block by block
+   of cells.  A cell counts all that fall into it, so its count is never too small: what has
+   a count below two in either array occurs once, and goes.  Only one bit a cell is sent to
+   all tasks, and no representative is shuffled.  The width is the power of two above
+   ``CELLS_EACH`` cells a representative, ``MOST_WIDTH`` at most: 2 x 64 MB in a task,
+   2 x 8 MB sent.  Beyond some 10^8 representatives the arrays fill up and pass ever more;
+   that costs the next step its size today, and no result.
+2. Exact grouping: those estimated to be repeated are grouped by their 64-bit hashes, and
+   documents that keep a representative emit only its windows, with a 128-bit hash each;
+   each hash gets the smallest document id.
 3. Windows of larger ids are covered, and the documents that have some are cut.
 
 Copies of whole documents are set apart first by a checksum of their words, so large
@@ -34,14 +37,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from msgsieve.llm.tables import read
 from msgsieve.llm.words import (
-    Joined, Words, as_signed, blocks, sequence_hashes, sliding_minimum, text_bytes, valid_starts,
+    Joined, Words, as_signed, blocks, mix, sequence_hashes, sliding_minimum, text_bytes, valid_starts,
 )
 from msgsieve.session import cut_lineage
 
 WINDOW = 50
 GRAM = 10
-SKETCH_WIDTH = 1 << 44
-SKETCH_ROWS = 2
+CELLS_EACH = 4
+LEAST_WIDTH, MOST_WIDTH = 1 << 16, 1 << 26
+BLOCK_CELLS = 1 << 16
+FULL = 255  # cells of one byte stay there
+SEEDS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 LAST_ID = (1 << 63) - 1
 GRAM_BASE = 0x2545F4914F6CDD1D
 KEY_BASES = (0x369DEA0F31A53F85, 0x9FB21C651E98DF25)
@@ -135,15 +141,106 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ], ["id", "text_key", "n_removed", "kept_sha256", "kept_text"])
 
 
-def repeated(profiles: DataFrame, width: int = SKETCH_WIDTH, rows: int = SKETCH_ROWS) -> DataFrame:
-    """id and text_key with the representatives whose estimated count is two or more."""
-    left = profiles.select("id", "text_key", F.explode("least").alias("least"))
-    for row in range(rows):
-        cell = F.pmod(F.xxhash64(F.lit(row), F.col("least")), F.lit(width))
-        cells = left.select(cell.alias("cell")).groupBy("cell").count().where("count > 1").select("cell")
-        cells = cut_lineage(cells, "cells")  # adaptive execution splits a full cell only between two plain sides
-        left = cut_lineage(left.withColumn("cell", cell).join(cells, "cell", "left_semi").drop("cell"), "sketched")
-    return left.groupBy("id", "text_key").agg(F.collect_list("least").alias("least"))
+def cells(least: np.ndarray, seed: int, width: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (mix(least * np.uint64(seed | 1) + np.uint64(seed)) & np.uint64(width - 1)).astype(np.int64)
+
+
+def sketch_width(total: int) -> int:
+    return min(max(1 << (CELLS_EACH * total).bit_length(), LEAST_WIDTH), MOST_WIDTH)
+
+
+class Sketch:
+    """Count-min arrays of one partition."""
+
+    def __init__(self, width: int):
+        self.width = width
+        self.counts = [np.zeros(width, dtype=np.uint8) for _ in SEEDS]
+
+    def add(self, least: np.ndarray) -> None:
+        for counts, seed in zip(self.counts, SEEDS):
+            at, times = np.unique(cells(least, seed, self.width), return_counts=True)
+            counts[at] = np.minimum(counts[at] + times, FULL)
+
+    def parts(self) -> Iterator[tuple[int, int, bytes, bytes]]:
+        """Array, block, places and counts of the cells that are not zero, for each block that has some."""
+        for row, counts in enumerate(self.counts):
+            for block in range(0, self.width, BLOCK_CELLS):
+                at = np.flatnonzero(counts[block : block + BLOCK_CELLS])
+                if len(at):
+                    yield row, block // BLOCK_CELLS, at.astype("<u2").tobytes(), counts[block + at].tobytes()
+
+
+def sketches(profiles: DataFrame, width: int) -> DataFrame:
+    """The arrays of all partitions in blocks: row, block, at, counts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = Sketch(width)
+        for batch in batches:
+            sketch.add(batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+        rows = list(sketch.parts())
+        for low in range(0, len(rows), 256):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(zip(*rows[low : low + 256]), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))],
+                ["row", "block", "at", "counts"])
+
+    return profiles.select("least").mapInArrow(count, "row int, block int, at binary, counts binary")
+
+
+def merged(parts: DataFrame) -> DataFrame:
+    """row, block and one bit for each of its cells: whether the partitions' counts add up to two or more."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for row, block, at, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                total = sums.setdefault((row, block), np.zeros(BLOCK_CELLS, dtype=np.uint8))
+                at = np.frombuffer(at, dtype="<u2")
+                total[at] = np.minimum(total[at].astype(np.int64) + np.frombuffer(counts, dtype=np.uint8), FULL)
+        if sums:
+            yield pa.RecordBatch.from_arrays([
+                pa.array([k[0] for k in sums], pa.int32()), pa.array([k[1] for k in sums], pa.int32()),
+                pa.array([np.packbits(v >= 2, bitorder="little").tobytes() for v in sums.values()], pa.binary())],
+                ["row", "block", "bits"])
+
+    return parts.repartition("row", "block").mapInArrow(add, "row int, block int, bits binary")
+
+
+def estimated_repeated(profiles: DataFrame, width: int | None = None) -> DataFrame:
+    """id, text_key and the representatives whose estimated count is two or more, where there are any."""
+    if width is None:
+        width = sketch_width(profiles.agg(F.sum(F.size("least"))).first()[0] or 0)
+    bits = np.zeros((len(SEEDS), max(width, BLOCK_CELLS) // 8), dtype=np.uint8)
+    for part in merged(sketches(profiles, width)).collect():  # one bit a cell
+        low = part["block"] * BLOCK_CELLS // 8
+        bits[part["row"], low : low + BLOCK_CELLS // 8] = np.frombuffer(part["bits"], dtype=np.uint8)
+    sent = profiles.sparkSession.sparkContext.broadcast(bits)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            listed = batch.column("least")
+            sizes = np.diff(listed.offsets.to_numpy())
+            least = listed.flatten().to_numpy(zero_copy_only=False)
+            often = np.ones(len(least), dtype=bool)
+            for seed, row in zip(SEEDS, sent.value):
+                at = cells(least.view(np.uint64), seed, width)
+                often &= (row[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+            rows = np.repeat(np.arange(len(sizes)), sizes)[often]
+            kept = pa.RecordBatch.from_arrays([
+                batch.column("id"), batch.column("text_key"), _lists(rows, least[often], len(sizes), pa.int64()),
+            ], ["id", "text_key", "least"])
+            yield kept.filter(pa.array(np.bincount(rows, minlength=len(sizes)) > 0))
+
+    return profiles.select("id", "text_key", "least").mapInArrow(
+        keep, "id bigint, text_key bigint, least array<bigint>")
+
+
+def repeated(profiles: DataFrame, width: int | None = None) -> DataFrame:
+    """id and text_key with the representatives that several rows of ``profiles`` have."""
+    left = cut_lineage(estimated_repeated(profiles, width).select(
+        "id", "text_key", F.explode("least").alias("least")), "sketched")
+    many = cut_lineage(left.groupBy("least").count().where("count > 1").select("least"), "grouped")
+    return left.join(many, "least", "left_semi").groupBy("id", "text_key").agg(F.collect_list("least").alias("least"))
 
 
 def cut_passages(docs: DataFrame) -> DataFrame:
@@ -158,7 +255,7 @@ def cut_passages(docs: DataFrame) -> DataFrame:
 
     copies = cut_lineage(profiles.groupBy("checksum").agg(F.min("id").alias("first_id")), "first-of-equals")
     own = profiles.join(copies, "checksum")
-    first = own.where("id = first_id").select("id", "text_key", "least")
+    first = cut_lineage(own.where("id = first_id").select("id", "text_key", "least"), "firsts")
     wanted = cut_lineage(repeated(first), "repeated")
 
     texts = keyed.where("text IS NOT NULL").join(wanted, ["id", "text_key"]).select("id", "text_key", "text", "least")

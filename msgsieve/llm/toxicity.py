@@ -13,6 +13,8 @@
 * A hit between quotation marks counts as quoted; hits near each other and to a second
   person strengthen each other.  A logistic regression over these figures, fitted on a
   bounded sample of labelled rows outside the held-out fold (``MOST_ROWS``), gives the score.
+* The lexicon learns words of ``LEAST_LETTERS`` letters or more, at most ``MOST_TERMS`` terms
+  and as many stems, those that tell most; this bounds the trie that tasks share.
 
 Each different word is looked up once per worker, and only if a part of it equals the
 part of a term that the allowed edits must leave whole.
@@ -40,6 +42,7 @@ from msgsieve.session import cut_lineage
 
 MOST_ROWS = 20_000
 MOST_TERMS = 5_000
+LEAST_LETTERS = 3
 GIVEN_TERMS = ("idiot", "moron", "stupid", "imbecile", "loser", "scumbag", "worthless", "pathetic", "disgusting")
 ONE_EDIT, TWO_EDITS = 5, 9
 STEM_LENGTHS = (4, 5, 6, 7)
@@ -174,8 +177,8 @@ class Finder:
         """The matches of the letter runs in a white-space word, else of the whole word."""
         word = _EDGE.sub("", word.lower())
         runs = [word] if word.isalpha() else letter_runs(word)
-        found = [m for r in runs if len(r) > 2 and (m := self.lexicon.search(r)) is not None]
-        if not found and runs != [word] and len(word) > 2 and (m := self.lexicon.search(word)) is not None:
+        found = [m for r in runs if len(r) >= LEAST_LETTERS and (m := self.lexicon.search(r)) is not None]
+        if not found and runs != [word] and len(word) >= LEAST_LETTERS and (m := self.lexicon.search(word)) is not None:
             found.append(m)  # a mark or digit may stand for a letter
         return found or None
 
@@ -216,7 +219,7 @@ def usage(sample: DataFrame) -> DataFrame:
     places = sample.where("text IS NOT NULL").select(F.xxhash64("text").alias("text_key"), "label", tokens.alias("w")).select(
         "text_key", "label", "w", F.posexplode("w").alias("i", "word"))
     around = F.pmod(F.xxhash64(F.get("w", F.col("i") - 1), F.get("w", F.col("i") + 1)), F.lit(64)).cast("int")
-    used = places.where(F.length("word").between(3, 40)).select(
+    used = places.where(F.length("word") >= LEAST_LETTERS).select(
         "text_key", "label", "word", F.call_function("shiftleft", F.lit(1).cast("bigint"), around).alias("bit"))
     by_text = used.groupBy("word", "text_key").agg(F.max("label").alias("label"), F.bit_or("bit").alias("bits"))
     return by_text.groupBy("word").agg(
@@ -285,13 +288,15 @@ def look_alikes(words: DataFrame, lexicon: Lexicon) -> set[str]:
 
 
 class Weights:
-    """Logistic regression over FEATURES, fitted by Newton steps.
+    """Logistic regression over FEATURES, fitted by Newton steps that are halved until the likelihood rises.
 
     A small penalty pulls towards what is believed before learning, so a figure that no
     labelled document has (quotations, say) keeps its believed weight.
     """
 
     PENALTY = 0.3
+    MOST_STEPS = 200
+    FLAT = 1e-7  # largest slope at the maximum, a labelled row
     BELIEVED = np.array([-3.5, 3.0, -0.5, 0.0, 0.3, 0.3, 0.3])
 
     def __init__(self):
@@ -302,17 +307,28 @@ class Weights:
         return np.hstack([np.ones((len(x), 1)), x])
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Weights:
-        if len(y) and y.min() < y.max():
-            x, beta = self._full(x), self.BELIEVED.copy()
-            ridge = self.PENALTY * np.eye(x.shape[1])
-            for _ in range(30):
-                p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-                step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ (beta - self.BELIEVED))
-                beta = beta + step
-                if np.abs(step).max() < 1e-8:
-                    break
-            self.values = beta
-        return self
+        """The maximum of the penalised likelihood; raises if it is not reached."""
+        if not len(y) or y.min() == y.max():
+            return self
+        x, beta = self._full(x), self.BELIEVED.copy()
+
+        def likelihood(b: np.ndarray) -> float:
+            line = x @ b
+            return float(y @ line - np.logaddexp(0, line).sum() - self.PENALTY / 2 * ((b - self.BELIEVED) ** 2).sum())
+
+        reached = likelihood(beta)
+        for _ in range(self.MOST_STEPS):
+            p = np.exp(-np.logaddexp(0, -(x @ beta)))
+            slope = x.T @ (y - p) - self.PENALTY * (beta - self.BELIEVED)
+            if np.abs(slope).max() < self.FLAT * (1 + len(y)):
+                self.values = beta
+                return self
+            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + self.PENALTY * np.eye(x.shape[1]), slope)
+            part = 1.0  # a whole step can pass the maximum by far where the curve is nearly flat
+            while part > 1e-10 and (now := likelihood(beta + part * step)) < reached + 1e-4 * part * float(slope @ step):
+                part /= 2
+            beta, reached = beta + part * step, max(now, reached)
+        raise RuntimeError(f"no maximum after {self.MOST_STEPS} steps: gradient {np.abs(slope).max():.3g}")
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self._full(x) @ self.values, -30, 30)))

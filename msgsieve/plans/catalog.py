@@ -19,7 +19,9 @@ from msgsieve.functions import text as tx
 from msgsieve.functions import validation
 from msgsieve.functions.evaluation import computed_once
 from msgsieve.functions.replies import faq_topic
-from msgsieve.operators import augment, chat, dedup, evaluate, features, ordered, profile, quality, scoring, split, stats
+from msgsieve.operators import (
+    augment, chat, dedup, evaluate, features, learners, ordered, profile, quality, regression, scoring, split, stats,
+)
 from msgsieve.operators.prepare import add_signals, prepare, signal_values
 from msgsieve.plans import assess, ingest, score, train
 from msgsieve.session import cut_lineage, new_table_path
@@ -930,13 +932,61 @@ def _learning_sets(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
     return train_set, train_set.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_TRAINING_ROWS), val, test
 
 
+def _regression(spark: SparkSession, folder: str) -> tuple[train.RiskModel, DataFrame, str, tuple]:
+    """A regression trained and saved, its run rows, where it was saved, and the learning sets."""
+    sets = _learning_sets(spark, folder)
+    path = new_table_path(spark, "model")
+    model, runs = train.train(spark, sets[0], sets[2], model_path=path, names=("lr",), learn_on=sets[1])
+    return model, runs, path, sets
+
+
+def _three(proba: str = "proba") -> list[Column]:
+    return [r6(F.get(proba, F.lit(k))).alias(name) for k, name in enumerate(fixed.LABELS)]
+
+
 @query
 def logistic_regression_scores(spark, folder):
     """Text features and a regression fitted on the train split, scores of all."""
-    train_set, fit_on, val, test = _learning_sets(spark, folder)
-    model, _ = train.train(spark, train_set, val, names=("lr",), learn_on=fit_on)
+    model, _, _, (train_set, _, val, test) = _regression(spark, folder)
     rows = train_set.unionByName(val).unionByName(test)
-    return model.score(rows).select("doc_id", "split", "label", "prediction", F.transform("proba", r6).alias("proba"))
+    return model.score(rows).select("doc_id", "split", "label", F.col("prediction").cast("int").alias("prediction"), *_three())
+
+
+@query
+def coefficient_scores(spark, folder):
+    """The same scores from the saved coefficients alone: a join and a sparse dot product."""
+    model, _, path, (train_set, _, val, test) = _regression(spark, folder)
+    rows = train_set.unionByName(val).unionByName(test)
+    vectors = features.stored_vectors(model.features.structs(rows).select("doc_id", "features"), "features")
+    coefficients = spark.read.parquet(f"{path}/tables/coefficients")
+    return regression.scores_by_table(vectors, coefficients, "doc_id").select("doc_id", *_three())
+
+
+@query
+def model_coefficients(spark, folder):
+    """The table of coefficients that is saved with a model."""
+    _, _, path, _ = _regression(spark, folder)
+    found = spark.read.parquet(f"{path}/tables/coefficients")
+    return found.select("label_id", "idx", "name", F.round("weight", 4).alias("weight"))
+
+
+@query
+def regression_certificate(spark, folder):
+    """Objective and gradient at the saved coefficients, by joins and sums over the train vectors."""
+    model, _, path, (train_set, fit_on, _, _) = _regression(spark, folder)
+    vectors = features.stored_vectors(model.features.structs(fit_on).select("label", "features"), "features")
+    weighted = learners.with_class_weights(vectors, of=train_set)
+    found = regression.certificate(weighted, spark.read.parquet(f"{path}/tables/coefficients"))
+    return found.select("numbers", r6("objective").alias("objective"), r6("gradient").alias("gradient"))
+
+
+@query
+def regression_runs(spark, folder):
+    """The run rows of a training of the regression: sample counts and validation metrics."""
+    _, runs, _, _ = _regression(spark, folder)
+    metric = {"accuracy": "val_accuracy", "f1_weighted": "val_f1_weighted", "auc_roc": "val_auc_roc"}
+    return runs.select(F.col("run").alias("model"), "train_samples", "val_samples",
+                       *[r6(F.col("metrics")[key]).alias(name) for name, key in metric.items()])
 
 
 @query
@@ -950,9 +1000,7 @@ def vote_training_runs(spark, folder):
 @query
 def test_set_metrics(spark, folder):
     """A regression is trained, saved, loaded and assessed on the test split."""
-    train_set, fit_on, val, test = _learning_sets(spark, folder)
-    path = new_table_path(spark, "model")
-    train.train(spark, train_set, val, model_path=path, names=("lr",), learn_on=fit_on)
+    _, _, path, (_, _, _, test) = _regression(spark, folder)
     found = assess.assess(train.RiskModel.load(path), test)
     return found["metrics"].select("metric", "class", r6("value").alias("value"))
 
@@ -960,7 +1008,5 @@ def test_set_metrics(spark, folder):
 @query
 def decision_records_of_model(spark, folder):
     """Decision records of all documents from a trained model that was saved and loaded."""
-    train_set, fit_on, val, _ = _learning_sets(spark, folder)
-    path = new_table_path(spark, "model")
-    train.train(spark, train_set, val, model_path=path, names=("lr",), learn_on=fit_on)
+    _, _, path, _ = _regression(spark, folder)
     return _flat_records(score.score_messages(messages(spark, folder), train.RiskModel.load(path)))

@@ -112,9 +112,9 @@ REASONS = f"""list_filter([
   CASE WHEN exclamation_count > 2 THEN {q(fixed.REASON_EXCLAMATION)} END], lambda r: r IS NOT NULL)"""
 
 
-def hit_list(label: str) -> str:
+def hit_list(label: str, spam=c.SPAM_WORDS, phishing=c.PHISHING_WORDS) -> str:
     return (
-        f"CASE {label} WHEN 1 THEN {hits(c.SPAM_WORDS)} WHEN 2 THEN {hits(c.PHISHING_WORDS)} "
+        f"CASE {label} WHEN 1 THEN {hits(spam)} WHEN 2 THEN {hits(phishing)} "
         "ELSE CAST([] AS VARCHAR[]) END"
     )
 
@@ -163,7 +163,7 @@ parsed AS (
   FROM (SELECT *, coalesce(l IN ('ham', 'spam', 'phishing') AND conf IS NOT NULL, false) AS ok FROM fields))"""
 
 
-def records(with_answers: bool) -> str:
+def records(with_answers: bool, classified: str = CLASSIFIED, spam=c.SPAM_WORDS, phishing=c.PHISHING_WORDS) -> str:
     """CTEs up to ``rec``: the flat decision records."""
     answers = (
         f", {RESPONSES}, best AS (SELECT * FROM parsed WHERE parse_ok)" if with_answers else ""
@@ -178,13 +178,13 @@ def records(with_answers: bool) -> str:
     def pick(values) -> str:
         return f"({sql_list(values)})[label_id + 1]"
 
-    return f"""{CLASSIFIED}{answers},
+    return f"""{classified}{answers},
 joined AS ({joined}),
 seconds AS (SELECT *, list_position({sql_list(fixed.LABELS)}, s_label) - 1 AS s_id FROM joined),
 decided AS (SELECT *, CAST(CASE WHEN s_label IS NOT NULL AND s_id <> ml_label_id THEN s_id ELSE ml_label_id END AS INTEGER) AS label_id,
   CASE WHEN s_label IS NULL THEN ml_confidence WHEN s_id = ml_label_id THEN round((ml_confidence + s_conf) / 2, 4)
     ELSE round(s_conf, 4) END AS final_confidence FROM seconds),
-worded AS (SELECT *, {hit_list('label_id')} AS hits, {REASONS} AS reasons FROM decided),
+worded AS (SELECT *, {hit_list('label_id', spam, phishing)} AS hits, {REASONS} AS reasons FROM decided),
 rec AS (SELECT message_id, user_id, text, {pick(fixed.LABELS)} AS label, {pick(fixed.LABELS_TH)} AS label_th, label_id,
   round(final_confidence, 4) AS confidence, {pick(fixed.RISK_LEVELS)} AS risk_level, {pick(fixed.RISK_LEVELS_TH)} AS risk_level_th,
   {explanation('label_id')} AS explanation, {RISK_WORDS} AS words,
@@ -253,6 +253,12 @@ r AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY label_id ORDER BY score ROW
 auc AS (SELECT label_id, CAST(sum(pos) AS BIGINT) AS positives, CAST(sum(neg) AS BIGINT) AS negatives,
   sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)) AS auc FROM r GROUP BY label_id)"""
 
+METRIC_ROWS = (
+    " UNION ALL ".join(f"SELECT '{m}' AS metric, CAST(NULL AS VARCHAR) AS class, round({m}, 6) AS value FROM ov" for m in ("accuracy", "precision_weighted", "recall_weighted", "f1_weighted", "f1_macro"))
+    + "".join(f" UNION ALL SELECT '{m}', class, round({m}, 6) FROM pc WHERE support > 0" for m in ("precision", "recall", "f1"))
+    + " UNION ALL SELECT 'auc_roc_weighted', NULL, round(sum(auc * positives) / sum(positives), 6) FROM auc UNION ALL SELECT 'auc_roc_macro', NULL, round(avg(auc), 6) FROM auc"
+)
+
 EVENT_LABEL = "CASE event_type WHEN 'click' THEN 'spam' WHEN 'error' THEN 'phishing' ELSE 'ham' END"
 WINDOWS = f"""SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS period_start, strftime(s + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') AS period_end,
   count(*) AS total_predictions, count(*) FILTER (WHERE label = 'spam') AS spam_count,
@@ -517,10 +523,7 @@ SELECT doc_id, array_to_string(hits, ',') AS hits, array_to_string(reasons, ',')
     + ", support FROM ov",
     "class_metrics": f"WITH {JUDGED}, {CLASS_ROWS} SELECT label_id, class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support, predicted FROM pc",
     "auc_by_class": f"WITH {JUDGED}, {AUC} SELECT label_id, positives, negatives, round(auc, 6) AS auc FROM auc",
-    "metrics_table": f"WITH {JUDGED}, {CLASS_ROWS}, {AUC} "
-    + " UNION ALL ".join(f"SELECT '{m}' AS metric, CAST(NULL AS VARCHAR) AS class, round({m}, 6) AS value FROM ov" for m in ("accuracy", "precision_weighted", "recall_weighted", "f1_weighted", "f1_macro"))
-    + "".join(f" UNION ALL SELECT '{m}', class, round({m}, 6) FROM pc WHERE support > 0" for m in ("precision", "recall", "f1"))
-    + " UNION ALL SELECT 'auc_roc_weighted', NULL, round(sum(auc * positives) / sum(positives), 6) FROM auc UNION ALL SELECT 'auc_roc_macro', NULL, round(avg(auc), 6) FROM auc",
+    "metrics_table": f"WITH {JUDGED}, {CLASS_ROWS}, {AUC} {METRIC_ROWS}",
     "classification_report": f"WITH {JUDGED}, {CLASS_ROWS} SELECT label_id AS position, class AS row, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM pc "
     "UNION ALL SELECT 3, 'accuracy', NULL, NULL, round(accuracy, 6), support FROM ov "
     "UNION ALL SELECT 4, 'macro avg', round(precision_all, 6), round(recall_all, 6), round(f1_all, 6), support FROM ov "

@@ -7,11 +7,12 @@ import time
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 
 import msgsieve
 from msgsieve import fixed_values as fixed
-from msgsieve.operators import evaluate, learners
+from msgsieve.operators import evaluate, learners, regression
 from msgsieve.operators.features import MessageFeatures, MessageFeaturesModel, TfidfSettings, stored_vectors
 from msgsieve.operators.prepare import prepare
 from msgsieve.session import cut_lineage
@@ -32,6 +33,17 @@ class RiskModel:
     def save(self, path: str) -> None:
         self.features.write().overwrite().save(f"{path}/features")
         self.classifier.write().overwrite().save(f"{path}/classifier")
+        for name, table in self.tables().items():
+            table.write.mode("overwrite").parquet(f"{path}/tables/{name}")
+
+    def tables(self) -> dict[str, DataFrame]:
+        """The classifier's numbers as tables, for those who score without this package."""
+        found = {}
+        spark = SparkSession.active()
+        for part in getattr(self.classifier, "parts", [self.classifier]):
+            if isinstance(part, LogisticRegressionModel):
+                found["coefficients"] = regression.coefficient_table(spark, part, self.features.feature_names())
+        return found
 
     @classmethod
     def load(cls, path: str) -> "RiskModel":
@@ -111,7 +123,7 @@ def train(
     weighted = learners.with_class_weights(vectors, of=prepared_train).persist()
     val_vectors = val_vectors.persist()
     makers = {
-        "lr": lambda: learners.logistic_regression(n_train, settings),
+        "lr": lambda: learners.logistic_regression(settings),
         "rf": lambda: learners.random_forest(settings),
         "gb": lambda: learners.boosted_trees(settings),
     }

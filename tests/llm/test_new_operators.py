@@ -15,7 +15,7 @@ from llm_brute import by_id
 from msgsieve.llm import alignment, resampling, url_rules
 from msgsieve.llm.tables import read
 
-ODD = [None, "", " \n\t ", "one", "é ß　x", "a\n\na\na", "w " * 30_000, "w " * 30_000, "\0 b", "▁under", "<|endoftext|> </s> <unk>",
+ODD = [None, "", "日本" * 400, "ÿ́" * 300, " \n\t ", "one", "é ß　x", "a\n\na\na", "w " * 30_000, "w " * 30_000, "\0 b", "▁under", "<|endoftext|> </s> <unk>",
        "日本語のテキスト 🙂🙂", "x" * 60_000, "a  b   c", "ﬁ"]
 
 
@@ -31,7 +31,8 @@ def plain_alignment(aligner, texts):
     found, held = [], Counter()
     for text in texts:
         raw = b" " + (text or "").encode()
-        (a, b), = aligner.encode([text or ""])
+        a = aligner.tokenizer_a.encode(" " + (text or ""), add_special_tokens=False).ids
+        b = aligner.tokenizer_b.encode(text or "")
         ends = []
         for ids, tokens in ((a, aligner.a), (b, aligner.b)):
             total, own = 0, []
@@ -81,16 +82,38 @@ def test_alignment_of_repeated_rows_and_clashing_columns(spark, documents):
     assert sorted((r["doc_id"] or 0, r["count_sum"]) for r in rows) == [(0, 7), (1, 5), (1, 7), (1, 7)]
 
 
-@given(st.text(alphabet="aé ▁\n\t'.1日🙂<|>s", max_size=60))
-@settings(max_examples=80, deadline=None)
+@given(st.text(alphabet=st.characters(max_codepoint=0x24F), max_size=80))
+@settings(max_examples=300, deadline=None)
+def test_latin_texts_have_the_ids_of_the_vocabularys_own_library(text):
+    own = _cached_aligner()
+    assert own.latin_a.encode_ordinary(" " + text) == own.tokenizer_a.encode(" " + text, add_special_tokens=False).ids
+
+
+@given(st.text(alphabet=st.one_of(st.sampled_from("aé  ▁\n\t'.1日🙂<|>s\x1c\u3000\xa0"), st.characters(codec="utf-8")), min_size=1, max_size=60))
+@settings(max_examples=500, deadline=None)
 def test_windows_join_to_all_ids(text):
     own = _cached_aligner()
-    (a, b), = own.encode([text])
-    if text and own.a.join(a) == own.b.join(b) == b" " + text.encode():
-        keys = own.windows(a, b)
-        assert [x for k in keys for x in k[0]] == a and [x for k in keys for x in k[1]] == list(b)
-        assert all(own.a.join(x) == own.b.join(y) for x, y in keys)
-        assert all(own.window(k) == own.align(*k) == own.window(k) for k in keys)
+    a = own.tokenizer_a.encode(" " + text, add_special_tokens=False).ids
+    b = own.tokenizer_b.encode(text)
+    numbers, = own.windows([text])
+    assert (numbers is None) == (own.a.join(a) != b" " + text.encode() or own.b.join(b) != b" " + text.encode())
+    if numbers is not None:
+        windows = list(own.numbers)
+        keys = [windows[n] for n in numbers]
+        assert [x for k in keys for x in k[0]] == a and [x for k in keys for x in k[1]] == b
+        assert all(own.a.join(x) == own.b.join(y) and own.a.spaced[x[0]] and own.b.spaced[y[0]] for x, y in keys)
+        assert [own.known[n] for n in numbers] == [own.align([k])[0] for k in keys]
+
+
+def test_few_windows_are_kept(monkeypatch):
+    own = alignment.Aligner(*alignment.tokenizer_paths())
+    texts = [f"a b{i} c ▁ {i}" if i % 3 else f"d{i} e" for i in range(40)]
+    want = own.documents(texts)
+    monkeypatch.setattr(alignment, "KEPT_WINDOWS", 5)
+    for _ in range(2):
+        got = [figures for low in range(0, 40, 7) for figures in own.documents(texts[low : low + 7])]
+        assert [[str(x) for x in f] for f in got] == [[str(x) for x in f] for f in want]
+        assert len(own.known) == len(own.numbers) <= 5 >= len(set(own.stretches.values()))
 
 
 _aligners = []

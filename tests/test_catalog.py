@@ -3,7 +3,9 @@
 import pytest
 
 import oracle
-from msgsieve.plans import catalog, catalog_sql
+from msgsieve.plans import catalog, catalog_sql, learning_sql
+
+SQL = catalog_sql.SQL | learning_sql.SQL
 
 
 @pytest.fixture(scope="module")
@@ -12,12 +14,12 @@ def con(data):
 
 
 def test_sql_only_for_registered_queries():
-    assert set(catalog_sql.SQL) <= set(catalog.QUERIES)
+    assert set(SQL) <= set(catalog.QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(catalog_sql.SQL))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(name, spark, data, con):
-    assert oracle.compare(spark, con, data, catalog.QUERIES[name], catalog_sql.SQL[name]) == ""
+    assert oracle.compare(spark, con, data, catalog.QUERIES[name], SQL[name]) == ""
 
 
 def test_entry_runs(spark, data):
