@@ -157,8 +157,13 @@ class Aligner:
         return found
 
     def encode_b(self, stretches: list[str]) -> list[Ids | None]:
-        """Ids of B, which puts the first space there itself; None where their bytes are not those of the stretch."""
+        """Ids of B, which puts the first space there itself; None where their bytes are not those of the stretch.
+
+        B has no ids for an empty text, so the space alone that ends a text is named.
+        """
         found = self.tokenizer_b.encode([s[1:] for s in stretches], num_threads=1)
+        if " " in stretches:
+            found[stretches.index(" ")] = [self.tokenizer_b.piece_to_id(SPACE_MARK)]  # stretches are distinct
         join = self.b.join
         if b"".join(map(join, found)) == "".join(stretches).encode() and all(found):
             sizes = [len(s) if s.isascii() else len(s.encode()) for s in stretches]

@@ -5,6 +5,7 @@ import itertools
 import os
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -152,9 +153,23 @@ def test_passages_against_plain_version(spark, documents):
     got = by_id(substrings.cut_passages(documents(*rows).withColumn("id", F.lit(1)).withColumn("text_key", F.lit("x"))),
                 "n_words", "n_removed", "kept_sha256")
     assert got == want
-    narrow = substrings.repeated(spark.createDataFrame(
-        [(1, 0, [1, 2, 3]), (2, 0, [3, 4])], "id bigint, text_key bigint, least array<bigint>"), width=1)
-    assert {(r["id"], len(r["least"])) for r in narrow.collect()} == {(1, 3), (2, 2)}  # a full sketch loses nothing
+
+
+def test_a_narrow_sketch_overestimates_and_loses_nothing(spark):
+    source = random.Random(11)
+    profiles = [(i, i, sorted({source.randrange(4000) for _ in range(20)})) for i in range(100)]
+    table = spark.createDataFrame(profiles, "id bigint, text_key bigint, least array<bigint>").repartition(4)
+    counts = Counter(x for _, _, least in profiles for x in least)
+    exact = {i: {x for x in least if counts[x] > 1} for i, _, least in profiles}
+    passed = []
+    for width in (1, 256, 1 << 20):
+        estimated = {r["id"]: set(r["least"]) for r in substrings.estimated_repeated(table, width).collect()}
+        assert all(own <= estimated.get(i, set()) for i, own in exact.items())
+        passed.append(sum(map(len, estimated.values())))
+        found = {r["id"]: set(r["least"]) for r in substrings.repeated(table, width).collect()}
+        assert found == {i: own for i, own in exact.items() if own}
+    assert passed[0] == sum(counts.values()) >= passed[1] > passed[2] == sum(map(len, exact.values()))
+
 
 
 def test_passages_of_equal_and_missing_ids(spark, documents):
