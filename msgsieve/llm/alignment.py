@@ -31,6 +31,7 @@ document of one chunk; an empty table gives an empty result; other columns are i
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import re
@@ -127,6 +128,7 @@ class Aligner:
             bytes([int(piece(i)[1:-1], 16)]) if b.is_byte(i) else piece(i).replace(SPACE_MARK, " ").encode()
             for i in range(b.get_piece_size())])
         self.stretches: dict[str, int] = {}  # numbers of windows by text, None where bytes are not equal
+        self.recent: list[str] = []  # those that are not yet known to be kept
         self.numbers: dict[Window, int] = {}
         self.known: list[Aligned] = []
 
@@ -180,6 +182,7 @@ class Aligner:
         known, numbers = self.stretches, self.numbers
         new = list({s for stretches in cut for s in stretches if s not in known})
         if new:
+            self.recent += new
             fresh: list[Window] = []
             for stretch, a, b in zip(new, self.encode_a(new), self.encode_b(new)):
                 if a is None or b is None:
@@ -194,12 +197,17 @@ class Aligner:
         return [None if None in windows else windows for windows in found]
 
     def forget(self) -> None:
-        """Keep the windows that came first, frequent ones among them."""
+        """Keep the windows that came first, frequent ones among them; only later ones are touched."""
         if len(self.known) > KEPT_WINDOWS:
             del self.known[KEPT_WINDOWS:]
-            self.numbers = dict(islice(self.numbers.items(), KEPT_WINDOWS))
+            while len(self.numbers) > KEPT_WINDOWS:
+                self.numbers.popitem()  # the last that was added
         if len(self.known) >= KEPT_WINDOWS or len(self.stretches) > 2 * KEPT_WINDOWS:
-            self.stretches = {s: n for s, n in self.stretches.items() if n is not None and n < KEPT_WINDOWS}
+            for stretch in self.recent:
+                number = self.stretches[stretch]
+                if number is None or number >= KEPT_WINDOWS:
+                    del self.stretches[stretch]
+            self.recent = []
 
     def align(self, windows: list[Window]) -> list[Aligned]:
         """Tokens of A and of B, groups as text, their number, and links' id pairs: one by one, or counted in large groups.
@@ -315,19 +323,23 @@ def aligned_chunks(docs: DataFrame, path_a: str, path_b: str, chunk_pairs: int =
         aligner = _worker_aligner(path_a, path_b)
         number = TaskContext.get().partitionId() << 32  # unique in this stage, and equal when a task is repeated
         chunk = Chunk(number)
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            _, offsets = text_bytes(texts)
-            for low, high in blocks(offsets, BLOCK):
-                own = [t or "" for t in texts.slice(low, high - low).to_pylist()]
-                for doc_id, figures in zip(ids[low:high], aligner.documents(own)):
-                    chunk.add(doc_id, figures)
-                    if chunk.size >= chunk_pairs:
-                        yield chunk.batch()
-                        number += 1
-                        chunk = Chunk(number)
-        if chunk.rows:
-            yield chunk.batch()
+        gc.disable()  # windows hold no cycles, and each search for some would pass over all of them
+        try:
+            for batch in batches:
+                ids, texts = batch.column(0).to_pylist(), batch.column(1)
+                _, offsets = text_bytes(texts)
+                for low, high in blocks(offsets, BLOCK):
+                    own = [t or "" for t in texts.slice(low, high - low).to_pylist()]
+                    for doc_id, figures in zip(ids[low:high], aligner.documents(own)):
+                        chunk.add(doc_id, figures)
+                        if chunk.size >= chunk_pairs:
+                            yield chunk.batch()
+                            number += 1
+                            chunk = Chunk(number)
+            if chunk.rows:
+                yield chunk.batch()
+        finally:
+            gc.enable()
         release_memory()
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(chunks, CHUNKS)
