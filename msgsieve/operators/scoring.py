@@ -127,7 +127,15 @@ def decide(
         sure = classified.where(~needs_second_opinion(threshold))
         answers = parsed_responses(responses)
         joined = unsure.join(answers, "message_id", "left").unionByName(sure.select("*", no_answer))
+    return decide_joined(joined, spam_keywords, phishing_keywords)
 
+
+def decide_joined(
+    joined: DataFrame,
+    spam_keywords: Sequence[str] = tuple(fixed.SPAM_KEYWORDS),
+    phishing_keywords: Sequence[str] = tuple(fixed.PHISHING_KEYWORDS),
+) -> DataFrame:
+    """Final record of classified messages with their answer, or null, in ``second``."""
     second_id = lb.label_id(F.col("second.label"))
     agree = second_id == F.col("ml_label_id")
     both = F.round((F.col("ml_confidence") + F.col("second.confidence")) / 2, 4)

@@ -140,9 +140,8 @@ def records(spark: SparkSession, folder: str, answers: DataFrame | None = None)
     return scoring.decide(scored, answers, spam_keywords=SPAM_WORDS, phishing_keywords=PHISHING_WORDS)
 
 
-def second_opinions(spark: SparkSession, folder: str) -> DataFrame:
-    """Answers of many shapes, one per document, derived from its id."""
-    doc = F.col("doc_id")
+def answer_to(doc: Column) -> Column:
+    """An answer of one of many shapes, derived from a document's id."""
     confidence = F.concat(F.lit("0."), F.lpad((doc % 100).cast("string"), 2, "0"))
     name = lb.by_label_id((doc % 3).cast("int"), fixed.LABELS)
     shapes = [
@@ -160,8 +159,14 @@ def second_opinions(spark: SparkSession, folder: str) -> DataFrame:
     response = F.lit(None).cast("string")
     for k, shape in enumerate(shapes):
         response = F.when(doc % len(shapes) == k, shape).otherwise(response)
+    return response
+
+
+def second_opinions(spark: SparkSession, folder: str) -> DataFrame:
+    """One answer per document."""
+    doc = F.col("doc_id")
     return table(spark, folder, "documents", "doc_id").select(
-        doc.cast("string").alias("message_id"), response.alias("response")
+        doc.cast("string").alias("message_id"), answer_to(doc).alias("response")
     )
 
 
@@ -869,6 +874,41 @@ def stream_scoring(spark, folder):
     )
 
 
+def _sent_at(doc: Column) -> Column:
+    return F.timestamp_seconds(F.lit(1_700_000_000) + doc)
+
+
+@query
+def stream_arbitration(spark, folder):
+    """Unsure messages wait an hour for answers that take up to two; later ones do not count.
+
+    One row with a far later time at the end of each stream closes all that waits.
+    """
+    out = new_table_path(spark, "stream-arbitration")
+    doc = F.col("doc_id")
+    took = F.make_dt_interval(mins=(doc % 7).cast("int") * 20)
+    sent = _table_stream(spark, folder, "documents", "doc_id", "text").select(
+        doc.cast("string").alias("message_id"), "text", _sent_at(doc).alias("created_at")
+    )
+    answered = _table_stream(spark, folder, "documents", "doc_id").select(
+        doc.cast("string").alias("message_id"), answer_to(doc).alias("response"), (_sent_at(doc) + took).alias("answered_at")
+    )
+    far = F.lit("2200-01-01").cast("timestamp")
+    valid = F.lit('{"label": "ham", "confidence": 1}')
+    end = spark.range(1).select(F.lit("end").alias("message_id"), F.lit("").alias("text"), far.alias("created_at"), valid.alias("response"), far.alias("answered_at"))
+    end.write.parquet(f"{out}/end")
+    last = jobs.file_stream(spark, f"{out}/end", end.schema)
+    scorer = linear_scorer(moments_of(add_signals(documents(spark, folder, "doc_id", "text"))))
+    jobs.run_available(
+        jobs.arbitrate_stream(
+            sent.unionByName(last.select(*sent.columns)), answered.unionByName(last.select(*answered.columns)),
+            scorer, out, f"{out}/checkpoint", spam_keywords=SPAM_WORDS, phishing_keywords=PHISHING_WORDS,
+        )
+    )
+    found = spark.read.parquet(f"{out}/records/job=*/batch=*")
+    return _flat_records(found.where(F.col("message_id") != "end"))
+
+
 @query
 def stream_feedback(spark, folder):
     """Feedback checked and logged as a stream, in several batches."""

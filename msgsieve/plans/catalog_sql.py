@@ -163,10 +163,12 @@ parsed AS (
   FROM (SELECT *, coalesce(l IN ('ham', 'spam', 'phishing') AND conf IS NOT NULL, false) AS ok FROM fields))"""
 
 
-def records(with_answers: bool, classified: str = CLASSIFIED, spam=c.SPAM_WORDS, phishing=c.PHISHING_WORDS) -> str:
-    """CTEs up to ``rec``: the flat decision records."""
+def records(
+    with_answers: bool, classified: str = CLASSIFIED, spam=c.SPAM_WORDS, phishing=c.PHISHING_WORDS, counts: str = "parse_ok"
+) -> str:
+    """CTEs up to ``rec``: the flat decision records, with the answers that count."""
     answers = (
-        f", {RESPONSES}, best AS (SELECT * FROM parsed WHERE parse_ok)" if with_answers else ""
+        f", {RESPONSES}, best AS (SELECT * FROM parsed WHERE {counts})" if with_answers else ""
     )
     joined = (
         "SELECT cls.*, best.label AS s_label, best.confidence AS s_conf, best.reason AS s_reason FROM cls "
@@ -512,6 +514,7 @@ SELECT doc_id, round(p0, 6) AS ham, round(p1, 6) AS spam, round(p2, 6) AS phishi
     "second_opinion_requests": f"WITH {CLASSIFIED} SELECT message_id, md5({q(fixed.SECOND_OPINION_PROMPT)}) AS system_md5, md5('ข้อความ: \"' || text || '\"') AS user_md5, round(ml_confidence, 6) AS ml_confidence FROM cls WHERE ml_confidence < 0.8",
     "parsed_responses": f"WITH {RESPONSES} SELECT message_id, parse_ok, label, confidence, reason FROM parsed",
     "arbitrated_records": f"WITH {records(True)} {FLAT}",
+    "stream_arbitration": f"WITH {records(True, counts='parse_ok AND CAST(message_id AS BIGINT) % 7 <= 3')} {FLAT}",
     "explanations": f"""WITH s AS (SELECT doc_id, text, label, {signal_list()} FROM documents JOIN (SELECT doc_id, {CLASS} AS label FROM labels) USING (doc_id)),
 w AS (SELECT *, {hit_list('label')} AS hits, {REASONS} AS reasons FROM s)
 SELECT doc_id, array_to_string(hits, ',') AS hits, array_to_string(reasons, ',') AS reasons, {explanation('label')} AS explanation,

@@ -17,7 +17,7 @@ def text_events(bodies: DataFrame, body: str = "body", keep: tuple[str, ...] = (
     parsed = F.from_json(F.col(body), schemas.WEBHOOK_BODY)
     event = F.col("event")
     return (
-        bodies.select(*keep, F.posexplode(parsed["events"]).alias("position", "event"))
+        bodies.select(*keep, F.md5(body).alias("_body_md5"), F.posexplode(parsed["events"]).alias("position", "event"))
         .where((event["type"] == "message") & (event["message"]["type"] == "text"))
         .select(
             *keep,
@@ -25,11 +25,16 @@ def text_events(bodies: DataFrame, body: str = "body", keep: tuple[str, ...] = (
             event["replyToken"].alias("reply_token"),
             event["source"]["userId"].alias("user_id"),
             event["message"]["text"].alias("text"),
+            event_id(event, F.col("position"), F.col("_body_md5")).alias("message_id"),
         )
-        .withColumn("message_id", event_id())
     )
 
 
-def event_id() -> Column:
-    """Id of an event by its content, so a redelivered event keeps its id."""
-    return stable_id(F.col("reply_token"), F.col("user_id"), F.col("text"))
+def event_id(event: Column, position: Column, body_md5: Column) -> Column:
+    """Id of an event, so a redelivered event keeps its id.
+
+    The reply token tells events apart; without one the place in the body does.
+    """
+    token, user, text = event["replyToken"], event["source"]["userId"], event["message"]["text"]
+    place = F.concat_ws("-", body_md5, position)
+    return F.when(token.isNotNull(), stable_id(token, user, text)).otherwise(stable_id(place, user, text))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import logging
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -18,7 +18,9 @@ from pyspark.sql.types import StructType
 
 from msgsieve import fixed_values as fixed
 from msgsieve.functions import validation
-from msgsieve.operators import stats
+from msgsieve.functions.evaluation import computed_once
+from msgsieve.functions.responses import parse_response
+from msgsieve.operators import scoring, stats
 from msgsieve.plans import score as scoring_job
 from msgsieve.sources import logs
 from msgsieve.sources.webhooks import text_events
@@ -53,9 +55,9 @@ def drop_redelivered(events: DataFrame, time_column: str, late: str = "1 hour",
 def first_deliveries(requests: DataFrame, time_column: str | None, late: str, key: str = "message_id") -> DataFrame:
     """Drop redelivered rows by ``time_column``, or by arrival when there is none.
 
-    Rows without a key are told apart by their text.
+    Nothing tells whether rows without a key were delivered before, so all of them stay.
     """
-    keyed = requests.withColumn("_delivery", F.coalesce(F.col(key), F.concat(F.lit("text:"), F.md5("text")), F.lit("")))
+    keyed = requests.withColumn("_delivery", F.coalesce(F.concat(F.lit("key:"), F.col(key)), F.expr("uuid()")))
     if time_column is not None:
         return drop_redelivered(keyed, time_column, late, "_delivery").drop("_delivery")
     arrived = keyed.withColumn("_arrived", F.current_timestamp())
@@ -115,6 +117,89 @@ def score_stream(
     return _each_batch(first_deliveries(requests, created_at, late), checkpoint, handle)
 
 
+def arbitrated(
+    classified: DataFrame,
+    answers: DataFrame,
+    created_at: str,
+    answered_at: str,
+    wait: str = "1 hour",
+    threshold: float = scoring.DEFAULT_THRESHOLD,
+    spam_keywords: Sequence[str] = tuple(fixed.SPAM_KEYWORDS),
+    phishing_keywords: Sequence[str] = tuple(fixed.PHISHING_KEYWORDS),
+) -> DataFrame:
+    """Decision records of a stream of classified messages and one of second opinions.
+
+    A message below the threshold waits for an answer that is given from its own time
+    until ``wait`` later.  The first valid answer to arrive counts.  When both streams'
+    watermarks have passed that time the message is decided without one.  Confident
+    messages, and those without an id or a time, leave at once and keep no state: the
+    join's condition on them needs no answer, and their key spreads them over the tasks.
+    Answers without a message or a time, and those that do not parse, are ignored.
+
+    ``classified`` has a watermark on ``created_at``.  State is bounded by ``wait`` and
+    the messages' watermark.
+    """
+    waits = (
+        scoring.needs_second_opinion(threshold) & F.col("message_id").isNotNull() & F.col(created_at).isNotNull()
+    )
+    asking = classified.withColumns(
+        {
+            "_waits": F.coalesce(waits, F.lit(False)),
+            "_question": F.when(waits, F.col("message_id")).otherwise(F.md5(F.coalesce("text", F.lit("")))),
+        }
+    )
+    timed = answers.withWatermark(answered_at, wait)
+    parsed = computed_once(
+        timed.select("message_id", F.col(answered_at).alias("_answered_at"), "response"),
+        {"second": parse_response(F.col("response"))},
+    )
+    usable = parsed.where(F.col("message_id").isNotNull() & F.col("_answered_at").isNotNull() & F.col("second.parse_ok"))
+    # An answer that may still meet its message has all earlier ones in state: the watermark trails by ``wait``.
+    first = usable.dropDuplicatesWithinWatermark(["message_id"]).select(
+        F.col("message_id").alias("_answers"),
+        "_answered_at",
+        F.struct("second.label", "second.confidence", "second.reason").alias("second"),
+    )
+    in_time = (F.col("_answered_at") >= F.col(created_at)) & (
+        F.col("_answered_at") <= F.col(created_at) + F.expr(f"INTERVAL {wait}")
+    )
+    joined = asking.join(first, (F.col("_question") == F.col("_answers")) & F.col("_waits") & in_time, "left_outer")
+    kept = joined.drop("_waits", "_question", "_answers", "_answered_at")
+    return scoring.decide_joined(kept, spam_keywords, phishing_keywords)
+
+
+def arbitrate_stream(
+    messages: DataFrame,
+    answers: DataFrame,
+    scorer,
+    output: str,
+    checkpoint: str,
+    created_at: str = "created_at",
+    answered_at: str = "answered_at",
+    wait: str = "1 hour",
+    **options,
+) -> DataStreamWriter:
+    """Score messages as they come and log their records once they are decided.
+
+    Messages delivered again within ``wait`` are dropped.  Writes ``records`` and, as
+    score_stream does, ``predictions`` under ``output``.  ``options`` go to arbitrated.
+    """
+    once = first_deliveries(messages, created_at, wait)
+    classified = scoring_job.classify_messages(once, scorer)
+    records = arbitrated(classified, answers, created_at, answered_at, wait, **options)
+
+    def handle(batch: DataFrame, job: str, batch_id: int) -> None:
+        decided = batch.persist()  # reading a batch again would run its joins again
+        try:
+            when = F.col("created_at") if "created_at" in decided.columns else None
+            logs.append_batch(decided, f"{output}/records", job, batch_id, day=None)
+            logs.append_batch(logs.prediction_log(decided, when), f"{output}/predictions", job, batch_id)
+        finally:
+            decided.unpersist()
+
+    return _each_batch(records, checkpoint, handle)
+
+
 def webhook_stream(
     bodies: DataFrame, scorer, output: str, checkpoint: str, body: str = "body", late: str = "1 hour"
 ) -> DataStreamWriter:

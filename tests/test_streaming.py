@@ -9,6 +9,7 @@ from msgsieve import fixed_values as fixed
 from msgsieve.operators import stats
 from msgsieve.plans import catalog, score
 from msgsieve.sources import logs, schemas
+from msgsieve.sources.webhooks import text_events
 from msgsieve.streaming import jobs
 
 
@@ -175,3 +176,79 @@ def test_streams_of_tables_in_several_files(name, spark, data, tmp_path):
         spark.read.parquet(f"{data}/{table}.parquet").repartition(3).write.parquet(f"{tmp_path}/{table}.parquet")
     want = sorted(map(str, catalog.QUERIES[name](spark, data).collect()))
     assert want and sorted(map(str, catalog.QUERIES[name](spark, str(tmp_path)).collect())) == want
+
+
+def unsure_when_it_asks(df):
+    unsure = F.contains("text", F.lit("?"))
+    return df.withColumn(
+        "proba",
+        F.when(unsure, F.array(F.lit(0.3), F.lit(0.6), F.lit(0.1))).otherwise(F.array(F.lit(0.9), F.lit(0.05), F.lit(0.05))),
+    )
+
+
+def _answer(label, confidence=0.9):
+    return json.dumps({"label": label, "confidence": confidence, "reason": label})
+
+
+def test_arbitration_stream_waits_for_answers(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    message = "message_id string, text string, user_id string, minute long"
+    answer = "message_id string, response string, minute long"
+
+    def arrive(kind, rows, schema, column):
+        found = spark.createDataFrame(rows, schema).withColumn(
+            column, F.timestamp_seconds(F.lit(1_700_000_000) + F.col("minute") * 60))
+        found.drop("minute").coalesce(1).write.mode("append").parquet(f"{source}/{kind}")
+        return found.drop("minute").schema
+
+    def step():
+        messages = jobs.file_stream(spark, f"{source}/messages", sent)
+        answers = jobs.file_stream(spark, f"{source}/answers", told)
+        jobs.run_available(jobs.arbitrate_stream(messages, answers, unsure_when_it_asks, out, f"{out}/cp"))
+        rows = spark.read.parquet(f"{out}/records/job=*/batch=*").collect()
+        assert logs.scan_predictions(spark, f"{out}/predictions").count() == len(rows)
+        return rows
+
+    sent = arrive("messages", [
+        ("sure", "hello", "u", 0), ("agree", "a?", "u", 0), ("differ", "b?", "u", 0), ("late", "c?", "u", 0),
+        ("missing", "d?", "u", 0), ("early", "e?", "u", 30), ("broken", "f?", "u", 0), ("twice", "g?", "u", 0),
+        ("edge", "h?", "u", 0), ("agree", "a?", "u", 0), (None, "i?", "u", 0), (None, "i?", "v", 0), (None, None, None, None),
+    ], message, "created_at")
+    told = arrive("answers", [("sure", _answer("spam"), 1)], answer, "answered_at")
+    first = step()  # confident messages and those that cannot ask leave at once
+    assert sorted((r["message_id"] or "", r["label"]) for r in first) == [("", "ham"), ("", "spam"), ("", "spam"), ("sure", "ham")]
+    arrive("answers", [
+        ("agree", _answer("spam"), 5), ("differ", _answer("phishing"), 5), ("late", _answer("ham"), 61), ("early", _answer("ham"), 29),
+        ("broken", "no answer", 5), ("twice", _answer("ham"), 5), ("edge", _answer("ham"), 60), ("nobody", _answer("ham"), 5),
+        (None, _answer("ham"), 5), ("missing", _answer("ham"), None),
+    ], answer, "answered_at")
+    step()
+    arrive("answers", [("twice", _answer("phishing"), 55), ("broken", _answer("phishing"), 58)], answer, "answered_at")
+    answered = {r["message_id"]: (r["label"], r["confidence"], r["confidence_source"]) for r in step() if r["message_id"]}
+    assert answered == {
+        "sure": ("ham", 0.9, "ml"), "agree": ("spam", 0.75, "hybrid"), "differ": ("phishing", 0.9, "hybrid"),
+        "twice": ("ham", 0.9, "hybrid"), "edge": ("ham", 0.9, "hybrid"), "broken": ("phishing", 0.9, "hybrid"),
+    }
+    arrive("messages", [("end", "hello", "u", 1000)], message, "created_at")
+    arrive("answers", [("end", _answer("ham"), 1000)], answer, "answered_at")
+    step()
+    rows = step()
+    final = {r["message_id"]: (r["label"], r["confidence_source"]) for r in rows if r["message_id"]}
+    assert len(rows) == 13 - 1 + 1  # one redelivered, one to end the wait
+    assert {k: final[k] for k in ("late", "missing", "early")} == dict.fromkeys(("late", "missing", "early"), ("spam", "ml"))
+
+
+def test_requests_without_an_id_are_all_kept(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = [(None, "free", "u1"), (None, "free", "u2"), (None, "free", "u2"), ("a", "free", "u1"), ("a", "free", "u1")]
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in ("message_id", "text", "user_id")])
+    spark.createDataFrame(rows, schema).write.parquet(source)
+    jobs.run_available(jobs.score_stream(jobs.file_stream(spark, source, schema), risky_when_it_says_free, out, f"{out}/cp"))
+    assert logs.scan_predictions(spark, f"{out}/predictions").count() == 4
+
+
+def test_events_without_a_token_have_ids_of_their_own(spark):
+    twin = _event(None, "free")
+    bodies = [(_body(twin, twin),), (_body(_event("t", "free")),), (_body(_event("t", "free")),), (_body(twin, twin),)]
+    ids = [r["message_id"] for r in text_events(spark.createDataFrame(bodies, "body string")).collect()]
+    assert len(ids) == 6 and len(set(ids)) == 3  # the same body again is the same events
