@@ -180,10 +180,9 @@ def judged(spark: SparkSession, folder: str) -> DataFrame:
 
 def event_predictions(spark: SparkSession, folder: str) -> DataFrame:
     """Events read as a prediction log."""
-    label = F.when(F.col("event_type") == "click", "spam").when(F.col("event_type") == "error", "phishing").otherwise("ham")
     return table(spark, folder, "events", "event_id", "ts", "user_id", "event_type").select(
         F.col("event_id").cast("string").alias("id"),
-        label.alias("label"),
+        _event_label().alias("label"),
         F.col("user_id").cast("string").alias("user_id"),
         F.col("ts").alias("created_at"),
     )
@@ -933,13 +932,26 @@ def stream_webhook(spark, folder):
     return spark.read.parquet(f"{out}/replies/job=*/batch=*").select("reply_token", "user_id", "reply")
 
 
+def _event_label() -> Column:
+    return F.when(F.col("event_type") == "click", "spam").when(F.col("event_type") == "error", "phishing").otherwise("ham")
+
+
+@query
+def stream_user_counters(spark, folder):
+    """Running totals per user of the events, read back after the stream has stopped."""
+    out = new_table_path(spark, "stream-counters")
+    stream = _table_stream(spark, folder, "events", "user_id", "event_type")
+    predictions = stream.select(F.col("user_id").cast("string").alias("user_id"), _event_label().alias("label"))
+    jobs.run_available(jobs.user_counter_stream(predictions, out, f"{out}/checkpoint"))
+    return jobs.latest_counters(spark, out)
+
+
 @query
 def stream_windowed_stats(spark, folder):
     """Periods that the watermark has closed at the end of the events."""
     out = new_table_path(spark, "stream-stats")
     stream = _table_stream(spark, folder, "events", "event_id", "ts", "user_id", "event_type")
-    label = F.when(F.col("event_type") == "click", "spam").when(F.col("event_type") == "error", "phishing").otherwise("ham")
-    predictions = stream.select(label.alias("label"), F.col("ts").cast("timestamp").alias("created_at"))
+    predictions = stream.select(_event_label().alias("label"), F.col("ts").cast("timestamp").alias("created_at"))
     jobs.run_available(jobs.stats_stream(predictions, f"{out}/rows", f"{out}/checkpoint", "6 hours", "10 minutes"))
     return _text_windows(spark.read.parquet(f"{out}/rows"))
 

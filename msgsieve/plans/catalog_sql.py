@@ -439,6 +439,8 @@ f AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY pr, o) AS rn,
   substr(sha256(source || chr(31) || o), 1, 32) AS message_id FROM u WHERE text IS NOT NULL)
 SELECT message_id, text, CAST(label AS INTEGER) AS label, label_name, source, {STABLE_DATE} AS created_at FROM f WHERE rn = 1"""
 
+USER_COUNTERS = f"SELECT CAST(user_id AS VARCHAR) AS user_id, count(*) AS total_checked, count(*) FILTER (WHERE {EVENT_LABEL} <> 'ham') AS flagged FROM events GROUP BY user_id"
+
 SQL: dict[str, str] = {
     "signals": f"SELECT doc_id, {signal_list(digits=6)} FROM documents",
     "clean_text": f"SELECT doc_id, {clean_sql()} AS text_clean, md5({clean_sql(url=' ', phone=' ')}) AS without_marks FROM documents",
@@ -548,7 +550,8 @@ SELECT doc_id, reasons, md5(CASE WHEN reasons = '' THEN regexp_replace(text, {q(
     "prediction_stats": f"""WITH {FEEDBACK}, t AS (SELECT count(*) AS n, count(*) FILTER (WHERE ml_label_id = 1) AS s, count(*) FILTER (WHERE ml_label_id = 2) AS p, count(*) FILTER (WHERE ml_label_id = 0) AS h FROM cls)
 SELECT n AS total_predictions, s AS spam_count, p AS phishing_count, h AS ham_count, round(s / n, 4) AS spam_rate, round(p / n, 4) AS phishing_rate,
   (SELECT count(*) FROM fb WHERE predicted_label <> actual_label) AS feedback_count FROM t""",
-    "user_counters": f"SELECT CAST(user_id AS VARCHAR) AS user_id, count(*) AS total_checked, count(*) FILTER (WHERE {EVENT_LABEL} <> 'ham') AS flagged FROM events GROUP BY user_id",
+    "user_counters": USER_COUNTERS,
+    "stream_user_counters": USER_COUNTERS,
     "windowed_stats": WINDOWS + " GROUP BY s",
     "stream_windowed_stats": WINDOWS + " GROUP BY s HAVING s + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE",
     "model_info": f"""WITH {LANG_RUNS} SELECT true AS model_loaded, lang AS model_name, '1.0.0' AS version,

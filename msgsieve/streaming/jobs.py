@@ -263,6 +263,29 @@ def stats_stream(
     )
 
 
+def user_counter_stream(
+    predictions: DataFrame, output: str, checkpoint: str, user: str = "user_id"
+) -> DataStreamWriter:
+    """All-time totals per user as predictions come; the checkpoint carries them over restarts.
+
+    A batch writes the users it changed, with their totals so far.  State is one row per
+    user, spread by user; tasks combine before the shuffle.
+    """
+
+    def handle(batch: DataFrame, job: str, batch_id: int) -> None:
+        logs.append_batch(batch, f"{output}/counters", job, batch_id, day=None)
+
+    return _each_batch(stats.user_counters(predictions, user), checkpoint, handle).outputMode("update")
+
+
+def latest_counters(spark: SparkSession, output: str, user: str = "user_id") -> DataFrame:
+    """Current totals per user: totals never fall, so a job's latest are its largest; jobs add up."""
+    written = spark.read.option("basePath", f"{output}/counters").parquet(f"{output}/counters/job=*/batch=*")
+    totals = ("total_checked", "flagged")
+    of_job = written.groupBy(user, "job").agg(*[F.max(n).alias(n) for n in totals])
+    return of_job.groupBy(user).agg(*[F.sum(n).alias(n) for n in totals])
+
+
 def run_available(writer: DataStreamWriter) -> None:
     """Process everything that has arrived, then stop."""
     writer.trigger(availableNow=True).start().awaitTermination()

@@ -252,3 +252,20 @@ def test_events_without_a_token_have_ids_of_their_own(spark):
     bodies = [(_body(twin, twin),), (_body(_event("t", "free")),), (_body(_event("t", "free")),), (_body(twin, twin),)]
     ids = [r["message_id"] for r in text_events(spark.createDataFrame(bodies, "body string")).collect()]
     assert len(ids) == 6 and len(set(ids)) == 3  # the same body again is the same events
+
+
+def test_user_counters_go_on_after_a_restart(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "user_id string, label string"
+    batches = [[("a", "spam"), ("a", "ham"), ("b", "phishing"), (None, "ham")], [("a", "phishing"), ("c", "ham"), ("a", None)]]
+    for rows in batches:
+        found = spark.createDataFrame(rows, schema)
+        found.coalesce(1).write.mode("append").parquet(source)
+        jobs.run_available(jobs.user_counter_stream(jobs.file_stream(spark, source, found.schema), out, f"{out}/cp"))
+        whole = stats.user_counters(spark.read.parquet(source)).collect()
+        assert sorted(map(str, jobs.latest_counters(spark, out).collect())) == sorted(map(str, whole))
+    changed = spark.read.parquet(f"{out}/counters/job=*/batch=1")
+    assert {r["user_id"] for r in changed.collect()} == {"a", "c"}  # only the users of that batch
+    jobs.run_available(jobs.user_counter_stream(jobs.file_stream(spark, source, found.schema), out, f"{out}/other"))
+    twice = {r["user_id"]: r["total_checked"] for r in jobs.latest_counters(spark, out).collect()}
+    assert twice == {"a": 8, "b": 2, "c": 2, None: 2}  # another job's totals are added
