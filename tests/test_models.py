@@ -6,10 +6,11 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from msgsieve import fixed_values as fixed
-from msgsieve.operators import features, learners, stats
+from msgsieve.operators import features, learners, regression, stats
 from msgsieve.operators.augment import generate_corpus
 from msgsieve.operators.prepare import prepare
 from msgsieve.operators.split import split_by_hash, split_exact
@@ -242,3 +243,40 @@ def test_features_come_from_the_whole_train_split(spark, data, monkeypatch):
     assert rows.count() > 20 and {r["train_samples"] for r in runs.collect()} == {20}
     assert model.features.fitted.terms == whole.terms and model.features.fitted.idf == pytest.approx(whole.idf)
     assert model.features.fitted.means == pytest.approx(whole.means)
+
+
+def test_rows_for_learners_are_chosen_by_id_alone(spark):
+    """Texts do not go through the sort; copies of the last id fill what room there is."""
+    ids = spark.range(200).selectExpr("id % 90 as doc_id", "id", "repeat('x', 9) as text").repartition(7)
+    for most in (1, 57, 200, 500):
+        found = catalog._first_by_hash(ids, most)
+        ordered = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        assert sorted(r[0] for r in found.select("doc_id").collect()) == sorted(r[0] for r in ordered.select("doc_id").collect())
+        assert found.select("id").distinct().count() == min(most, 200)
+        assert "TakeOrderedAndProject" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_passes_on_an_uneven_objective():
+    scale = np.geomspace(1, 1e4, 120)
+    passes = []
+
+    def value(point):
+        passes.append(point)
+        return float((scale * point * point).sum()) / 2, scale * point
+
+    point, lengths = regression.minimise(value, np.ones(120), 1e-8, 1000)
+    assert lengths[-1] <= 1e-8 and np.abs(point).max() < 1e-8
+    assert len(passes) < 800
+
+
+def test_passes_use_all_cores(spark, monkeypatch):
+    parts, made = [], regression.Sums.__init__
+
+    def noted(self, rows, width, classes):
+        made(self, rows, width, classes)
+        parts.append(self.parts)
+
+    monkeypatch.setattr(regression.Sums, "__init__", noted)
+    rows = [(k % 3, 1.0, Vectors.sparse(4, [k % 4], [1.0])) for k in range(60)]
+    regression.SoftmaxRegression().fit(spark.createDataFrame(rows, ["label", "weight", "features"]).coalesce(1))
+    assert parts == [spark.sparkContext.defaultParallelism]
