@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -280,3 +281,27 @@ def test_passes_use_all_cores(spark, monkeypatch):
     rows = [(k % 3, 1.0, Vectors.sparse(4, [k % 4], [1.0])) for k in range(60)]
     regression.SoftmaxRegression().fit(spark.createDataFrame(rows, ["label", "weight", "features"]).coalesce(1))
     assert parts == [spark.sparkContext.defaultParallelism]
+
+
+@pytest.mark.parametrize("ngrams", [(1, 1), (1, 2), (2, 2), (2, 3)])
+def test_terms_are_counted_by_chunks(spark, monkeypatch, ngrams):
+    """Chunk limits and long messages change no count; no n-gram crosses from one message into the next."""
+    texts = ["b a b a", "", None, "a b", "c a b a b a b c", "x", "é a b ß"]
+    df, ctf = Counter(), Counter()
+    for text in texts:
+        t = (text or "").split()
+        terms = [" ".join(t[i : i + n]) for n in range(ngrams[0], ngrams[1] + 1) for i in range(len(t) - n + 1)]
+        ctf.update(terms)
+        df.update(set(terms))
+    table = pa.table({"tokens": [(t or "").split() for t in texts]}).combine_chunks().to_batches()[0]
+    for most in (1, 5, 100):
+        monkeypatch.setattr(features, "TOKENS_AT_ONCE", most)
+        found = [r for words, row in features._token_chunks(table) for b in features._counted(words, row, ngrams) for r in b.to_pylist()]
+        for name, right in (("df", df), ("ctf", ctf)):
+            total = Counter()
+            for r in found:
+                total[r["term"]] += r[name]
+            assert total == right
+    docs = spark.createDataFrame([(t,) for t in texts], "text_clean string")
+    rows = features.term_statistics(docs, features.TfidfSettings(ngram_range=ngrams)).collect()
+    assert {r["term"]: (r["df"], r["ctf"]) for r in rows} == {t: (df[t], ctf[t]) for t in ctf}
