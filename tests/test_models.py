@@ -283,6 +283,26 @@ def test_passes_use_all_cores(spark, monkeypatch):
     assert parts == [spark.sparkContext.defaultParallelism]
 
 
+def test_passes_are_one_job_of_a_task_per_core(spark, monkeypatch):
+    """Many small files make no more tasks than cores; large tables are cut into parts of bounded size."""
+    parts, made = [], regression.Sums.__init__
+
+    def noted(self, rows, width, classes):
+        made(self, rows, width, classes)
+        parts.append(self.parts)
+
+    monkeypatch.setattr(regression.Sums, "__init__", noted)
+    rows = [(k % 3, 1.0, Vectors.sparse(4, [k % 4], [1.0]) if k % 2 else Vectors.dense(1, 0, k % 5, 2)) for k in range(60)]
+    table = spark.createDataFrame(rows, ["label", "weight", "features"]).repartition(50)
+    one = regression.SoftmaxRegression().fit(table)
+    monkeypatch.setattr(regression, "PART_BYTES", 150)
+    monkeypatch.setattr(regression, "PARTS_AT_ONCE", 4)
+    other = regression.SoftmaxRegression().fit(table)
+    cells = 30 + 4 * 30
+    assert parts == [spark.sparkContext.defaultParallelism, 12 * cells // 150]
+    assert np.allclose(one.coefficientMatrix.toArray(), other.coefficientMatrix.toArray(), atol=1e-7)
+
+
 @pytest.mark.parametrize("ngrams", [(1, 1), (1, 2), (2, 2), (2, 3)])
 def test_terms_are_counted_by_chunks(spark, monkeypatch, ngrams):
     """Chunk limits and long messages change no count; no n-gram crosses from one message into the next."""
