@@ -270,6 +270,53 @@ def test_few_passes_on_an_uneven_objective():
     assert len(passes) < 800
 
 
+def test_few_passes_when_some_columns_are_heavy(spark, monkeypatch):
+    """Two signals that go together and outweigh all terms do not lengthen the way; the end is the same."""
+    passes, real = [], regression.Sums.__call__
+    monkeypatch.setattr(regression.Sums, "__call__", lambda self, flat: passes.append(1) or real(self, flat))
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(400):
+        at = np.sort(rng.choice(40, 6, replace=False))
+        signal = rng.normal(0, 30)
+        values = [*rng.random(6), signal, signal + rng.normal()]
+        rows.append((int(rng.integers(3)) if k % 3 else int(at[0] % 3), 1.0 + k % 2, Vectors.sparse(42, [*at.tolist(), 40, 41], values)))
+    table = spark.createDataFrame(rows, ["label", "weight", "features"])
+    found = regression.SoftmaxRegression().fit(table).coefficientMatrix.toArray()
+    some = len(passes)
+    monkeypatch.setattr(regression, "flattened", lambda sums, c: None)
+    without = regression.SoftmaxRegression().fit(table).coefficientMatrix.toArray()
+    assert np.allclose(found, without, atol=1e-7)
+    assert 2 * some < len(passes) - some, (some, len(passes))
+
+
+def test_curvature_is_the_change_of_the_gradient():
+    rng = np.random.default_rng(6)
+    at = [np.sort(rng.choice(5, 3, replace=False)) for _ in range(20)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(rng.integers(3, size=20)), pa.array(rng.random(20)), pa.array(at, pa.list_(pa.int32())),
+         pa.array(list(rng.normal(size=(20, 3))), pa.list_(pa.float64()))], ["label", "weight", "at", "x"])
+    params, heavy = rng.normal(size=(6, 3)), np.array([1, 3, 5])
+    alone, together = regression.batch_curvature(batch, params, heavy)
+    for j in range(6):
+        for k in range(3):
+            moved = params.copy()
+            moved[j, k] += 1e-6
+            change = (regression.batch_sums(batch, moved)[1] - regression.batch_sums(batch, params)[1]) / 1e-6
+            assert alone[k, :, j] == pytest.approx(change[:, j], abs=1e-4)
+            if j in heavy:
+                assert together[k, heavy.tolist().index(j)] == pytest.approx(change[:, heavy], abs=1e-4)
+
+
+def test_passes_do_not_carry_the_plan_of_their_rows(spark, monkeypatch):
+    seen, made = [], regression.Sums.__init__
+    monkeypatch.setattr(regression.Sums, "__init__", lambda self, rows, *a: seen.append(rows) or made(self, rows, *a))
+    rows = [(k % 3, Vectors.sparse(4, [k % 4], [1.0])) for k in range(60)]
+    regression.SoftmaxRegression().fit(learners.with_class_weights(spark.createDataFrame(rows, ["label", "features"]).persist()))
+    plan = seen[0].toDebugString().decode()
+    assert "Join" not in plan and plan.count("ParallelCollectionRDD") == 0
+
+
 def test_passes_use_all_cores(spark, monkeypatch):
     parts, made = [], regression.Sums.__init__
 
