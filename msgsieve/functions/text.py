@@ -38,8 +38,8 @@ PHONE = (
     r"|(?<=0)[0-9]{1,2}-[0-9]{3,4}-[0-9]{4}|(?<=1)[0-9]{3,4})"
 )
 NUMBER = r"\p{Nd}+"
-UPPER = r"\p{IsUppercase}"
-KEPT = r"[\p{Alnum}\p{InThai}.,!?%]+"
+NOT_UPPER = r"[^\p{IsUppercase}]++"
+NOT_KEPT = r"[^\p{Alnum}\p{InThai}.,!?%]++"
 # Characters that are kept, or become kept when lower-cased.
 KEPT_RAW = r"[\p{Alnum}\p{InThai}.,!?%\x{130}\x{212a}]"
 WORD_CHARS = {
@@ -59,12 +59,17 @@ def is_blank(text: Column) -> Column:
 
 
 def signals(text: Column) -> dict[str, Column]:
-    """The seven numeric signals of a raw text; null counts as empty."""
+    """The seven numeric signals of a raw text; null counts as empty.
+
+    Matches that are many are counted by the length of what a replacement leaves:
+    ``regexp_count`` makes a string of every match.
+    """
     text = F.coalesce(text, F.lit(""))
     length = F.length(text)
-    words = F.regexp_count(text, F.lit(rf"{NWS}+"))
+    # the word put in front takes leading white space, so that only marks are left
+    words = F.length(F.regexp_replace(F.concat(F.lit("a "), text), rf"{NWS}++{WS}*+", "x")) - 1
     numbers = F.regexp_count(text, F.lit(NUMBER))
-    capitals = F.regexp_count(text, F.lit(UPPER))
+    capitals = F.length(F.regexp_replace(text, NOT_UPPER, ""))
     return {
         "text_length": length,
         "word_count": words,
@@ -86,7 +91,7 @@ def clean(text: Column, keep_signals: bool = True) -> Column:
     url_mark, phone_mark = (" URL ", " PHONE ") if keep_signals else (" ", " ")
     marked = F.when(text.rlike(URL_HINT), F.regexp_replace(text, URL, url_mark)).otherwise(text)
     marked = F.regexp_replace(marked, PHONE, phone_mark)
-    return F.array_join(F.regexp_extract_all(F.lower(marked), F.lit(KEPT), F.lit(0)), " ")
+    return F.trim(F.regexp_replace(F.lower(marked), NOT_KEPT, " "))
 
 
 def has_content(text: Column) -> Column:

@@ -146,3 +146,19 @@ def test_prepare(spark, sample):
 def test_missing_signals_are_zero(spark):
     df = spark.createDataFrame([(3, None)], "url_count int, phone_count int")
     assert list(df.select(*signal_columns(df)).first()) == [0, 0, 3, 0, 0, 0, 0]
+
+
+def test_many_matches_are_counted_without_listing_them(spark):
+    """Words, capitals and kept runs of odd texts; no expression makes a string of each."""
+    texts = ["", " ", " a", " a  b ", "\x1cA\x1d", "ÀÉ", "ABC", "x" * 9, "aก ่!", "\U00010400 É z", "--", "-a-", "a-", None, "İK", "é É\n\tU "]
+    table = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    values = tx.signals(F.col("text"))
+    found = table.select("id", values["word_count"].alias("words"), values["caps_ratio"].alias("caps"), tx.clean(F.col("text")).alias("clean"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan
+    every = lambda text, pattern: F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
+    listed = table.select(
+        "id", F.size(every(F.col("text"), rf"{tx.NWS}+")).alias("words"),
+        (F.size(every(F.col("text"), r"\p{IsUppercase}")) / F.greatest(F.length(F.coalesce("text", F.lit(""))), F.lit(1))).alias("caps"),
+        F.array_join(every(F.lower("text"), r"[\p{Alnum}\p{InThai}.,!?%]+"), " ").alias("clean"))
+    assert sorted(found.collect()) == sorted(listed.collect())
