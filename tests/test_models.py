@@ -372,3 +372,51 @@ def test_terms_are_counted_by_chunks(spark, monkeypatch, ngrams):
     docs = spark.createDataFrame([(t,) for t in texts], "text_clean string")
     rows = features.term_statistics(docs, features.TfidfSettings(ngram_range=ngrams)).collect()
     assert {r["term"]: (r["df"], r["ctf"]) for r in rows} == {t: (df[t], ctf[t]) for t in ctf}
+
+
+@pytest.fixture(scope="module")
+def scattered(spark):
+    """120 rows of 6 features in 50 parts."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(120):
+        values = rng.normal(size=6)
+        label = int(values[0] > 0.2) + int(values[1] > 0.4)
+        rows.append((label, 1.0 + k % 2, Vectors.dense(values) if k % 2 else Vectors.sparse(6, range(6), values)))
+    return spark.createDataFrame(rows, ["label", "weight", "features"]).repartition(50).persist()
+
+
+@pytest.mark.parametrize("part_bytes,parts", [(128 << 20, 1), (4 * 6 * 40, 3)])
+def test_trees_are_grown_on_as_few_parts_as_hold_the_rows(spark, scattered, monkeypatch, part_bytes, parts):
+    """Each part makes and sends the histograms of all nodes."""
+    seen = []
+    for kind in (learners.GBTClassifier, learners.RandomForestClassifier):
+        fit = kind._fit
+        monkeypatch.setattr(
+            kind, "_fit", lambda self, rows, fit=fit: seen.append((rows.rdd.getNumPartitions(), rows.count())) or fit(self, rows)
+        )
+    for name in ("FOREST_PART_BYTES", "BOOSTING_PART_BYTES", "GROUP_TREES"):
+        monkeypatch.setattr(learners, name, 2 if name == "GROUP_TREES" else part_bytes)
+    small = learners.LearnerSettings(rf_trees=3, rf_depth=3, gb_rounds=1, gb_depth=2)
+    learners.boosted_trees(small).fit(scattered)
+    learners.random_forest(small).fit(scattered)
+    assert seen == [(parts, 120)] * 5
+
+
+def test_a_forest_of_groups_is_one_forest(spark, scattered, monkeypatch, tmp_path):
+    settings = learners.LearnerSettings(rf_trees=5, rf_depth=4)
+    text = lambda model: model.toDebugString.split("\n", 1)[1]
+    alone = learners.random_forest(settings).fit(scattered)
+    monkeypatch.setattr(learners, "GROUP_TREES", 2)
+    model = learners.random_forest(settings).fit(scattered)
+    assert alone.getNumTrees == model.getNumTrees == len(model.trees) == 5
+    assert len({t.toDebugString.split("\n", 1)[1] for t in model.trees}) > 3, "groups draw rows and features of their own"
+    assert text(model) == text(learners.random_forest(settings).fit(scattered))
+    assert (model.numClasses, model.numFeatures, model.getProbabilityCol()) == (3, 6, "_probability")
+    key = lambda df: sorted((tuple(r["f"]), tuple(r["proba"])) for r in df.select(vector_to_array("features").alias("f"), "proba").collect())
+    scores = key(learners.predict(model, scattered))
+    single = [dict(key(t.setProbabilityCol("proba").transform(scattered).withColumn("proba", vector_to_array("proba")))) for t in model.trees]
+    assert all(p == pytest.approx(np.mean([s[f] for s in single], axis=0)) for f, p in scores)
+    model.write().save(str(tmp_path / "forest"))
+    loaded = learners.RandomForestClassificationModel.load(str(tmp_path / "forest"))
+    assert key(learners.predict(loaded, scattered)) == scores
