@@ -246,6 +246,28 @@ def test_features_come_from_the_whole_train_split(spark, data, monkeypatch):
     assert model.features.fitted.means == pytest.approx(whole.means)
 
 
+def test_learners_see_the_whole_train_split(spark, tmp_path, monkeypatch):
+    """More rows than any trial's cut: none is left out of the fit, copies and null texts as the split has them."""
+    n = 32_000
+    docs = spark.range(n).selectExpr(
+        "id as doc_id", "if(id % 1000 = 0, null, concat_ws(' ', 'w' || id % 7, 'v' || id % 11, 'x' || id % 3, 'n' || id)) as text",
+        "'en' as lang", "'web' as source")
+    docs.unionByName(docs.where("doc_id < 50")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(n).selectExpr("id as doc_id", "cast(id % 3 > 0 as int) as quality", "cast(id % 7 = 0 as int) as toxic").write.parquet(
+        f"{tmp_path}/labels.parquet")
+    rows = prepare(split_by_hash(catalog.labelled(spark, str(tmp_path), "doc_id", "text")))
+    want = sorted(r[0] for r in rows.where("split = 'train'").select("doc_id").collect())
+    assert len(want) > 20_000
+    seen = []
+    monkeypatch.setattr(catalog.train, "train", lambda *a, learn_on, **k: seen.append(learn_on) or (None, None))
+    monkeypatch.setattr(catalog.stats, "model_comparison", lambda runs: runs)
+    catalog._regression(spark, str(tmp_path))
+    catalog.vote_training_runs(spark, str(tmp_path))
+    for fit_on in seen:
+        assert sorted(r[0] for r in fit_on.select("doc_id").collect()) == want
+    assert len(seen) == 2
+
+
 def test_rows_for_learners_are_chosen_by_id_alone(spark):
     """Texts do not go through the sort; copies of the last id fill what room there is."""
     ids = spark.range(200).selectExpr("id % 90 as doc_id", "id", "repeat('x', 9) as text").repartition(7)
