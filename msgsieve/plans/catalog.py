@@ -899,12 +899,13 @@ def stream_arbitration(spark, folder):
     end.write.parquet(f"{out}/end")
     last = jobs.file_stream(spark, f"{out}/end", end.schema)
     scorer = linear_scorer(moments_of(add_signals(documents(spark, folder, "doc_id", "text"))))
-    jobs.run_available(
-        jobs.arbitrate_stream(
-            sent.unionByName(last.select(*sent.columns)), answered.unionByName(last.select(*answered.columns)),
-            scorer, out, f"{out}/checkpoint", spam_keywords=SPAM_WORDS, phishing_keywords=PHISHING_WORDS,
+    with jobs.state_on_disk(spark):
+        jobs.run_available(
+            jobs.arbitrate_stream(
+                sent.unionByName(last.select(*sent.columns)), answered.unionByName(last.select(*answered.columns)),
+                scorer, out, f"{out}/checkpoint", spam_keywords=SPAM_WORDS, phishing_keywords=PHISHING_WORDS,
+            )
         )
-    )
     found = spark.read.parquet(f"{out}/records/job=*/batch=*")
     return _flat_records(found.where(F.col("message_id") != "end"))
 

@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import logging
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -27,6 +28,15 @@ from msgsieve.sources.webhooks import text_events
 
 logger = logging.getLogger(__name__)
 
+# State in files of each executor, with one bounded cache an executor, instead of on its heap.
+STATE_STORE = "spark.sql.streaming.stateStore"
+STATE_ON_DISK = {
+    f"{STATE_STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{STATE_STORE}.rocksdb.boundedMemoryUsage": "true",
+    f"{STATE_STORE}.rocksdb.maxMemoryUsageMB": "256",
+    f"{STATE_STORE}.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
 
 def file_stream(
     spark: SparkSession, path: str, schema: StructType, file_format: str = "parquet", **options
@@ -183,6 +193,8 @@ def arbitrate_stream(
 
     Messages delivered again within ``wait`` are dropped.  Writes ``records`` and, as
     score_stream does, ``predictions`` under ``output``.  ``options`` go to arbitrated.
+
+    State holds the texts of all messages that wait, so start it within ``state_on_disk``.
     """
     once = first_deliveries(messages, created_at, wait)
     classified = scoring_job.classify_messages(once, scorer)
@@ -286,6 +298,23 @@ def latest_counters(spark: SparkSession, output: str, user: str = "user_id") ->
     return of_job.groupBy(user).agg(*[F.sum(n).alias(n) for n in totals])
 
 
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Streams started within keep their state in files; settings that the session has of its own stay.
+
+    A stream takes the settings when it starts, and one that goes on from a checkpoint keeps the
+    kind of store that the checkpoint has.
+    """
+    added = {key: value for key, value in STATE_ON_DISK.items() if spark.conf.get(key, None) is None}
+    for key, value in added.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key in added:
+            spark.conf.unset(key)
+
+
 def run_available(writer: DataStreamWriter) -> None:
     """Process everything that has arrived, then stop."""
     writer.trigger(availableNow=True).start().awaitTermination()

@@ -1,6 +1,7 @@
 """Streams give what the batch gives."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F, types as T
@@ -238,6 +239,32 @@ def test_arbitration_stream_waits_for_answers(spark, tmp_path):
     assert {k: final[k] for k in ("late", "missing", "early")} == dict.fromkeys(("late", "missing", "early"), ("spam", "ml"))
 
 
+def _stores(checkpoint):
+    """What kind of state store a checkpoint's batches have used."""
+    lines = [line for path in Path(checkpoint, "offsets").iterdir() if path.name.isdigit() for line in path.read_text().splitlines()]
+    return {json.loads(line)["conf"]["spark.sql.streaming.stateStore.providerClass"].rpartition(".")[2] for line in lines if '"conf"' in line}
+
+
+def test_arbitration_keeps_waiting_texts_in_files(spark, tmp_path, monkeypatch):
+    """The query's texts wait in files, not on the heap; streams after it have the session's own settings."""
+    rows = [(k, f"text {k} www.a.example!!" if k % 5 else None) for k in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen, real = [], jobs.arbitrate_stream
+    monkeypatch.setattr(jobs, "arbitrate_stream", lambda *a, **k: seen.append(a[4]) or real(*a, **k))
+    found = catalog.stream_arbitration(spark, str(tmp_path)).collect()
+    assert sorted(int(r["message_id"]) for r in found) == list(range(40))
+    assert _stores(seen[0].removeprefix("file:")) == {"RocksDBStateStoreProvider"}
+    key = f"{jobs.STATE_STORE}.providerClass"
+    assert spark.conf.get(key, None) is None
+    spark.conf.set(key, "of.the.session")
+    try:
+        with jobs.state_on_disk(spark):
+            assert spark.conf.get(key) == "of.the.session"
+        assert spark.conf.get(key) == "of.the.session"
+    finally:
+        spark.conf.unset(key)
+
+
 def test_requests_without_an_id_are_all_kept(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     rows = [(None, "free", "u1"), (None, "free", "u2"), (None, "free", "u2"), ("a", "free", "u1"), ("a", "free", "u1")]
