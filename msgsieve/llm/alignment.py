@@ -13,15 +13,17 @@ that puts the space there itself, so the bytes of both token sequences are the s
    Anchors split a document into windows of token ids, mostly single words.
 3. Within a window, offsets where tokens of both end cut it into groups, and all pairs of an
    A and a B token of a group are linked.  A window's alignment depends on its ids alone, so
-   it is memoised by them; a worker keeps the first ``KEPT_WINDOWS`` and aligns others once a
-   block of texts.
+   it is memoised by them; a worker keeps the first ``KEPT_WINDOWS``, or as many as have ``KEPT_IDS``
+   ids and links together, and aligns others once a block of texts.
 4. Counts: a task closes a chunk when its documents hold ``CHUNK_PAIRS`` different id pairs
    together.  A chunk is one row: its documents, its id pairs, and how many of its documents
    hold each.  Only the last two are exploded: a pair that every document holds counts once
    a chunk, not once a document.  Summed counts return to the chunks in the order of their
    pairs, and each document adds up its own.
 
-Nothing is broadcast or collected, and a group is one chunk's own list of pairs.
+Nothing is broadcast or collected, and a group is one chunk's own list of pairs, gathered by
+stretches of ``GATHERED`` places.  Chunks are large rows, so the files hold them in row groups of
+``CHUNKS_A_GROUP``: writers keep one group in memory, and readers unpack one at a time.
 
 Cases: null and empty texts, and those of unequal bytes, have no tokens: zeros and an empty
 ``groups_sha256``; repeated rows (equal ``doc_id`` too) are documents each; a null ``doc_id``
@@ -50,6 +52,9 @@ from msgsieve.session import cut_lineage
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 CHUNK_PAIRS = 300_000
 KEPT_WINDOWS = 150_000
+KEPT_IDS = 2_000_000
+GATHERED = 4_096
+CHUNKS_A_GROUP = 4
 FEW_LINKS = 64
 BLOCK = 1 << 20
 SPACE_MARK = "▁"
@@ -129,8 +134,10 @@ class Aligner:
             for i in range(b.get_piece_size())])
         self.stretches: dict[str, int] = {}  # numbers of windows by text, None where bytes are not equal
         self.recent: list[str] = []  # those that are not yet known to be kept
+        self.unequal: list[str] = []
         self.numbers: dict[Window, int] = {}
         self.known: list[Aligned] = []
+        self.weighed = self.weight = 0  # the first windows, and ids and links of these
 
     def encode_a(self, stretches: list[str]) -> list[Ids | None]:
         """Ids of A; None where their bytes are not those of the stretch.
@@ -182,12 +189,13 @@ class Aligner:
         known, numbers = self.stretches, self.numbers
         new = list({s for stretches in cut for s in stretches if s not in known})
         if new:
-            self.recent += new
             fresh: list[Window] = []
             for stretch, a, b in zip(new, self.encode_a(new), self.encode_b(new)):
                 if a is None or b is None:
                     known[stretch] = None
+                    self.unequal.append(stretch)
                     continue
+                self.recent.append(stretch)
                 known[stretch] = number = numbers.setdefault((a, b), len(numbers))
                 if number == len(self.known) + len(fresh):
                     fresh.append((a, b))
@@ -198,14 +206,23 @@ class Aligner:
 
     def forget(self) -> None:
         """Keep the windows that came first, frequent ones among them; only later ones are touched."""
-        if len(self.known) > KEPT_WINDOWS:
-            del self.known[KEPT_WINDOWS:]
-            while len(self.numbers) > KEPT_WINDOWS:
+        for stretch in self.unequal:
+            del self.stretches[stretch]
+        self.unequal = []
+        full = False
+        while self.weighed < min(len(self.known), KEPT_WINDOWS) and not full:
+            n_a, n_b, _, _, pairs, large = self.known[self.weighed]
+            own = n_a + n_b + len(pairs) + len(large)
+            full = self.weight + own > KEPT_IDS
+            if not full:
+                self.weighed, self.weight = self.weighed + 1, self.weight + own
+        kept = min(self.weighed, KEPT_WINDOWS)
+        if full or len(self.known) >= KEPT_WINDOWS:
+            del self.known[kept:]
+            while len(self.numbers) > kept:
                 self.numbers.popitem()  # the last that was added
-        if len(self.known) >= KEPT_WINDOWS or len(self.stretches) > 2 * KEPT_WINDOWS:
             for stretch in self.recent:
-                number = self.stretches[stretch]
-                if number is None or number >= KEPT_WINDOWS:
+                if self.stretches[stretch] >= kept:
                     del self.stretches[stretch]
             self.recent = []
 
@@ -357,12 +374,17 @@ def pair_counts(chunks: DataFrame) -> DataFrame:
 
 def align(docs: DataFrame, path_a: str, path_b: str, chunk_pairs: int = CHUNK_PAIRS) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of every row."""
-    chunks = cut_lineage(aligned_chunks(docs, path_a, path_b, chunk_pairs), "aligned")
+    in_groups = {"parquet.block.row.count.limit": CHUNKS_A_GROUP}
+    chunks = cut_lineage(aligned_chunks(docs, path_a, path_b, chunk_pairs), "aligned", **in_groups)
     counts = cut_lineage(pair_counts(chunks), "best-pairs")
     places = chunks.select("chunk", F.posexplode("pairs").alias("place", "pair"))
-    found = F.sort_array(F.collect_list(F.struct("place", "n", "best")))
-    counted = places.join(counts.select("pair", "n", "best"), "pair").groupBy("chunk").agg(found.alias("found")).select(
-        "chunk", F.col("found.n").alias("n"), F.col("found.best").alias("best"))
+    stretch = F.floor(F.col("place") / GATHERED).alias("stretch")
+    # a task keeps the lists of its first groups in memory, so groups of single values are small
+    listed = places.join(counts.select("pair", "n", "best"), "pair").repartition("chunk").groupBy("chunk", stretch).agg(
+        F.sort_array(F.collect_list(F.struct("place", "n", "best"))).alias("found"))
+    lists = F.sort_array(F.collect_list(F.struct("stretch", F.col("found.n").alias("n"), F.col("found.best").alias("best"))))
+    counted = listed.groupBy("chunk").agg(lists.alias("found")).select(
+        "chunk", F.flatten("found.n").alias("n"), F.flatten("found.best").alias("best"))
     # arrays are taken apart before the join: inside the sums each look-up must be by place alone
     joined = chunks.select("chunk", "documents").join(counted, "chunk", "left")
 

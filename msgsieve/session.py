@@ -60,14 +60,14 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write ``df`` to the shared folder and go on from the written table.
+def cut_lineage(df: DataFrame, name: str = "cut", **options: str | int) -> DataFrame:
+    """Write ``df``, with ``options`` of the writer, to the shared folder and go on from the written table.
 
     Unlike a cached table it survives the loss of executors, and readers prune
     its columns and push filters into it.
     """
     path = new_table_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

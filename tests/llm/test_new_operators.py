@@ -6,6 +6,7 @@ import random
 import zlib
 from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -116,6 +117,35 @@ def test_few_windows_are_kept(monkeypatch):
         assert len(own.known) == len(own.numbers) <= 5 >= len(set(own.stretches.values()))
 
 
+def test_long_windows_do_not_fill_a_worker(monkeypatch):
+    """Texts without spaces are a window each; few of them are kept, and none whose bytes come out unequal."""
+    own = alignment.Aligner(*alignment.tokenizer_paths())
+    rng = random.Random(3)
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(200)) + f" a{i}" for i in range(30)] + ["▁under" * 9, "plain words"]
+    want = own.documents(texts)
+    assert any(not f[0] for f in want) and all(own.stretches.get(s, 0) is not None for s in own.stretches)
+    monkeypatch.setattr(alignment, "KEPT_IDS", 3_000)
+    own = alignment.Aligner(*alignment.tokenizer_paths())
+    for _ in range(2):
+        got = [figures for low in range(0, 32, 5) for figures in own.documents(texts[low : low + 5])]
+        assert [[str(x) for x in f] for f in got] == [[str(x) for x in f] for f in want]
+        assert sum(len(w[4]) + w[0] + w[1] for w in own.known) <= 3_000
+        assert 0 < len(own.known) == len(own.numbers) == len(own.stretches)
+
+
+def test_chunks_are_written_and_read_few_at_a_time(spark, documents, aligner, monkeypatch):
+    """A chunk is a large row; no row group holds all of a task's, and lists of a chunk's counts are gathered piece by piece."""
+    written, real = [], alignment.cut_lineage
+    monkeypatch.setattr(alignment, "cut_lineage", lambda df, name, **o: written.append((name, real(df, name, **o))) or written[-1][1])
+    monkeypatch.setattr(alignment, "GATHERED", 3)
+    texts = [*ODD, *(f"many words {i} in {i * i} texts" for i in range(30)), " ".join(f"w{i}" for i in range(300))]
+    got = by_id(alignment.align(documents(*texts).coalesce(1), *alignment.tokenizer_paths(), 40), *ALIGNED)
+    assert [got[i] for i in range(len(texts))] == plain_alignment(aligner, texts)
+    files = [f.removeprefix("file:").removeprefix("//") for f in dict(written)["aligned"].inputFiles()]
+    sizes = [pq.ParquetFile(f).metadata.row_group(g).num_rows for f in files for g in range(pq.ParquetFile(f).num_row_groups)]
+    assert sum(sizes) > 20 and max(sizes) <= alignment.CHUNKS_A_GROUP
+
+
 _aligners = []
 
 
